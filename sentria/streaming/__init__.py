@@ -1,0 +1 @@
+"""No streaming operators: the workload is a periodic batch refresh of dated snapshots."""
