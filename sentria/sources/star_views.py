@@ -83,6 +83,39 @@ FROM {lineitem} d JOIN {part} ON d.l_partkey = p_partkey
   JOIN {lineitem} r ON d.l_orderkey = r.l_orderkey
   JOIN {supplier} ON r.l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
   JOIN {region} ON n_regionkey = r_regionkey JOIN {orders} ON d.l_orderkey = o_orderkey""",
+    # Text dates over six decades, for the two-digit-year rule.
+    "extract_dates": f"""
+SELECT o_orderkey AS REPORT_ID, {_text_date('received')} AS DATRECEIVED, {_text_date('first_received')} AS DATINTRECEIVED,
+  received, first_received
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS received,
+        make_date(CAST(year(CAST(o_orderdate AS DATE)) - o_orderkey % 60 AS INT), CAST(month(CAST(o_orderdate AS DATE)) AS INT),
+          CAST(1 + o_orderkey % 28 AS INT)) AS first_received
+      FROM {{orders}}) t""",
+    # Flat rows of the nested documents.
+    "doc_reports": """
+SELECT o_orderkey AS REPORT_ID, CAST(o_orderdate AS DATE) AS receivedate,
+  CASE WHEN o_orderkey % 9 <> 0 THEN n_name END AS occurcountry,
+  CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS serious,
+  CASE WHEN o_orderkey % 7 = 0 AND o_orderstatus = 'F' THEN 1 END AS death,
+  CASE WHEN o_orderkey % 5 = 0 THEN 1 END AS lifethreatening, CASE WHEN o_orderkey % 3 = 0 THEN 1 END AS hospitalization,
+  CASE WHEN o_orderkey % 11 = 0 THEN 1 END AS disabling, CASE WHEN o_orderkey % 13 = 0 THEN 1 END AS congenitalanomali,
+  CASE WHEN o_orderkey % 4 = 0 THEN 1 END AS other,
+  CASE WHEN o_orderkey % 8 BETWEEN 1 AND 6 THEN CAST(o_orderkey % 8 AS INT) END AS qualification,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 1 WHEN 'AUTOMOBILE' THEN 2 WHEN 'HOUSEHOLD' THEN 0 END AS patientsex,
+  CASE WHEN c_acctbal >= 0 THEN c_acctbal / 80 END AS patientonsetage,
+  CASE WHEN o_orderkey % 19 <> 0 THEN CAST(800 + o_orderkey % 7 AS STRING) END AS patientonsetageunit
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
+    "doc_drugs": """
+SELECT l_orderkey AS REPORT_ID, CASE WHEN l_linenumber <> 7 THEN p_name END AS drugindication,
+  p_brand AS generic_name, concat(p_brand, ' ', p_type) AS brand_name, p_type AS pharm_class_epc
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    "doc_reactions": """
+SELECT l_orderkey AS REPORT_ID, s_name AS reactionmeddrapt, CAST(1 + (l_linenumber + l_orderkey) % 7 AS INT) AS reactionoutcome
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
+    # Monthly counts of expensive orders: some months have none.
+    "events_months": """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS time_p, count(*) AS n
+FROM {orders} WHERE o_totalprice > 498500 GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)""",
 }
 
 
