@@ -128,6 +128,8 @@ def with_views(body: str, *names: str) -> str:
     """A query text with the named views as common table expressions."""
     ctes = ", ".join(f"{n} AS ({duckdb_view(n)})" for n in names)
     rest = body.lstrip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {rest[15:]}"
     if rest.upper().startswith("WITH "):
         return f"WITH {ctes}, {rest[5:]}"
     return f"WITH {ctes} {rest}"
