@@ -53,36 +53,51 @@ def _horner(x: Column, coefficients: list[float]) -> Column:
     return acc
 
 
-def lgamma(x: Column) -> Column:
+def _rising(coefficients: list[float]) -> list[float]:
+    """Coefficients (low order first) of (x + 1) ... (x + shift - 1) times the given polynomial."""
+    for k in range(1, _SHIFT):
+        shifted = [0.0, *coefficients]
+        coefficients = [k * c + s for c, s in zip([*coefficients, 0.0], shifted)]
+    return coefficients
+
+
+def _derivative(coefficients: list[float]) -> list[float]:
+    return [k * c for k, c in enumerate(coefficients)][1:]
+
+
+# x (x + 1) ... (x + shift - 1) and its derivatives: the recurrences below take
+# one division each instead of one per step.
+_RISING = _rising([0.0, 1.0])
+_RISING_1 = _derivative(_RISING)
+_RISING_2 = _derivative(_RISING_1)
+
+
+def raised_inverse(x: Column) -> Column:
+    """1 / (x + shift). Project it once and pass it as ``r`` below to keep plans small."""
+    return F.lit(1.0) / (x + F.lit(float(_SHIFT)))
+
+
+def lgamma(x: Column, r: Column | None = None) -> Column:
     """log Gamma(x) for x > 0: shifted Stirling series."""
+    r = raised_inverse(x) if r is None else r
     y = x + F.lit(float(_SHIFT))
-    rising = x
-    for k in range(1, _SHIFT):
-        rising = rising * (x + F.lit(float(k)))
-    r = F.lit(1.0) / y
     tail = r * _horner(r * r, [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156])
-    return (y - 0.5) * F.ln(y) - y + F.lit(HALF_LOG_2PI) + tail - F.ln(rising)
+    return (y - 0.5) * F.ln(y) - y + F.lit(HALF_LOG_2PI) + tail - F.ln(_horner(x, _RISING))
 
 
-def digamma(x: Column) -> Column:
+def digamma(x: Column, r: Column | None = None) -> Column:
     """Derivative of log Gamma for x > 0."""
-    y = x + F.lit(float(_SHIFT))
-    r = F.lit(1.0) / y
+    r = raised_inverse(x) if r is None else r
     tail = r * r * _horner(r * r, [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760, 1 / 12])
-    below = F.lit(1.0) / x
-    for k in range(1, _SHIFT):
-        below = below + F.lit(1.0) / (x + F.lit(float(k)))
-    return F.ln(y) - r * 0.5 - tail - below
+    return -F.ln(r) - r * 0.5 - tail - _horner(x, _RISING_1) / _horner(x, _RISING)
 
 
-def trigamma(x: Column) -> Column:
+def trigamma(x: Column, r: Column | None = None) -> Column:
     """Second derivative of log Gamma for x > 0."""
-    y = x + F.lit(float(_SHIFT))
-    r = F.lit(1.0) / y
+    r = raised_inverse(x) if r is None else r
     tail = r * r * r * _horner(r * r, [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6])
-    below = F.lit(1.0) / (x * x)
-    for k in range(1, _SHIFT):
-        below = below + F.lit(1.0) / ((x + F.lit(float(k))) * (x + F.lit(float(k))))
+    product, slope = _horner(x, _RISING), _horner(x, _RISING_1)
+    below = (slope * slope - product * _horner(x, _RISING_2)) / (product * product)
     return r + r * r * 0.5 + tail + below
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentria.functions.kernels import dirichlet_udf
-from sentria.functions.special import Z_95, digamma, norm_cdf, num, trigamma
+from sentria.functions.special import Z_95, digamma, norm_cdf, num, raised_inverse, trigamma
 from sentria.operators.contingency import min_count
 from sentria.session import spread
 
@@ -27,10 +27,13 @@ def bcpnn(ct: DataFrame, rr0: float = 1.0, min_n11: int = 1, log_base: float = 2
     t = t.withColumn(
         "_rn", n + F.col("_n2") * F.col("_n2") / (F.col("_q1") * F.col("_p1"))
     )
-    r1, p1, q1, n2, rn = (F.col(c) for c in ("_r1", "_p1", "_q1", "_n2", "_rn"))
+    arguments = ("_r1", "_p1", "_q1", "_n2", "_rn")
+    t = t.withColumns({f"{a}i": raised_inverse(F.col(a)) for a in arguments})
+    psi = {a: digamma(F.col(a), F.col(f"{a}i")) for a in arguments}
+    psi1 = {a: trigamma(F.col(a), F.col(f"{a}i")) for a in arguments}
     unit = 1.0 / math.log(log_base)
-    mean = (digamma(r1) - digamma(rn) - digamma(p1) - digamma(q1) + digamma(n2) * 2.0) * unit
-    variance = (trigamma(r1) - trigamma(rn) + trigamma(p1) + trigamma(q1) - trigamma(n2) * 2.0) * (unit * unit)
+    mean = (psi["_r1"] - psi["_rn"] - psi["_p1"] - psi["_q1"] + psi["_n2"] * 2.0) * unit
+    variance = (psi1["_r1"] - psi1["_rn"] + psi1["_p1"] + psi1["_q1"] - psi1["_n2"] * 2.0) * (unit * unit)
     t = t.withColumns({"IC": mean, "var_IC": variance})
     t = t.withColumn("_sd", F.sqrt("var_IC"))
     t = t.withColumns(
@@ -40,7 +43,8 @@ def bcpnn(ct: DataFrame, rr0: float = 1.0, min_n11: int = 1, log_base: float = 2
             "_z": (F.lit(math.log(rr0)) - F.col("IC")) / F.col("_sd"),
         }
     )
-    return t.withColumn("postH0", norm_cdf(F.col("_z"))).drop("_r1", "_p1", "_q1", "_n2", "_rn", "_sd", "_z")
+    helpers = [*arguments, *[f"{a}i" for a in arguments], "_sd", "_z"]
+    return t.withColumn("postH0", norm_cdf(F.col("_z"))).drop(*helpers)
 
 
 def bcpnn_mc(

@@ -6,10 +6,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentria.functions.kernels import gamma_mixture_udf
+from sentria.functions.kernels import gamma_mixture_udf, negative_binomial_sums
 from sentria.functions.special import digamma, lgamma, num
 from sentria.operators.contingency import min_count
 from sentria.session import cut_lineage, spread
@@ -37,9 +38,12 @@ class GammaMixture:
         logs = np.log([self.alpha1, self.beta1, self.alpha2, self.beta2])
         return np.append(logs, math.log(self.w / (1.0 - self.w)))
 
+    def params(self) -> tuple[float, ...]:
+        return (self.alpha1, self.beta1, self.alpha2, self.beta2, self.w)
+
     @classmethod
     def from_vector(cls, v: np.ndarray, log_likelihood: float = float("nan")) -> GammaMixture:
-        a1, b1, a2, b2 = np.exp(v[:4])
+        a1, b1, a2, b2 = (float(x) for x in np.exp(v[:4]))
         return cls(a1, b1, a2, b2, 1.0 / (1.0 + math.exp(-v[4])), log_likelihood)
 
 
@@ -55,59 +59,37 @@ def _component(n: Column, e: Column, alpha: float, beta: float) -> Column:
 
 
 def _with_weights(t: DataFrame, prior: GammaMixture, n: Column, e: Column) -> DataFrame:
-    """Add ``_l`` (log mixture density up to n!) and ``_Q`` (posterior weight of component 1)."""
+    """Add ``Q``, the posterior weight of the first component."""
     t = t.withColumns(
         {
             "_l1": _component(n, e, prior.alpha1, prior.beta1) + math.log(prior.w),
             "_l2": _component(n, e, prior.alpha2, prior.beta2) + math.log1p(-prior.w),
         }
     )
-    t = t.withColumn("_Q", F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_l2") - F.col("_l1"))))
-    top = F.greatest("_l1", "_l2")
-    log_sum = top + F.log1p(F.exp(F.least("_l1", "_l2") - top))
-    return t.withColumn("_l", log_sum)
-
-
-def _observed_part(cells: DataFrame, prior: GammaMixture) -> np.ndarray:
-    """Log-likelihood and its gradient over the observed cells: one Spark aggregate."""
-    n, e, count = F.col("n"), F.col("e"), F.col("cells")
-    t = _with_weights(cells, prior, n, e)
-    q = F.col("_Q")
-    sums = [count * F.col("_l")]
-    for weight, alpha, beta in ((q, prior.alpha1, prior.beta1), (F.lit(1.0) - q, prior.alpha2, prior.beta2)):
-        slope_alpha = digamma(n + alpha) - _digamma(alpha) + math.log(beta) - F.ln(e + beta)
-        slope_beta = F.lit(alpha / beta) - (n + alpha) / (e + beta)
-        sums.append(count * weight * slope_alpha * alpha)
-        sums.append(count * weight * slope_beta * beta)
-    sums.append(count * (q - prior.w))
-    row = t.agg(*[F.sum(s).alias(f"s{i}") for i, s in enumerate(sums)]).head()
-    return np.array([row[f"s{i}"] for i in range(6)])
-
-
-def _digamma(x: float) -> float:
-    below = 0.0
-    while x < 10.0:
-        below += 1.0 / x
-        x += 1.0
-    s = 1.0 / (x * x)
-    return math.log(x) - 0.5 / x - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s / 240))) - below
-
-
-def _empty_part(e: np.ndarray, cells: np.ndarray, prior: GammaMixture) -> np.ndarray:
-    """The same sums over classes of empty cells, where the density is (beta / (beta + e))^alpha."""
-    total = np.zeros(6)
-    if not len(e):
-        return total
-    l1 = math.log(prior.w) - prior.alpha1 * np.log1p(e / prior.beta1)
-    l2 = math.log1p(-prior.w) - prior.alpha2 * np.log1p(e / prior.beta2)
-    q = 1.0 / (1.0 + np.exp(l2 - l1))
-    total[0] = np.sum(cells * np.logaddexp(l1, l2))
-    parts = ((1, q, prior.alpha1, prior.beta1), (3, 1.0 - q, prior.alpha2, prior.beta2))
-    for at, weight, alpha, beta in parts:
-        total[at] = np.sum(cells * weight * -np.log1p(e / beta)) * alpha
-        total[at + 1] = np.sum(cells * weight * alpha * e / (beta + e))
-    total[5] = np.sum(cells * (q - prior.w))
-    return total
+    t = t.withColumn("Q", F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_l2") - F.col("_l1"))))
+    return t.drop("_l1", "_l2")
+
+
+_SUMS = [f"s{i}" for i in range(6)]
+
+
+def _observed_part(cells: DataFrame, params: tuple[float, ...]) -> np.ndarray:
+    """Log-likelihood and gradient over the observed cells: one Spark aggregate.
+
+    Each task adds up its own Arrow batches, so six numbers per task are
+    shuffled. (As Column literals the changing parameters would compile new
+    code at every step of the search.)
+    """
+
+    def partial(batches):
+        total = np.zeros(6)
+        for b in batches:
+            total += negative_binomial_sums(b["n"].to_numpy(), b["e"].to_numpy(), b["cells"].to_numpy(), params)
+        yield pd.DataFrame([total], columns=_SUMS)
+
+    sums = cells.mapInPandas(partial, ", ".join(f"{s} double" for s in _SUMS))
+    row = sums.agg(*[F.sum(s).alias(s) for s in _SUMS]).head()
+    return np.array([row[s] for s in _SUMS])
 
 
 def _margin_class(c: str) -> Column:
@@ -178,8 +160,10 @@ def gps_fit(
     size = float(cells.agg(F.sum("cells")).head()[0]) + float(empty[1].sum())
 
     def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
-        prior = GammaMixture.from_vector(v)
-        sums = _observed_part(cells, prior) + _empty_part(*empty, prior)
+        params = GammaMixture.from_vector(v).params()
+        sums = _observed_part(cells, params)
+        if len(empty[0]):
+            sums = sums + negative_binomial_sums(np.zeros(len(empty[0])), *empty, params)
         return -sums[0] / size, -sums[1:] / size
 
     v, value = _quasi_newton(objective, (start or GammaMixture()).to_vector(), max_steps, tolerance)
@@ -238,7 +222,7 @@ def gps(
         t = spread(t, "drug_code", "event_effect")
     t = t.withColumns({"_n": num("n11"), "_e": num("n1_") * num("n_1") / num("N")})
     n, e = F.col("_n"), F.col("_e")
-    t = _with_weights(t, prior, n, e).withColumnRenamed("_Q", "Q")
+    t = _with_weights(t, prior, n, e)
     q = F.col("Q")
     mean1 = (n + prior.alpha1) / (e + prior.beta1)
     mean2 = (n + prior.alpha2) / (e + prior.beta2)
@@ -259,4 +243,4 @@ def gps(
             ),
         )
         t = t.withColumns({"postH0": F.col("_tail.post_h0"), "Q05_lambda": F.col("_tail.quantile")})
-    return t.drop("_n", "_e", "_l1", "_l2", "_l", "_tail")
+    return t.drop("_n", "_e", "_tail")

@@ -337,7 +337,9 @@ def oracles() -> dict[str, str]:
         "SELECT DISTINCT term FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN replace(p_name, ' ', ',') ELSE p_name END AS term FROM part) t "
         "WHERE term NOT LIKE '%,%' AND position('%' IN term) = 0")
     add("c10_explode_ingredients", "SELECT p_brand AS ing FROM part UNION SELECT p_type FROM part")
-    add("c11_round_numeric", "SELECT REPORT_ID, round(AGE_Y, 3) AS AGE_Y FROM reports", "reports")
+    add("c11_round_numeric",
+        f"WITH {_fact_counts('HLT_NAME_ENG')}, {_ct('pairs')}, {_cells()}, {_PRR.format(prev='cells')} SELECT drug_code, event_effect, n11, "
+        + ", ".join(f"round({c}, 3) AS {c}" for c in ("expected_count", *_ratio_columns("PRR"))) + " FROM PRR_t", "fact")
     add("c12_bucket_date", f"SELECT REPORT_ID, CAST(date_trunc('month', {d}) AS DATE) AS month, CAST(date_trunc('year', {d}) AS DATE) AS year FROM reports", "reports")
     add("c13_pair_label", f"WITH {_COHORT} SELECT DISTINCT ing || '_' || PT_NAME_ENG AS label FROM cohort", "fact")
     add("c14_standardise",

@@ -241,7 +241,8 @@ def _c10(spark, sf):
 
 @_query("c11_round_numeric")
 def _c11(spark, sf):
-    return c.round_numeric(view(spark, sf, "reports").select("REPORT_ID", "AGE_Y"), 3)
+    t = disp.prr(disp.cells(_hlt_ct(spark, sf)))
+    return c.round_numeric(t.drop("n1_", "n_1", "N", "n10", "n01", "n00"), 3)
 
 
 @_query("c12_bucket_date")
