@@ -6,12 +6,18 @@ Each works on one Arrow batch of independent cells; Spark partitions the rows.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+# Executors get the code of this module with each task, so the package need not
+# be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 # Stirling error of small integers: log k! minus Stirling's approximation.
 _SMALL = np.array(

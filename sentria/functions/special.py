@@ -72,9 +72,15 @@ _RISING_1 = _derivative(_RISING)
 _RISING_2 = _derivative(_RISING_1)
 
 
+def solid(x: Column) -> Column:
+    """Null as NaN. The result is not nullable, so generated code for long
+    polynomials carries no null checks and stays small enough to be compiled."""
+    return F.coalesce(x, F.lit(_NAN))
+
+
 def raised_inverse(x: Column) -> Column:
     """1 / (x + shift). Project it once and pass it as ``r`` below to keep plans small."""
-    return F.lit(1.0) / (x + F.lit(float(_SHIFT)))
+    return solid(F.lit(1.0) / (x + F.lit(float(_SHIFT))))
 
 
 def lgamma(x: Column, r: Column | None = None) -> Column:
@@ -82,14 +88,14 @@ def lgamma(x: Column, r: Column | None = None) -> Column:
     r = raised_inverse(x) if r is None else r
     y = x + F.lit(float(_SHIFT))
     tail = r * _horner(r * r, [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156])
-    return (y - 0.5) * F.ln(y) - y + F.lit(HALF_LOG_2PI) + tail - F.ln(_horner(x, _RISING))
+    return (y - 0.5) * solid(F.ln(y)) - y + F.lit(HALF_LOG_2PI) + tail - solid(F.ln(_horner(x, _RISING)))
 
 
 def digamma(x: Column, r: Column | None = None) -> Column:
     """Derivative of log Gamma for x > 0."""
     r = raised_inverse(x) if r is None else r
     tail = r * r * _horner(r * r, [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760, 1 / 12])
-    return -F.ln(r) - r * 0.5 - tail - _horner(x, _RISING_1) / _horner(x, _RISING)
+    return -solid(F.ln(r)) - r * 0.5 - tail - solid(_horner(x, _RISING_1) / _horner(x, _RISING))
 
 
 def trigamma(x: Column, r: Column | None = None) -> Column:
@@ -97,7 +103,7 @@ def trigamma(x: Column, r: Column | None = None) -> Column:
     r = raised_inverse(x) if r is None else r
     tail = r * r * r * _horner(r * r, [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6])
     product, slope = _horner(x, _RISING), _horner(x, _RISING_1)
-    below = (slope * slope - product * _horner(x, _RISING_2)) / (product * product)
+    below = solid((slope * slope - product * _horner(x, _RISING_2)) / (product * product))
     return r + r * r * 0.5 + tail + below
 
 
@@ -124,11 +130,11 @@ def norm_cdf(z: Column) -> Column:
     a = F.abs(z)
     density = F.exp(-a * a * 0.5)
     square = z * z
-    centre = F.lit(0.5) + z * _horner(square, _CENTRE_NUM) / _horner(square, _CENTRE_DEN)
-    middle = density * _horner(a, _MIDDLE_NUM) / _horner(a, _MIDDLE_DEN)
-    inverse = F.try_divide(F.lit(1.0), square)
-    ratio = inverse * _horner(inverse, _TAIL_NUM) / _horner(inverse, _TAIL_DEN)
-    outer = density * F.try_divide(F.lit(1.0 / math.sqrt(2.0 * math.pi)) - ratio, a)
+    centre = F.lit(0.5) + z * solid(_horner(square, _CENTRE_NUM) / _horner(square, _CENTRE_DEN))
+    middle = density * solid(_horner(a, _MIDDLE_NUM) / _horner(a, _MIDDLE_DEN))
+    inverse = solid(F.try_divide(F.lit(1.0), square))
+    ratio = inverse * solid(_horner(inverse, _TAIL_NUM) / _horner(inverse, _TAIL_DEN))
+    outer = density * solid(F.try_divide(F.lit(1.0 / math.sqrt(2.0 * math.pi)) - ratio, a))
     upper = F.when(a <= _MIDDLE_END, middle).otherwise(outer)
     return (
         F.when(F.isnan(z), F.lit(_NAN))

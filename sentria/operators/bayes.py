@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentria.functions.kernels import dirichlet_udf
-from sentria.functions.special import Z_95, digamma, norm_cdf, num, raised_inverse, trigamma
+from sentria.functions.special import Z_95, digamma, norm_cdf, num, raised_inverse, solid, trigamma
 from sentria.operators.contingency import min_count
 from sentria.session import spread
 
@@ -22,10 +22,10 @@ def bcpnn(ct: DataFrame, rr0: float = 1.0, min_n11: int = 1, log_base: float = 2
     the natural logarithm of ``rr0``.
     """
     t = min_count(ct, min_n11)
-    n11, n1_, n_1, n = num("n11"), num("n1_"), num("n_1"), num("N")
+    n11, n1_, n_1, n = (solid(num(c)) for c in ("n11", "n1_", "n_1", "N"))
     t = t.withColumns({"_r1": n11 + 1.0, "_p1": n1_ + 1.0, "_q1": n_1 + 1.0, "_n2": n + 2.0})
     t = t.withColumn(
-        "_rn", n + F.col("_n2") * F.col("_n2") / (F.col("_q1") * F.col("_p1"))
+        "_rn", solid(n + F.col("_n2") * F.col("_n2") / (F.col("_q1") * F.col("_p1")))
     )
     arguments = ("_r1", "_p1", "_q1", "_n2", "_rn")
     t = t.withColumns({f"{a}i": raised_inverse(F.col(a)) for a in arguments})
@@ -40,7 +40,7 @@ def bcpnn(ct: DataFrame, rr0: float = 1.0, min_n11: int = 1, log_base: float = 2
         {
             "LB95_IC": F.col("IC") - F.col("_sd") * Z_95,
             "UB95_IC": F.col("IC") + F.col("_sd") * Z_95,
-            "_z": (F.lit(math.log(rr0)) - F.col("IC")) / F.col("_sd"),
+            "_z": solid((F.lit(math.log(rr0)) - F.col("IC")) / F.col("_sd")),
         }
     )
     helpers = [*arguments, *[f"{a}i" for a in arguments], "_sd", "_z"]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentria.session import cut_lineage
+from sentria.session import cut_lineage, settle
 
 
 def _with_margins(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -54,7 +54,8 @@ def contingency(
     )
     columns = [*by, "drug_code", "event_effect", "n11", "n1_", "n_1", "N"]
     if min_margin <= 1:
-        return _with_margins(base, by).select(*columns)
+        # Both margins, the total and the pairs themselves read the same counts.
+        return _with_margins(settle(base, "event_effect", "drug_code", *by), by).select(*columns)
     pairs = [*by, "drug_code", "event_effect", "n11"]
     base = cut_lineage(base)
     while True:

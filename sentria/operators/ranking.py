@@ -32,11 +32,14 @@ def error_rates(stats: DataFrame, rank_by: str = "postH0", post_h0: str = "postH
         descending = rank_by != post_h0
     keys = _sort_keys(rank_by, descending)
     tasks = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The range step samples its input first; kept rows spare a second evaluation.
+    kept = stats.persist()
     placed = cut_lineage(
-        stats.repartitionByRange(tasks, *keys).withColumns(
+        kept.repartitionByRange(tasks, *keys).withColumns(
             {"_part": F.spark_partition_id(), "_p": F.col(post_h0).cast("double")}
         )
     )
+    kept.unpersist()
     per_part = placed.groupBy("_part").agg(
         F.count(F.lit(1)).alias("_rows"), F.sum("_p").alias("_sum_p")
     )

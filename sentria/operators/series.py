@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentria.functions.cleaning import pair_label
 from sentria.operators.counts import level_column, quarters
 from sentria.operators.joins import densify
+from sentria.session import settle
 
 TOTAL_LABEL = "total for query"
 
@@ -27,6 +28,7 @@ def signal_order() -> list:
 def pair_series(signals: DataFrame, counts: DataFrame, level: str = "PT", k: int = 10, drug: str = "ing") -> DataFrame:
     """Quarterly rows of the k leading pairs of a signal table, with zeros: ``label, quarter, n``."""
     event = level_column(level)
+    counts = settle(counts, event, drug, "quarter")
     # At most k rows by construction: safe to broadcast.
     leading = F.broadcast(
         signals.orderBy(*signal_order())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentria.functions.kernels import gamma_mixture_udf, negative_binomial_sums
-from sentria.functions.special import digamma, lgamma, num
+from sentria.functions.special import digamma, lgamma, num, solid
 from sentria.operators.contingency import min_count
 from sentria.session import cut_lineage, spread
 
@@ -220,7 +220,7 @@ def gps(
     t = min_count(ct, min_n11)
     if quantiles:
         t = spread(t, "drug_code", "event_effect")
-    t = t.withColumns({"_n": num("n11"), "_e": num("n1_") * num("n_1") / num("N")})
+    t = t.withColumns({"_n": solid(num("n11")), "_e": solid(num("n1_") * num("n_1") / num("N"))})
     n, e = F.col("_n"), F.col("_e")
     t = _with_weights(t, prior, n, e)
     q = F.col("Q")

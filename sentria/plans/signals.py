@@ -12,6 +12,7 @@ from sentria.operators.counts import level_column, pair_counts
 from sentria.operators.disproportionality import cells, prr, rfet, ror, rrr
 from sentria.operators.series import signal_order
 from sentria.operators.shrinkage import GammaMixture, gps
+from sentria.session import settle
 
 # Names of the cell columns in result tables.
 RESULT_NAMES = {"n11": "count", "n1_": "drug_margin", "n_1": "event_margin"}
@@ -68,7 +69,12 @@ def signals(
     counts = pair_counts(fact, level, by=by, drug=drug)
     ct = contingency(counts, drug, level_column(level), by=groups, min_margin=min_margin)
     table = all_statistics(ct, by=groups, **options)
-    return table.orderBy(*groups, *signal_order()) if ordered else table
+    if not ordered:
+        return table
+    # A global sort samples its input first. Behind this exchange the sample reads
+    # shuffle files instead of running the exact test or the draws twice.
+    settled = settle(table, *groups, "drug_code", "event_effect")
+    return settled.orderBy(*groups, *signal_order())
 
 
 def _carried(t: DataFrame, keys: list[str], value: str, calendar: Column, last: Column) -> DataFrame:
@@ -102,6 +108,7 @@ def cumulative_contingency(counts: DataFrame, drug: str, event: str, count: str
         F.col(event).alias("event_effect"),
         F.col(count).cast("long").alias("n11"),
     )
+    rows = settle(rows, "event_effect", "drug_code", "quarter")
     # A calendar of the quarters present: four entries a year.
     calendar = rows.agg(F.sort_array(F.collect_set("quarter"))).scalar()
     last = F.size(calendar)

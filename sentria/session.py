@@ -11,6 +11,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # At test scale fact tables would fit the default limit; keep them shuffled, as on a cluster.
+    "spark.sql.autoBroadcastJoinThreshold": "2MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -78,3 +80,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
     return df.repartition(tasks, *keys)
+
+
+def settle(df: DataFrame, *keys: str) -> DataFrame:
+    """Put an exchange on top of a frame that several parts of one plan consume.
+
+    Spark then reuses its shuffle files for all of them. Without it each consumer
+    would merge the partial aggregates below again, which at scale are many times
+    the size of the result. Keep every column that consumers need among the keys
+    or in all consumers, so that the exchanges stay identical. Adaptive execution
+    still sizes the partitions.
+    """
+    return df.repartition(*keys)
