@@ -46,10 +46,14 @@ def safe_log(x: Column | float) -> Column:
     return F.when(x == 0.0, F.lit(-_INF)).when(x < 0.0, F.lit(_NAN)).otherwise(F.ln(x))
 
 
-def _horner(x: Column, coefficients: list[float]) -> Column:
-    acc = F.lit(coefficients[-1])
+def _lit(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def _horner(x: str, coefficients: list[float]) -> str:
+    acc = _lit(coefficients[-1])
     for c in reversed(coefficients[:-1]):
-        acc = acc * x + F.lit(c)
+        acc = f"({acc} * {x} + {_lit(c)})"
     return acc
 
 
@@ -78,33 +82,50 @@ def solid(x: Column) -> Column:
     return F.coalesce(x, F.lit(_NAN))
 
 
-def raised_inverse(x: Column) -> Column:
-    """1 / (x + shift). Project it once and pass it as ``r`` below to keep plans small."""
-    return solid(F.lit(1.0) / (x + F.lit(float(_SHIFT))))
+def _solid(x: str) -> str:
+    return f"coalesce({x}, double('NaN'))"
+
+
+# The functions below take a column name or SQL text and hand one SQL text to
+# Spark: built operator by operator, such long expressions take seconds of
+# driver time.
+
+
+def raised_inverse(x: str) -> Column:
+    """1 / (x + shift). Project it once and pass its name as ``r`` below to keep plans small."""
+    return F.expr(_raised_inverse(x))
+
+
+def _raised_inverse(x: str) -> str:
+    return _solid(f"1D / ({x} + {_lit(_SHIFT)})")
 
 
-def lgamma(x: Column, r: Column | None = None) -> Column:
+def lgamma(x: str, r: str | None = None) -> Column:
     """log Gamma(x) for x > 0: shifted Stirling series."""
-    r = raised_inverse(x) if r is None else r
-    y = x + F.lit(float(_SHIFT))
-    tail = r * _horner(r * r, [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156])
-    return (y - 0.5) * solid(F.ln(y)) - y + F.lit(HALF_LOG_2PI) + tail - solid(F.ln(_horner(x, _RISING)))
+    r = r or _raised_inverse(x)
+    y = f"({x} + {_lit(_SHIFT)})"
+    tail = f"{r} * {_horner(f'({r} * {r})', [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156])}"
+    rising = _solid(f"ln({_horner(f'({x})', _RISING)})")
+    return F.expr(f"({y} - 0.5D) * {_solid(f'ln({y})')} - {y} + {_lit(HALF_LOG_2PI)} + {tail} - {rising}")
 
 
-def digamma(x: Column, r: Column | None = None) -> Column:
+def digamma(x: str, r: str | None = None) -> Column:
     """Derivative of log Gamma for x > 0."""
-    r = raised_inverse(x) if r is None else r
-    tail = r * r * _horner(r * r, [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760, 1 / 12])
-    return -solid(F.ln(r)) - r * 0.5 - tail - solid(_horner(x, _RISING_1) / _horner(x, _RISING))
+    r = r or _raised_inverse(x)
+    square = f"({r} * {r})"
+    tail = f"{square} * {_horner(square, [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760, 1 / 12])}"
+    below = _solid(f"{_horner(f'({x})', _RISING_1)} / {_horner(f'({x})', _RISING)}")
+    return F.expr(f"-{_solid(f'ln({r})')} - {r} * 0.5D - {tail} - {below}")
 
 
-def trigamma(x: Column, r: Column | None = None) -> Column:
+def trigamma(x: str, r: str | None = None) -> Column:
     """Second derivative of log Gamma for x > 0."""
-    r = raised_inverse(x) if r is None else r
-    tail = r * r * r * _horner(r * r, [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6])
-    product, slope = _horner(x, _RISING), _horner(x, _RISING_1)
-    below = solid((slope * slope - product * _horner(x, _RISING_2)) / (product * product))
-    return r + r * r * 0.5 + tail + below
+    r = r or _raised_inverse(x)
+    square = f"({r} * {r})"
+    tail = f"{r} * {square} * {_horner(square, [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6])}"
+    product, slope, bend = (_horner(f"({x})", c) for c in (_RISING, _RISING_1, _RISING_2))
+    below = _solid(f"({slope} * {slope} - {product} * {bend}) / ({product} * {product})")
+    return F.expr(f"{r} + {square} * 0.5D + {tail} + {below}")
 
 
 # Rational Chebyshev coefficients of the normal distribution
@@ -125,21 +146,19 @@ _CENTRE_END = 0.67448975
 _MIDDLE_END = math.sqrt(32.0)
 
 
-def norm_cdf(z: Column) -> Column:
+def norm_cdf(z: str) -> Column:
     """Standard normal distribution function, about 15 significant digits in both tails."""
-    a = F.abs(z)
-    density = F.exp(-a * a * 0.5)
-    square = z * z
-    centre = F.lit(0.5) + z * solid(_horner(square, _CENTRE_NUM) / _horner(square, _CENTRE_DEN))
-    middle = density * solid(_horner(a, _MIDDLE_NUM) / _horner(a, _MIDDLE_DEN))
-    inverse = solid(F.try_divide(F.lit(1.0), square))
-    ratio = inverse * solid(_horner(inverse, _TAIL_NUM) / _horner(inverse, _TAIL_DEN))
-    outer = density * solid(F.try_divide(F.lit(1.0 / math.sqrt(2.0 * math.pi)) - ratio, a))
-    upper = F.when(a <= _MIDDLE_END, middle).otherwise(outer)
-    return (
-        F.when(F.isnan(z), F.lit(_NAN))
-        .when(a == _INF, F.when(z > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when(a <= _CENTRE_END, centre)
-        .when(z > 0.0, F.lit(1.0) - upper)
-        .otherwise(upper)
+    a, square = f"abs({z})", f"(({z}) * ({z}))"
+    density = f"exp({square} * -0.5D)"
+    centre = f"0.5D + ({z}) * {_solid(f'{_horner(square, _CENTRE_NUM)} / {_horner(square, _CENTRE_DEN)}')}"
+    middle = f"{density} * {_solid(f'{_horner(a, _MIDDLE_NUM)} / {_horner(a, _MIDDLE_DEN)}')}"
+    inverse = _solid(f"try_divide(1D, {square})")
+    ratio = f"{inverse} * {_solid(f'{_horner(inverse, _TAIL_NUM)} / {_horner(inverse, _TAIL_DEN)}')}"
+    outer = f"{density} * {_solid(f'try_divide({_lit(1.0 / math.sqrt(2.0 * math.pi))} - {ratio}, {a})')}"
+    upper = f"CASE WHEN {a} <= {_lit(_MIDDLE_END)} THEN {middle} ELSE {outer} END"
+    return F.expr(
+        f"CASE WHEN isnan({z}) THEN double('NaN') "
+        f"WHEN {a} = double('Infinity') THEN CASE WHEN {z} > 0D THEN 1D ELSE 0D END "
+        f"WHEN {a} <= {_lit(_CENTRE_END)} THEN {centre} "
+        f"WHEN {z} > 0D THEN 1D - ({upper}) ELSE {upper} END"
     )

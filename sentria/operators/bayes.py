@@ -28,9 +28,9 @@ def bcpnn(ct: DataFrame, rr0: float = 1.0, min_n11: int = 1, log_base: float = 2
         "_rn", solid(n + F.col("_n2") * F.col("_n2") / (F.col("_q1") * F.col("_p1")))
     )
     arguments = ("_r1", "_p1", "_q1", "_n2", "_rn")
-    t = t.withColumns({f"{a}i": raised_inverse(F.col(a)) for a in arguments})
-    psi = {a: digamma(F.col(a), F.col(f"{a}i")) for a in arguments}
-    psi1 = {a: trigamma(F.col(a), F.col(f"{a}i")) for a in arguments}
+    t = t.withColumns({f"{a}i": raised_inverse(a) for a in arguments})
+    psi = {a: digamma(a, f"{a}i") for a in arguments}
+    psi1 = {a: trigamma(a, f"{a}i") for a in arguments}
     unit = 1.0 / math.log(log_base)
     mean = (psi["_r1"] - psi["_rn"] - psi["_p1"] - psi["_q1"] + psi["_n2"] * 2.0) * unit
     variance = (psi1["_r1"] - psi1["_rn"] + psi1["_p1"] + psi1["_q1"] - psi1["_n2"] * 2.0) * (unit * unit)
@@ -44,7 +44,7 @@ def bcpnn(ct: DataFrame, rr0: float = 1.0, min_n11: int = 1, log_base: float = 2
         }
     )
     helpers = [*arguments, *[f"{a}i" for a in arguments], "_sd", "_z"]
-    return t.withColumn("postH0", norm_cdf(F.col("_z"))).drop(*helpers)
+    return t.withColumn("postH0", norm_cdf("_z")).drop(*helpers)
 
 
 def bcpnn_mc(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentria.functions.cleaning import pair_label
 from sentria.operators.counts import level_column, quarters
 from sentria.operators.joins import densify
-from sentria.session import settle
+from sentria.session import cut_lineage, settle
 
 TOTAL_LABEL = "total for query"
 
@@ -29,13 +29,14 @@ def pair_series(signals: DataFrame, counts: DataFrame, level: str = "PT", k: int
     """Quarterly rows of the k leading pairs of a signal table, with zeros: ``label, quarter, n``."""
     event = level_column(level)
     counts = settle(counts, event, drug, "quarter")
-    # At most k rows by construction: safe to broadcast.
-    leading = F.broadcast(
+    # At most k rows by construction: safe to broadcast. They are used twice, so
+    # the signal table is evaluated once and only its k leading keys are kept.
+    leading = cut_lineage(
         signals.orderBy(*signal_order())
         .limit(k)
         .select(F.col("drug_code").alias(drug), F.col("event_effect").alias(event))
     )
-    wanted = counts.join(leading, [drug, event], "left_semi")
+    wanted = counts.join(F.broadcast(leading), [drug, event], "left_semi")
     dense = densify(leading, quarters(counts), wanted, [drug, event])
     return dense.select(pair_label(drug, event).alias("label"), "quarter", "n")
 

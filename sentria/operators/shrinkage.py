@@ -50,7 +50,7 @@ class GammaMixture:
 def _component(n: Column, e: Column, alpha: float, beta: float) -> Column:
     """Log probability of n under a negative binomial, without the n! both components share."""
     return (
-        lgamma(n + alpha)
+        lgamma(f"(_n + {alpha!r}D)")
         - math.lgamma(alpha)
         + n * F.ln(e)
         - (n + alpha) * F.ln(e + beta)
@@ -59,7 +59,7 @@ def _component(n: Column, e: Column, alpha: float, beta: float) -> Column:
 
 
 def _with_weights(t: DataFrame, prior: GammaMixture, n: Column, e: Column) -> DataFrame:
-    """Add ``Q``, the posterior weight of the first component."""
+    """Add ``Q``, the posterior weight of the first component; the count is in ``_n``."""
     t = t.withColumns(
         {
             "_l1": _component(n, e, prior.alpha1, prior.beta1) + math.log(prior.w),
@@ -226,8 +226,8 @@ def gps(
     q = F.col("Q")
     mean1 = (n + prior.alpha1) / (e + prior.beta1)
     mean2 = (n + prior.alpha2) / (e + prior.beta2)
-    log1 = digamma(n + prior.alpha1) - F.ln(e + prior.beta1)
-    log2 = digamma(n + prior.alpha2) - F.ln(e + prior.beta2)
+    log1 = digamma(f"(_n + {prior.alpha1!r}D)") - F.ln(e + prior.beta1)
+    log2 = digamma(f"(_n + {prior.alpha2!r}D)") - F.ln(e + prior.beta2)
     t = t.withColumns(
         {
             "n11_over_E": n / e,
