@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentria.functions.cleaning import pair_label
 from sentria.operators.counts import level_column, quarters
 from sentria.operators.joins import densify
-from sentria.session import cut_lineage, settle
+from sentria.session import cut_lineage
 
 TOTAL_LABEL = "total for query"
 
@@ -25,10 +25,20 @@ def signal_order() -> list:
     ]
 
 
-def pair_series(signals: DataFrame, counts: DataFrame, level: str = "PT", k: int = 10, drug: str = "ing") -> DataFrame:
-    """Quarterly rows of the k leading pairs of a signal table, with zeros: ``label, quarter, n``."""
+def pair_series(
+    signals: DataFrame,
+    counts: DataFrame,
+    level: str = "PT",
+    k: int = 10,
+    drug: str = "ing",
+    quarter_list: DataFrame | None = None,
+) -> DataFrame:
+    """Quarterly rows of the k leading pairs of a signal table, with zeros: ``label, quarter, n``.
+
+    Give ``quarter_list`` when ``counts`` is not a stored table: the semi-join
+    below then reaches the scan and only the rows of the leading pairs are counted.
+    """
     event = level_column(level)
-    counts = settle(counts, event, drug, "quarter")
     # At most k rows by construction: safe to broadcast. They are used twice, so
     # the signal table is evaluated once and only its k leading keys are kept.
     leading = cut_lineage(
@@ -37,7 +47,8 @@ def pair_series(signals: DataFrame, counts: DataFrame, level: str = "PT", k: int
         .select(F.col("drug_code").alias(drug), F.col("event_effect").alias(event))
     )
     wanted = counts.join(F.broadcast(leading), [drug, event], "left_semi")
-    dense = densify(leading, quarters(counts), wanted, [drug, event])
+    present = quarters(counts) if quarter_list is None else quarter_list
+    dense = densify(leading, present, wanted, [drug, event])
     return dense.select(pair_label(drug, event).alias("label"), "quarter", "n")
 
 

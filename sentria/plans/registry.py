@@ -612,7 +612,9 @@ _query("a25_choices_pt")(
 def _a26(spark, sf):
     cohort = _cohort(spark, sf)
     table_pt = plans.signals(cohort, "PT", exact=False, ordered=False)
-    return series.pair_series(table_pt, counts.pair_rows_by_quarter(cohort))
+    return series.pair_series(
+        table_pt, counts.pair_rows_by_quarter(cohort), quarter_list=counts.quarters(cohort)
+    )
 
 
 @_query("a27_total_series")

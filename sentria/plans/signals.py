@@ -109,8 +109,10 @@ def cumulative_contingency(counts: DataFrame, drug: str, event: str, count: str
         F.col(count).cast("long").alias("n11"),
     )
     rows = settle(rows, "event_effect", "drug_code", "quarter")
-    # A calendar of the quarters present: four entries a year.
-    calendar = rows.agg(F.sort_array(F.collect_set("quarter"))).scalar()
+    # A calendar of the quarters present: four entries a year. Reading the count
+    # too keeps its input the same exchange as that of the rows.
+    present = F.when(F.col("n11") > 0, F.col("quarter"))
+    calendar = rows.agg(F.sort_array(F.collect_set(present))).scalar()
     last = F.size(calendar)
     placed = rows.withColumn("_pos", F.array_position(calendar, F.col("quarter")))
     pairs = _carried(placed, ["drug_code", "event_effect"], "n11", calendar, last)
