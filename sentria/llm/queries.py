@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from sentria.llm.decontaminate import op8_decontaminate
 from sentria.llm.line_dedup import OP1_SQL, op1_line_dedup
+from sentria.llm.packing import op2_packing
 from sentria.llm.quality_rules import OP10_SQL, op10_quality_rules
+from sentria.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_token_files": op4_token_files,
     "op8_decontaminate": op8_decontaminate,
     "op1_line_dedup": op1_line_dedup,
     "op10_quality_rules": op10_quality_rules,
