@@ -5,6 +5,7 @@ from __future__ import annotations
 from sentria.llm.decontaminate import op8_decontaminate
 from sentria.llm.jaccard_join import op9_jaccard_join
 from sentria.llm.line_dedup import OP1_SQL, op1_line_dedup
+from sentria.llm.lm_scoring import op5_lm_scoring
 from sentria.llm.packing import op2_packing
 from sentria.llm.quality_model import op6_quality_model
 from sentria.llm.quality_rules import OP10_SQL, op10_quality_rules
@@ -12,6 +13,7 @@ from sentria.llm.token_files import op4_token_files
 from sentria.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op5_lm_scoring": op5_lm_scoring,
     "op9_jaccard_join": op9_jaccard_join,
     "op6_quality_model": op6_quality_model,
     "op7_toxicity": op7_toxicity,
