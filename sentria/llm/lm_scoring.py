@@ -2,11 +2,13 @@
 
 A text is its words, A-Z in lower case, each closed by a space, and an empty word
 as its end. Every bit of these bytes is predicted by counts under hashed contexts:
-the last one to four bytes of the word, and the word so far. A gate picks the
+the last two to six bytes of the word, and the word so far. A gate picks the
 weights by which the predictions are mixed in the logistic domain; the weights
 follow the error online, and an adaptive map refines the mix. Contexts end at word
 borders, so that each distinct word is coded once, however often it occurs, and the
 work follows the vocabulary. Counts come from every training word of the corpus.
+Inside a text a last, adaptive predictor expects what followed the word before when
+it last occurred; its mixture with the word's own probability is the text's score.
 
 While weights are learned, a word's own occurrence is taken out of the counts, so
 that they learn what the predictors are worth on unseen text.
@@ -27,17 +29,23 @@ from pyspark.sql import functions as F
 
 from sentria.llm.common import staged
 
-#: Slots (as a power of two) of the predictors: orders 1 to 4 and the word so far. Fixed: contexts share slots.
-SLOTS = (20, 20, 20, 20, 22)
+#: Bytes that the context predictors look back, within the word.
+ORDERS = (2, 3, 4, 6)
+#: Slots (as a power of two) of the predictors: one per order and the word so far. Fixed: contexts share slots.
+SLOTS = (20, 20, 20, 21, 22)
 INPUTS = len(SLOTS) + 1
 CHUNK = 1 << 16
+#: A weight moves so far at most in one step.
+MOST = 0.02
 GATES = 64
 BINS = 33
 #: Bytes coded at once, and words a task counts before it hands on.
-STEP_BYTES = 100_000
+STEP_BYTES = 20_000
 FLUSH_WORDS = 400_000
 #: Words whose scores every worker holds; the rest are joined by shuffle.
 HEAD_WORDS = 1 << 19
+#: Chance of a hit before any is seen, by the logarithm of the run of hits so far.
+FIRST = (0.01, 0.3, 0.7, 0.9, 0.97)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LN = 1 / math.log(2)
@@ -52,7 +60,7 @@ class Model:
     """Counts of each predictor (zeros, ones), gate weights and the adaptive map (ones, all)."""
 
     counts: list[np.ndarray] = field(default_factory=lambda: [np.zeros((2, 1 << b), np.float32) for b in SLOTS])
-    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 0.3))
+    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 0.2))
     refined: np.ndarray = field(default_factory=lambda: np.zeros((2, GATES, BINS)))
 
 
@@ -73,13 +81,14 @@ def lay_out(words: list[bytes]) -> Batch:
     word_of = np.repeat(np.arange(len(words)), lengths)
     inside = np.arange(len(flat)) - starts[word_of]
     contexts, h = [], np.zeros(len(flat), np.uint64)
-    for k in range(1, 5):
+    for k in range(1, max(ORDERS) + 1):
         back = np.zeros(len(flat), np.uint64)
         back[k:] = flat[:-k].astype(np.uint64) + np.uint64(1)
         back[inside < k] = 0
         h = (h + back) * MULT
         h ^= h >> np.uint64(29)
-        contexts.append(h + np.uint64(k))
+        if k in ORDERS:
+            contexts.append(h + np.uint64(k))
     # Hash of the word so far, from one running sum for all words.
     with np.errstate(over="ignore"):
         up = np.cumprod(np.full(len(flat), MULT, np.uint64))
@@ -145,7 +154,7 @@ def word_bits(model: Model, words: list[bytes]) -> np.ndarray:
 class Learner:
     """Online updates of gate weights, a step per bit position and batch."""
 
-    def __init__(self, model: Model, rate: float = 0.4):
+    def __init__(self, model: Model, rate: float = 0.7):
         self.model, self.rate, self.steps = model, rate, 0
         self.mass = np.zeros(GATES)
 
@@ -156,10 +165,11 @@ class Learner:
             miss = (bit - p) * per_byte
             mass = np.bincount(gate, per_byte, GATES)
             slope = np.stack([np.bincount(gate, miss * x, GATES) for x in inputs], axis=1)
-            # Normalised by the inputs' energy, so that the step suits every gate.
-            energy = np.bincount(gate, per_byte * (inputs**2).sum(axis=0), GATES)
+            # Normalised by the trace of the curvature, so that the step suits every gate.
+            energy = np.bincount(gate, per_byte * p * (1 - p) * (inputs**2).sum(axis=0), GATES)
             self.steps += 1
-            model.weights += self.rate * slope / (energy + 1e-6)[:, None] * 4
+            step = self.rate * slope / (energy + mass * 1e-3 + 1e-6)[:, None]
+            model.weights += np.clip(step, -MOST, MOST)
             self.mass += mass
             q = _bin(p)
             place = gate * BINS + q
@@ -175,6 +185,35 @@ def _batches(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
+def repeats(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asked, hit, p) per word of a text: adaptive prediction by what followed the word before, last time.
+
+    Where the word before has occurred already (asked), its last follower is
+    expected with probability p. p starts from ``FIRST`` and follows the hits in
+    this text, apart for each length of the current run of hits.
+    """
+    local: dict[bytes, int] = {}
+    ids = np.fromiter((local.setdefault(w, len(local)) for w in words), np.int64, len(words))
+    order = np.argsort(ids, kind="stable")
+    before = np.full(len(ids), -1)
+    again = ids[order[1:]] == ids[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    asked, hit = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    asked[1:] = before[:-1] >= 0
+    hit[1:] = asked[1:] & (ids[before[:-1] + 1] == ids[1:])
+    place = np.arange(len(ids))
+    last_miss = np.maximum.accumulate(np.where(hit, -1, place))
+    run = np.zeros(len(ids), np.int64)
+    run[1:] = place[:-1] - last_miss[:-1]
+    level = np.minimum(np.log2(run + 1), len(FIRST) - 1).astype(np.int64)
+    p = np.zeros(len(ids))
+    for k, first in enumerate(FIRST):
+        own = asked & (level == k)
+        n = np.arange(own.sum())
+        p[own] = (np.cumsum(hit[own]) - hit[own] + 8 * first) / (n + 8)
+    return asked, hit, p
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, c, total): occurrences in training rows and in all rows; the end is the empty word."""
 
@@ -320,10 +359,19 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
                 found.append(b"")
                 at = [index.get(w, -1) for w in found]
                 near = np.array([k for k in at if k >= 0], np.int64)
-                ids.append((row, doc_id, len(found), int(known[near].sum()), base[near].sum(), score[near].sum(), n_bytes, None))
+                at = np.array(at)
+                asked, hit, p = repeats(found)
+                alone = np.where(at >= 0, score[at], 0.0)
+                own = np.where(asked, np.log10(np.maximum(1 - p, 1e-12)), 0.0) + alone
+                # A hit is also coded by its own probability, which is nothing outside the head.
+                own[hit] = np.log10(p[hit] + (1 - p[hit]) * np.where(at[hit] >= 0, 10.0 ** alone[hit], 0.0))
+                ids.append((row, doc_id, len(found), int(known[near].sum()), base[near].sum(), own.sum(), n_bytes, None))
                 if len(near) < len(found):
-                    for w, c in Counter(w for w, k in zip(found, at) if k < 0).items():
-                        tails.append((row, None, c, 0, 0.0, 0.0, 0, w))
+                    every, coded = Counter(), Counter()
+                    for k in np.flatnonzero(at < 0):
+                        every[found[k]] += 1
+                        coded[found[k]] += not hit[k]
+                    tails += [(row, None, c, coded[w], 0.0, 0.0, 0, w) for w, c in every.items()]
                 row += 1
             columns = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "n_bytes", "word"]
             yield pd.DataFrame(ids + tails, columns=columns).astype({"doc_id": "Int64"})
@@ -337,13 +385,13 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     )
     times = F.col("t.n_tokens")
     tail = (
-        parts.where("word is not null").select("row", "n_tokens", "word").alias("t")
+        parts.where("word is not null").select("row", "n_tokens", F.col("n_known").alias("coded"), "word").alias("t")
         .join(scored.alias("s"), F.col("t.word") == F.col("s.word"))
         .groupBy("t.row")
         .agg(
             F.sum(F.when(F.col("s.c") > 0, times).otherwise(0)).alias("known2"),
             F.sum(times * (F.log10(F.col("s.c") + 0.5) - below)).alias("base2"),
-            F.sum(times * F.col("s.score")).alias("score2"),
+            F.sum(F.col("t.coded") * F.col("s.score")).alias("score2"),
         )
     )
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
