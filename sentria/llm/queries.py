@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sentria.llm.decontaminate import op8_decontaminate
+from sentria.llm.html_text import op3_html_text
 from sentria.llm.jaccard_join import op9_jaccard_join
 from sentria.llm.line_dedup import OP1_SQL, op1_line_dedup
 from sentria.llm.lm_scoring import op5_lm_scoring
@@ -13,6 +14,7 @@ from sentria.llm.token_files import op4_token_files
 from sentria.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op3_html_text": op3_html_text,
     "op5_lm_scoring": op5_lm_scoring,
     "op9_jaccard_join": op9_jaccard_join,
     "op6_quality_model": op6_quality_model,
