@@ -13,7 +13,9 @@ import numpy as np
 
 END_ID = 2
 #: Cached words per worker; the cache starts anew beyond it. It bounds memory, not results.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+#: New words that go to the tokenizer as one text.
+TOGETHER = 2_000
 #: A word that ends in a Latin letter and ASCII punctuation: the splitter cuts between the two.
 TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?|*#$%&]+)", re.S)
 
@@ -35,29 +37,50 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[bytes, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        #: Whether an id ends a word, where the vocabulary marks that.
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[k for name, k in names.items() if name.endswith("</w>")]] = True
 
     def _fill(self, missing: set[bytes]) -> None:
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache.clear()
         parts = {w: m.groups() for w in missing if (m := TAIL.fullmatch(w))}
-        alone = (missing - parts.keys()) | ({p for two in parts.values() for p in two} - self.cache.keys())
+        alone = {w for w in missing if w not in parts} | {p for two in parts.values() for p in two if p not in self.cache}
         alone = list(alone)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)
-        self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(alone, found))
+        texts = [w.decode() for w in alone]
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        for at in range(0, len(letters), TOGETHER):
+            self._together([alone[k] for k in letters[at : at + TOGETHER]])
+        rest = [k for k, w in enumerate(alone) if w not in self.cache]
+        found = self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
+        self.cache.update((alone[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(rest, found))
         for w, (body, tail) in parts.items():
             self.cache[w] = self.cache[body] + self.cache[tail]
 
+    def _together(self, words: list[bytes]) -> None:
+        """Encode words of letters as one text and part the ids at the word ends.
+
+        Each is one unit to the splitter. If the ends don't add up, nothing is kept.
+        """
+        ids = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids
+        ids = np.array(ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) == len(words) and stops[-1] == 4 * len(ids):
+            raw = ids.tobytes()
+            self.cache.update((w, raw[a:b]) for w, a, b in zip(words, [0, *stops], stops))
+
     def encode(self, texts: list[str | None], step: int = 64) -> list[bytes]:
         """Ids of each text as bytes, without an end id; null is empty."""
         out = []
         for at in range(0, len(texts), step):
             split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts[at : at + step]]
             wanted = {w for s in split for w in s}
-            missing = wanted - self.cache.keys()
+            missing = {w for w in wanted if w not in self.cache}
             if missing:
                 self._fill(missing)
                 # After a restart of the cache, earlier words are missing again.
-                if again := wanted - self.cache.keys():
+                if again := {w for w in wanted if w not in self.cache}:
                     self._fill(again)
             get = self.cache.__getitem__
             out += [b"".join(map(get, s)) for s in split]
