@@ -1,10 +1,12 @@
 """N-gram Jaccard join by vertical partitioning: documents linked by shared word 5-grams.
 
 1. Equal sets fall into one class; only one document of a class goes on.
-2. A global order of the n-grams puts frequent ones last. Two sets of the wanted
-   similarity share one of their first n-grams (prefix filter), so classes that may
-   link are connected through such n-grams. Each n-gram ties its classes to one of
-   them, never pair by pair; the connected groups are the families.
+2. A global order of the n-grams puts those of one set alone first and frequent ones
+   last. Two sets of the wanted similarity share one of their first n-grams (prefix
+   filter), so classes that may link are connected through such n-grams. Each n-gram
+   ties its classes to one of them, never pair by pair; the connected groups are the
+   families. Which n-grams may be in several sets is kept in a bit set of fixed size:
+   a clear bit is certain, and such n-grams never leave their task.
 3. In a family the order is cut into fragments. The overlaps of all its classes are
    counted per fragment and summed, as products of small incidence matrices, and
    compared with the exact threshold. Large families are cut into blocks that meet
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,9 @@ from sentria.llm.common import staged
 from sentria.llm.components import components
 
 SHINGLE = 5
+#: The bit set has two to this power bits. Sharing bits costs time only: the order stays valid.
+BITS = 28
+CHUNK_BITS = 22
 #: Frequent n-grams that get a rank of their own. The order stays valid, and the result
 #: the same, whichever they are; more of them only keep families small.
 MAX_FREQUENT = 1 << 16
@@ -83,50 +89,96 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+PROFILE = "kind int, doc_id long, n long, k1 long, k2 long, places binary"
+
+
+def _deltas(places: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(places, prepend=0).astype(np.uint32).tobytes())
+
+
+def _by_chunk(kind: int, places: np.ndarray) -> list[tuple]:
+    """Rows for sorted bit places: one per chunk of the bit set, with its number in n."""
+    chunks, first = np.unique(places >> CHUNK_BITS, return_index=True)
+    low = (1 << CHUNK_BITS) - 1
+    return [(kind, None, int(c), 0, 0, _deltas(part & low)) for c, part in zip(chunks, np.split(places, first[1:]))]
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """One row per document (kind 0: doc_id, n, k1, k2) and sightings of n-grams (kind 1: n, k1).
+    """One row per document (kind 0: doc_id, n, k1, k2), and what tasks saw of n-grams.
 
-    A sighting is an n-gram that several different sets of one task have, with their number.
+    Kind 1 (n, k1): an n-gram that n different sets of the task have. Kinds 2 and 3
+    (n, places): bits of the n-grams in one set or more, and in two or more.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in PROFILE.split(", ")]
         held, size, seen = [], 0, set()
 
-        def repeats() -> pd.DataFrame:
+        def summary() -> pd.DataFrame:
             h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            h, n = _signed(h[n > 1]), n[n > 1]
-            return pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(h), "Int64"), "n": n, "k1": h, "k2": 0})
+            place = (h >> np.uint64(64 - BITS)).astype(np.int64)
+            # Equal sets of one task count once; different n-grams on one bit count as a repeat.
+            twice = np.unique(np.concatenate([place[n > 1], place[1:][place[1:] == place[:-1]]]))
+            rows = [(1, None, int(c), int(x), 0, None) for x, c in zip(_signed(h[n > 1]), n[n > 1]) if c > 2]
+            rows += _by_chunk(2, np.unique(place)) + _by_chunk(3, twice)
+            return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(text)
                 key = set_key(s)
-                rows.append((0, doc_id, len(s), *key))
+                rows.append((0, doc_id, len(s), *key, None))
                 if key not in seen:
                     seen.add(key)
                     held.append(s)
                     size += len(s)
-            yield pd.DataFrame(rows, columns=["kind", "doc_id", "n", "k1", "k2"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
             if size > FLUSH:
-                yield repeats()
+                yield summary()
                 held, size, seen = [], 0, set()
-        yield repeats()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        read, "kind int, doc_id long, n long, k1 long, k2 long"
-    )
+        if held:
+            yield summary()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(read, PROFILE)
+
+
+def shared_bits(rows: DataFrame) -> np.ndarray:
+    """Packed bits of the n-grams that may be in two sets or more. A clear bit: in one at most."""
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        one, two = np.zeros(1 << CHUNK_BITS, bool), np.zeros(1 << CHUNK_BITS, bool)
+        for kind, packed in zip(frame["kind"], frame["places"]):
+            raw = zstandard.ZstdDecompressor().decompress(packed)
+            at = np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
+            if kind == 2:
+                two[at[one[at]]] = True
+                one[at] = True
+            else:
+                two[at] = True
+        packed = zstandard.ZstdCompressor(level=1).compress(np.packbits(two).tobytes())
+        return pd.DataFrame({"chunk": [frame["n"].iloc[0]], "bits": [packed]})
+
+    out = np.zeros((1 << BITS) // 8, np.uint8)
+    width = (1 << CHUNK_BITS) // 8
+    merged = rows.where("kind >= 2").select("kind", "n", "places").groupBy("n").applyInPandas(merge, "chunk long, bits binary")
+    # A fixed number of chunks, whatever the corpus.
+    for row in merged.toLocalIterator():
+        raw = zstandard.ZstdDecompressor().decompress(bytes(row["bits"]))
+        out[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(raw, np.uint8)
+    return out
 
 
-def _prefix_rows(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _prefix_rows(docs: DataFrame, shared: np.ndarray, frequent: np.ndarray, percent: int) -> DataFrame:
     """(h, k1, k2, l1, l2): a class under an n-gram of its prefix; l, where given, is another class with it.
 
-    Classes that meet in a task are tied there, so that an n-gram leaves a task with one class.
+    N-grams of one set alone are left out. Classes that meet in a task are tied there,
+    so that an n-gram leaves a task with one class.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((shared, frequent))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        late = shared.value  # frequent n-grams, the least frequent first
+        bits, late = sent.value  # late: frequent n-grams, the least frequent first
         by_hash = np.argsort(late)
         ordered = late[by_hash]
         held, keys, seen = [], [], set()
@@ -155,15 +207,20 @@ def _prefix_rows(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFra
                 if not len(s) or pd.isna(doc_id) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                rank = np.full(len(s), -1, np.int64)
+                place = (s >> np.uint64(64 - BITS)).astype(np.int64)
+                common = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+                rank = np.where(common, -1, -2)
                 if len(late):
                     at = np.minimum(np.searchsorted(ordered, s), len(late) - 1)
                     hit = ordered[at] == s
                     rank[hit] = by_hash[at[hit]]
                 length = len(s) - -(-percent * len(s) // 100) + 1
-                held.append(s[np.lexsort((s, rank))[:length]])
-                keys.append(key)
-                size += length
+                first = np.lexsort((s, rank))[:length]
+                first = first[rank[first] > -2]
+                if len(first):
+                    held.append(s[first])
+                    keys.append(key)
+                    size += len(first)
             if size > FLUSH:
                 yield flush()
                 held, keys, seen, size = [], [], set(), 0
@@ -173,9 +230,9 @@ def _prefix_rows(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFra
     return docs.select("doc_id", "text").mapInPandas(emit, "h long, k1 long, k2 long, l1 long, l2 long")
 
 
-def candidate_edges(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, shared: np.ndarray, frequent: np.ndarray, percent: int) -> DataFrame:
     """Pairs of class keys (x1, x2, y1, y2) that connect all classes with a prefix n-gram in common."""
-    rows = _prefix_rows(docs, frequent, percent)
+    rows = _prefix_rows(docs, shared, frequent, percent)
     # One row per n-gram and task, so a window holds no more rows than there are tasks.
     from pyspark.sql import Window
 
@@ -194,38 +251,20 @@ def _with_ids(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return edges.join(side("x", "a"), ["x1", "x2"]).join(side("y", "b"), ["y1", "y2"]).select("a", "b")
 
 
-def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(rep, label, n, hashes) of the members' texts; ``members`` has rep, k1, k2, label."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for rep, label, k1, k2, text in zip(batch["rep"], batch["label"], batch["k1"], batch["k2"], batch["text"]):
-                s = shingle_set(text)
-                # Another row may have the same doc_id.
-                if set_key(s) == (k1, k2):
-                    rows.append((rep, label, len(s), s.tobytes()))
-            yield pd.DataFrame(rows, columns=["rep", "label", "n", "hashes"])
-
-    texts = docs.join(members, F.col("doc_id") == F.col("rep")).select("rep", "label", "k1", "k2", "text")
-    return texts.mapInPandas(read, "rep long, label long, n long, hashes binary").dropDuplicates(["rep"])
-
-
-def _cells(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of ``sets`` once for every meeting of two blocks of a family: cell, side.
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (rep, label, n) with cells: the meetings of blocks in which the set takes part.
 
     Blocks have about ``BLOCK`` sets of similar size; sizes apart by more than the
     threshold allows never meet. A family within one block is one cell.
     """
     step = np.log(100 / percent)
-    banded = sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int"))
-    family = sets.groupBy("label").agg(F.count("*").alias("size"))
-    bands = banded.groupBy("label", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int"))
+    bands = banded.groupBy("label", "band").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     per_family = staged(
-        bands.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")).join(
-            family, "label"
+        bands.groupBy("label").agg(
+            F.sum("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("blocks")
         ),
-        "families",
+        "family-sizes",
     )
     own = F.pmod(F.xxhash64("rep"), F.try_element_at("blocks", F.col("band"))).cast("int")
     put = banded.join(per_family, "label").withColumn("own", own)
@@ -249,9 +288,23 @@ def _cells(sets: DataFrame, percent: int) -> DataFrame:
     )
     nowhere = block(F.lit(0), F.lit(0))
     alone = F.array(F.struct(nowhere.alias("one"), nowhere.alias("two"), F.lit(0).alias("side")))
-    return put.select(
-        "rep", "label", "n", "hashes", F.explode(F.when(F.col("size") <= BLOCK, alone).otherwise(cells)).alias("c")
-    ).select("rep", "label", "n", "hashes", "c.*")
+    return put.select("rep", "label", "k1", "k2", F.when(F.col("size") <= BLOCK, alone).otherwise(cells).alias("cells"))
+
+
+def _sets_of(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(label, one, two, side, rep, hashes): the members' sets in every cell they take part in."""
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.Series:
+        found = map(shingle_set, texts)
+        # Another row may have the same doc_id: its set is not the member's.
+        return pd.Series([s.tobytes() if set_key(s) == k else None for s, k in zip(found, zip(k1, k2))], dtype=object)
+
+    texts = docs.select("doc_id", "text").join(placed, F.col("doc_id") == F.col("rep"))
+    sets = texts.select("rep", "label", "cells", hashes("text", "k1", "k2").alias("hashes"))
+    none = F.array().cast(sets.schema["cells"].dataType)
+    met = F.explode(F.when(F.col("hashes").isNotNull(), F.col("cells")).otherwise(none)).alias("c")
+    return sets.select("label", met, "rep", "hashes").select("label", "c.*", "rep", "hashes")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -289,7 +342,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _connect(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """(a, b): each set that a link inside the cell connects with another, and the first set it reaches."""
-    frame = frame.sort_values("rep")
+    frame = frame.drop_duplicates(["rep", "side"]).sort_values("rep")
     one, two = frame[frame["side"] == 0], frame[frame["side"] == 1]
     sets = lambda f: [np.frombuffer(x, np.uint64) for x in f["hashes"]]
     diagonal = frame["one"].iloc[0] == frame["two"].iloc[0]
@@ -330,7 +383,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = staged(profiles(docs), "profiles")
     own = rows.where("kind = 0")
     classes = staged(
-        own.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes"
+        own.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")),
+        "classes",
     )
     # At most MAX_FREQUENT rows.
     often = (
@@ -338,11 +392,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .orderBy(F.col("c").desc(), "k1").limit(MAX_FREQUENT).select("k1").toPandas()
     )
     frequent = often["k1"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
-    edges = staged(candidate_edges(docs, frequent, percent), "candidates")
+    edges = staged(candidate_edges(docs, shared_bits(rows), frequent, percent), "candidates")
     families = staged(components(_with_ids(edges, classes)), "families")
-    members = families.join(classes, F.col("node") == F.col("rep")).select("rep", "k1", "k2", "label")
-    sets = staged(_sets_of(docs, members), "sets")
-    links = _cells(sets, percent).groupBy("label", "one", "two").applyInPandas(
+    members = families.join(classes, F.col("node") == F.col("rep")).select("rep", "k1", "k2", "n", "label")
+    placed = staged(_cells(members, percent), "placed")
+    links = _sets_of(docs, placed).groupBy("label", "one", "two").applyInPandas(
         lambda frame: _connect(frame, percent), "a long, b long"
     )
     labels = components(links)
