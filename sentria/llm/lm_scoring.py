@@ -17,6 +17,7 @@ that they learn what the predictors are worth on unseen text.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -242,8 +243,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
-def gather_counts(words: DataFrame) -> list[np.ndarray]:
-    """Counts of all contexts in all training words; tables of fixed size, summed in chunks."""
+def gather_counts(words: DataFrame) -> list[tuple[int, int, bytes]]:
+    """Counts of all contexts in all training words: compressed chunks of tables of fixed size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = [np.zeros((2, 1 << b), np.float32) for b in SLOTS]
@@ -274,20 +275,36 @@ def gather_counts(words: DataFrame) -> list[np.ndarray]:
 
     schema = "k int, chunk int, part binary"
     parts = words.where("c > 0").select("word", "c").mapInPandas(count, schema)
-    out = [np.zeros((2, 1 << b), np.float32) for b in SLOTS]
+    summed = parts.groupBy("k", "chunk").applyInPandas(add, schema)
     # A fixed number of chunks, whatever the corpus.
-    for row in parts.groupBy("k", "chunk").applyInPandas(add, schema).toLocalIterator():
-        raw = zstandard.ZstdDecompressor().decompress(bytes(row["part"]))
-        out[row["k"]][:, row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(raw, np.float32).reshape(2, -1)
-    return out
+    return [(r["k"], r["chunk"], bytes(r["part"])) for r in summed.toLocalIterator()]
 
 
-def learn(words: DataFrame, counts: list[np.ndarray]) -> Model:
-    """Gate weights and adaptive map from all training words; tasks learn apart and are averaged by mass."""
-    shared = words.sparkSession.sparkContext.broadcast(counts)
+#: The tables a worker has unpacked last, with the name they were sent under.
+_UNPACKED: dict[str, list[np.ndarray]] = {}
+
+
+def unpacked(sent: tuple[str, list[tuple[int, int, bytes]]]) -> list[np.ndarray]:
+    """Tables from their compressed chunks; kept for the worker's next tasks."""
+    name, chunks = sent
+    if name not in _UNPACKED:
+        _UNPACKED.clear()
+        tables = Model().counts
+        for k, chunk, part in chunks:
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.float32)
+            tables[k][:, chunk * CHUNK : (chunk + 1) * CHUNK] = raw.reshape(2, -1)
+        _UNPACKED[name] = tables
+    return _UNPACKED[name]
+
+
+def learn(words: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
+    """Gate weights and adaptive map from all training words; tasks learn apart and are averaged by mass.
+
+    ``tables`` is the broadcast of named chunks.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        learner = Learner(Model(counts=shared.value))
+        learner = Learner(Model(counts=unpacked(tables.value)))
         for frame in batches:
             for part in _batches(frame):
                 learner.learn(lay_out(part["word"].tolist()), part["c"].to_numpy(np.float64))
@@ -298,23 +315,23 @@ def learn(words: DataFrame, counts: list[np.ndarray]) -> Model:
 
     rows = words.where("c > 0").select("word", "c").mapInPandas(run, "place int, value double")
     summed = rows.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
-    model = Model(counts=counts)
+    model = Model(counts=[])
     if len(summed):
         a, b = GATES * INPUTS, GATES * INPUTS + GATES
         mass = summed[a:b]
         model.weights[mass > 0] = summed[:a].reshape(GATES, INPUTS)[mass > 0] / mass[mass > 0, None]
         model.refined = summed[b:].reshape(2, GATES, BINS)
-    return model
+    return model.weights, model.refined
 
 
-def score_words(words: DataFrame, model: Model) -> DataFrame:
+def score_words(words: DataFrame, tables, weights: np.ndarray, refined: np.ndarray) -> DataFrame:
     """(word, c, total, score): score is the word's log10 probability."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(unpacked(tables.value), weights, refined)
         for frame in batches:
             for part in _batches(frame):
-                yield part.assign(score=-word_bits(shared.value, part["word"].tolist()) * math.log10(2))
+                yield part.assign(score=-word_bits(model, part["word"].tolist()) * math.log10(2))
 
     return words.mapInPandas(run, "word binary, c long, total long, score double")
 
@@ -332,8 +349,8 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     words = staged(vocabulary(rows), "vocabulary")
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = learn(words, gather_counts(words))
-    scored = staged(score_words(words, model), "word-scores")
+    tables = spark.sparkContext.broadcast((uuid.uuid4().hex, gather_counts(words)))
+    scored = staged(score_words(words, tables, *learn(words, tables)), "word-scores")
     below = math.log10(n + 0.5 * (v + 1))
     # Bounded by HEAD_WORDS rows; ties in ``total`` are cut by the word.
     head = scored.orderBy(F.col("total").desc(), "word").limit(HEAD_WORDS).select("word", "c", "score").toPandas()
