@@ -300,7 +300,8 @@ def _sets_of(docs: DataFrame, placed: DataFrame) -> DataFrame:
         # Another row may have the same doc_id: its set is not the member's.
         return pd.Series([s.tobytes() if set_key(s) == k else None for s, k in zip(found, zip(k1, k2))], dtype=object)
 
-    texts = docs.select("doc_id", "text").join(placed, F.col("doc_id") == F.col("rep"))
+    # Always by shuffle: members grow with the corpus, so a broadcast would only suit small ones.
+    texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("rep"))
     sets = texts.select("rep", "label", "cells", hashes("text", "k1", "k2").alias("hashes"))
     none = F.array().cast(sets.schema["cells"].dataType)
     met = F.explode(F.when(F.col("hashes").isNotNull(), F.col("cells")).otherwise(none)).alias("c")
