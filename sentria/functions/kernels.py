@@ -352,7 +352,11 @@ def mixture_quantile(level: float, q, a1, r1, a2, r2) -> np.ndarray:
     x = 0.5 * hi
     k1 = a1 * np.log(r1) - log_gamma(a1)
     k2 = a2 * np.log(r2) - log_gamma(a2)
+    out = np.empty(len(q))
+    left = np.arange(len(q))
     for _ in range(200):
+        if not len(left):
+            return out
         f = mixture_cdf(x, q, a1, r1, a2, r2) - level
         lo = np.where(f < 0, x, lo)
         hi = np.where(f < 0, hi, x)
@@ -363,10 +367,13 @@ def mixture_quantile(level: float, q, a1, r1, a2, r2) -> np.ndarray:
         inside = (step > lo) & (step < hi)
         nxt = np.where(inside, step, 0.5 * (lo + hi))
         done = np.abs(nxt - x) <= 1e-13 * x
-        x = nxt
-        if done.all():
-            break
-    return x
+        out[left[done]] = nxt[done]
+        x, lo, hi, q, a1, r1, a2, r2, k1, k2, left = (
+            v[~done] for v in (nxt, lo, hi, q, a1, r1, a2, r2, k1, k2, left)
+        )
+    if len(left):
+        raise RuntimeError("a quantile of the mixture has not converged")
+    return out
 
 
 def gamma_mixture_udf(level: float, rr0: float) -> Callable:

@@ -17,7 +17,8 @@ HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 
 _INF = float("inf")
 _NAN = float("nan")
-_SHIFT = 7  # arguments are raised by this much before the asymptotic series
+_SHIFT = 7  # small arguments are raised by this much before the asymptotic series
+_LARGE = 16  # arguments from here on take the series as they are
 
 
 def num(value: Column | float | str) -> Column:
@@ -97,15 +98,24 @@ def raised_inverse(x: str) -> Column:
 
 
 def _raised_inverse(x: str) -> str:
-    return _solid(f"1D / ({x} + {_lit(_SHIFT)})")
+    return _solid(f"1D / {_raised(x)}")
+
+
+def _small(x: str, value: str) -> str:
+    """The correction for the shift; large arguments are not shifted and need none."""
+    return f"CASE WHEN {x} < {_lit(_LARGE)} THEN {value} ELSE 0D END"
+
+
+def _raised(x: str) -> str:
+    return f"({x} + {_small(x, _lit(_SHIFT))})"
 
 
 def lgamma(x: str, r: str | None = None) -> Column:
     """log Gamma(x) for x > 0: shifted Stirling series."""
     r = r or _raised_inverse(x)
-    y = f"({x} + {_lit(_SHIFT)})"
+    y = _raised(x)
     tail = f"{r} * {_horner(f'({r} * {r})', [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156])}"
-    rising = _solid(f"ln({_horner(f'({x})', _RISING)})")
+    rising = _small(x, _solid(f"ln({_horner(f'({x})', _RISING)})"))
     return F.expr(f"({y} - 0.5D) * {_solid(f'ln({y})')} - {y} + {_lit(HALF_LOG_2PI)} + {tail} - {rising}")
 
 
@@ -114,7 +124,7 @@ def digamma(x: str, r: str | None = None) -> Column:
     r = r or _raised_inverse(x)
     square = f"({r} * {r})"
     tail = f"{square} * {_horner(square, [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760, 1 / 12])}"
-    below = _solid(f"{_horner(f'({x})', _RISING_1)} / {_horner(f'({x})', _RISING)}")
+    below = _small(x, _solid(f"{_horner(f'({x})', _RISING_1)} / {_horner(f'({x})', _RISING)}"))
     return F.expr(f"-{_solid(f'ln({r})')} - {r} * 0.5D - {tail} - {below}")
 
 
@@ -124,7 +134,7 @@ def trigamma(x: str, r: str | None = None) -> Column:
     square = f"({r} * {r})"
     tail = f"{r} * {square} * {_horner(square, [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6])}"
     product, slope, bend = (_horner(f"({x})", c) for c in (_RISING, _RISING_1, _RISING_2))
-    below = _solid(f"({slope} * {slope} - {product} * {bend}) / ({product} * {product})")
+    below = _small(x, _solid(f"({slope} * {slope} - {product} * {bend}) / ({product} * {product})"))
     return F.expr(f"{r} + {square} * 0.5D + {tail} + {below}")
 
 

@@ -54,8 +54,9 @@ def contingency(
     )
     columns = [*by, "drug_code", "event_effect", "n11", "n1_", "n_1", "N"]
     if min_margin <= 1:
-        # Both margins, the total and the pairs themselves read the same counts.
-        return _with_margins(settle(base, "event_effect", "drug_code", *by), by).select(*columns)
+        # Both margins, the total and the pairs themselves read the same counts. Laid
+        # out by drug, they give the drug margin and its join without another exchange.
+        return _with_margins(settle(base, *by, "drug_code"), by).select(*columns)
     pairs = [*by, "drug_code", "event_effect", "n11"]
     base = cut_lineage(base)
     while True:

@@ -2,8 +2,8 @@
 
 ``N`` of the statistics is a sum over pairs, so every count here is a plain
 two-step aggregate: duplicates go first, then ``count`` with partial sums on the
-map side. A report, drug or event that holds a large share of all rows is
-shrunk by the partial aggregates before anything is shuffled on its key.
+map side. A drug or event that holds a large share of all rows is shrunk by the
+partial aggregates before anything is shuffled on its key.
 """
 
 from __future__ import annotations
@@ -57,18 +57,23 @@ def pair_counts_from_tables(
     drug: str,
     event: str,
     report: str = "REPORT_ID",
+    by: str | None = None,
 ) -> DataFrame:
     """Pair counts straight from report x drug and report x reaction rows.
 
     Both sides are made distinct before they meet, so no row of the joined
     fact is duplicated and no distinct over the fan-out is needed. A report
     contributes at most (its distinct drugs) x (its distinct events) rows.
+    Each side moves once: behind the exchange on the report, neither the
+    distinct nor the join needs another. ``by``, a column of the drug rows that
+    goes with the report (its quarter), gives separate counts.
     """
-    drugs = drug_rows.select(report, drug).na.drop().distinct()
-    events = reaction_rows.select(report, event).na.drop().distinct()
+    keys = [by] if by else []
+    drugs = drug_rows.select(report, *keys, drug).na.drop().repartition(report).distinct()
+    events = reaction_rows.select(report, event).na.drop().repartition(report).distinct()
     return (
         drugs.join(events, report)
-        .groupBy(drug, event)
+        .groupBy(*keys, drug, event)
         .agg(F.count(F.lit(1)).cast("long").alias("count"))
     )
 

@@ -215,6 +215,7 @@ def nested_age_excluded(docs: DataFrame, hi: float = 100) -> DataFrame:
     return nested_ages(docs).filter(F.col("age") > hi).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def nested_vocabulary(docs: DataFrame, path: str, k: int = 1000, pattern: str = "[%,]") -> DataFrame:
-    """The k most frequent terms under a path without reserved characters, sorted."""
-    return drop_terms(nested_top(docs, path, k), "term", pattern).select("term").orderBy("term")
+def nested_vocabulary(docs: DataFrame, path: str, k: int | None = None, pattern: str = "[%,]") -> DataFrame:
+    """All terms under a path without reserved characters, sorted; with ``k`` only the k most frequent."""
+    terms = nested_counts(docs, path) if k is None else nested_top(docs, path, k)
+    return drop_terms(terms, "term", pattern).select("term").orderBy("term")

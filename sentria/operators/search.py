@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentria.session import cut_lineage
+
 REPORT = "REPORT_ID"
 SERIOUS_NO_DEATH = "Serious(Excluding Death)"
 
@@ -184,10 +186,13 @@ def is_empty(t: DataFrame) -> bool:
 def restrict(t: DataFrame, ids: DataFrame, empty_means_all: bool = True) -> DataFrame:
     """Rows of the selected reports; all rows if the selection is empty.
 
-    Persist ``ids`` when it feeds several summaries.
+    With ``empty_means_all`` the selection is evaluated once and written, as both
+    the test and the join read it.
     """
-    if empty_means_all and is_empty(ids):
-        return t
+    if empty_means_all:
+        ids = cut_lineage(ids.select(REPORT))
+        if is_empty(ids):
+            return t
     return t.join(ids.select(REPORT), REPORT, "left_semi")
 
 

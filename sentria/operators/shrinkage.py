@@ -32,6 +32,7 @@ class GammaMixture:
     beta2: float = 4.0
     w: float = 1.0 / 3.0
     log_likelihood: float = float("nan")
+    converged: bool = False
 
     def to_vector(self) -> np.ndarray:
         """Unconstrained parameters: logs of the four, logit of the weight."""
@@ -42,9 +43,11 @@ class GammaMixture:
         return (self.alpha1, self.beta1, self.alpha2, self.beta2, self.w)
 
     @classmethod
-    def from_vector(cls, v: np.ndarray, log_likelihood: float = float("nan")) -> GammaMixture:
+    def from_vector(
+        cls, v: np.ndarray, log_likelihood: float = float("nan"), converged: bool = False
+    ) -> GammaMixture:
         a1, b1, a2, b2 = (float(x) for x in np.exp(v[:4]))
-        return cls(a1, b1, a2, b2, 1.0 / (1.0 + math.exp(-v[4])), log_likelihood)
+        return cls(a1, b1, a2, b2, 1.0 / (1.0 + math.exp(-v[4])), log_likelihood, converged)
 
 
 def _component(n: Column, e: Column, alpha: float, beta: float) -> Column:
@@ -136,7 +139,6 @@ def gps_fit(
     ct: DataFrame,
     start: GammaMixture | None = None,
     include_empty: bool = True,
-    squash_digits: int | None = None,
     max_steps: int = 200,
     tolerance: float = 1e-6,
 ) -> GammaMixture:
@@ -145,17 +147,15 @@ def gps_fit(
     Likelihood and gradient are sums over cells: each step is one Spark
     aggregate over the observed cells, plus the closed form over the classes of
     empty cells when ``include_empty`` (the full drug x event table). The
-    driver holds five parameters and a 5 x 5 matrix. ``squash_digits`` merges
-    cells with equal counts and E equal to that many decimals; the default uses
-    E as it is.
+    driver holds five parameters and a 5 x 5 matrix. Cells with equal counts and
+    margins are merged before the search. ``converged`` of the result tells whether ``max_steps`` sufficed.
     """
     pairs = cut_lineage(ct.select("drug_code", "event_effect", "n11", "n1_", "n_1", "N"))
-    e = num("n1_") * num("n_1") / num("N")
-    cells = pairs.select(num("n11").alias("n"), e.alias("e"), F.lit(1.0).alias("cells"))
-    if squash_digits is not None:
-        rounded = cells.withColumn("e", F.round("e", squash_digits)).filter(F.col("e") > 0)
-        cells = rounded.groupBy("n", "e").agg(F.sum("cells").alias("cells"))
-    cells = cells.persist()
+    # E is a function of the product of the margins: their order makes no difference.
+    low, high = F.least("n1_", "n_1").alias("low"), F.greatest("n1_", "n_1").alias("high")
+    merged = pairs.select("n11", low, high, "N").groupBy("n11", "low", "high", "N").agg(F.count(F.lit(1)).alias("cells"))
+    e = num("low") * num("high") / num("N")
+    cells = merged.select(num("n11").alias("n"), e.alias("e"), num("cells").alias("cells")).persist()
     empty = empty_cells(pairs) if include_empty else (np.zeros(0), np.zeros(0))
     size = float(cells.agg(F.sum("cells")).head()[0]) + float(empty[1].sum())
 
@@ -166,13 +166,13 @@ def gps_fit(
             sums = sums + negative_binomial_sums(np.zeros(len(empty[0])), *empty, params)
         return -sums[0] / size, -sums[1:] / size
 
-    v, value = _quasi_newton(objective, (start or GammaMixture()).to_vector(), max_steps, tolerance)
+    v, value, converged = _quasi_newton(objective, (start or GammaMixture()).to_vector(), max_steps, tolerance)
     cells.unpersist()
-    return GammaMixture.from_vector(v, -value * size)
+    return GammaMixture.from_vector(v, -value * size, converged)
 
 
-def _quasi_newton(objective, x: np.ndarray, max_steps: int, tolerance: float) -> tuple[np.ndarray, float]:
-    """BFGS with backtracking; the objective never increases."""
+def _quasi_newton(objective, x: np.ndarray, max_steps: int, tolerance: float) -> tuple[np.ndarray, float, bool]:
+    """BFGS with backtracking; the objective never increases. The last value: whether it ended by itself."""
     inverse = np.eye(len(x))
     f, g = objective(x)
     for _ in range(max_steps):
@@ -200,7 +200,9 @@ def _quasi_newton(objective, x: np.ndarray, max_steps: int, tolerance: float) ->
             inverse = left @ inverse @ left.T + rho * np.outer(s, s)
         if gain < 1e-13 * max(1.0, abs(f)):
             break
-    return x, f
+    else:
+        return x, f, False
+    return x, f, True
 
 
 def gps(

@@ -9,16 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def vocabulary(t: DataFrame, *columns: str, drop_first: int = 0, ordered: bool = True) -> DataFrame:
+def vocabulary(t: DataFrame, *columns: str, clean: bool = False, ordered: bool = True) -> DataFrame:
     """Distinct non-null values of one or more columns, sorted, as ``term``.
 
-    ``drop_first`` leaves out that many leading values of the sorted list.
+    ``clean`` leaves out names that are no text: blank ones and those with control characters.
     """
     parts = [t.select(F.col(c).alias("term")) for c in columns]
     terms = reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("term").isNotNull()).distinct()
-    if drop_first:
-        bad = terms.orderBy("term").limit(drop_first)
-        terms = terms.join(bad, "term", "left_anti")
+    if clean:
+        terms = terms.filter(~F.col("term").rlike(r"\p{Cntrl}|^\s*$"))
     return terms.orderBy("term") if ordered else terms
 
 

@@ -7,7 +7,10 @@ import math
 from sentria.sources.star_views import with_views
 
 SINCE = 19961
+MARGIN = 1700
 Z = 1.959963984540054
+# The component is in bits below, the master tables are in natural units.
+LN2 = 0.6931471805599453
 
 _IN_BRANDS = "DRUGNAME IN ('Brand#2 ECONOMY', 'Brand#17 ECONOMY', 'Brand#9 STANDARD')"
 _IN_INGREDIENTS = "IN ('Brand#3', 'Brand#12')"
@@ -265,7 +268,7 @@ def _master(level: str) -> str:
         f"WITH {_fact_counts(level)}, {_ct('pairs')}, {_fisher()}, {_cells()}, {_PRR.format(prev='cells')}, "
         f"{_ROR.format(prev='PRR_t')}, {_RRR.format(prev='ROR_t')}, {_bcpnn('ct')} "
         f"SELECT t.drug_code, t.event_effect, t.n11 AS \"count\", t.n1_ AS drug_margin, t.n_1 AS event_margin, t.N, "
-        f"{_r4('expected_count', *ratios, 'RFET', 'midRFET')}, round(IC, 4) AS median_IC, {_r4('LB95_IC', 'UB95_IC', 'postH0')} "
+        f"{_r4('expected_count', *ratios, 'RFET', 'midRFET')}, round(IC * {LN2}, 4) AS median_IC, round(LB95_IC * {LN2}, 4) AS LB95_IC, round(UB95_IC * {LN2}, 4) AS UB95_IC, {_r4('postH0')} "
         "FROM RRR_t t JOIN fisher USING (drug_code, event_effect) JOIN ic USING (drug_code, event_effect)"
     )
 
@@ -300,16 +303,20 @@ def oracles() -> dict[str, str]:
     add("s5_write_stats",
         f"WITH {_fact_counts('HLT_NAME_ENG')}, {_ct('pairs')} SELECT drug_code, event_effect, n11, "
         "round(CAST(n11 AS DOUBLE) * N / (CAST(n1_ AS DOUBLE) * n_1), 4) AS RRR FROM ct", "fact")
+    def padded(c: str) -> str:
+        text = f"CAST({c} AS VARCHAR)"
+        return f"chr(9) || CASE WHEN length({text}) >= 9 THEN {text} ELSE lpad({text}, 9, '0') END AS {c}"
+
     add("s6_export_reports",
-        "SELECT chr(9) || CASE WHEN length(CAST(REPORT_ID AS VARCHAR)) >= 9 THEN CAST(REPORT_ID AS VARCHAR) ELSE lpad(CAST(REPORT_ID AS VARCHAR), 9, '0') END AS REPORT_ID, "
-        "chr(9) || CASE WHEN length(REPORT_NO) >= 9 THEN REPORT_NO ELSE lpad(REPORT_NO, 9, '0') END AS REPORT_NO, "
-        "DATINTRECEIVED_CLEAN, GENDER_ENG, AGE_Y, OUTCOME_ENG FROM reports", "reports")
+        f"SELECT {padded('REPORT_ID')}, {padded('REPORT_NO')}, CAST(DATINTRECEIVED_CLEAN AS VARCHAR) AS DATINTRECEIVED_CLEAN, GENDER_ENG, OUTCOME_ENG FROM reports", "reports")
+    add("s6_export_drugs", f"SELECT {padded('REPORT_ID')}, CAST(REPORT_DRUG_ID AS VARCHAR) AS REPORT_DRUG_ID, DRUGNAME, DRUGINVOLV_ENG FROM report_drug", "report_drug")
+    add("s6_export_reactions", f"SELECT {padded('REPORT_ID')}, PT_NAME_ENG, SOC_NAME_ENG FROM reactions", "reactions")
     add("s7_export_signals",
         f"WITH {_fact_counts('HLT_NAME_ENG')}, {_ct('pairs')}, {_cells()}, {_PRR.format(prev='cells')} "
         "SELECT drug_code, event_effect, n11, round(PRR, 4) AS PRR FROM PRR_t", "fact")
     add("s8_read_nested",
-        "SELECT receivedate, occurcountry, CAST(patientsex AS BIGINT) AS patientsex, d.n AS n_drug, d.n AS n_reaction FROM doc_reports "
-        "JOIN (SELECT REPORT_ID, count(*) AS n FROM doc_drugs GROUP BY 1) d USING (REPORT_ID)", "doc_reports", "doc_drugs")
+        "SELECT receivedate, occurcountry, CAST(patientsex AS BIGINT) AS patientsex, coalesce(d.n, 0) AS n_drug, coalesce(d.n, 0) AS n_reaction FROM doc_reports "
+        "LEFT JOIN (SELECT REPORT_ID, count(*) AS n FROM doc_drugs GROUP BY 1) d USING (REPORT_ID)", "doc_reports", "doc_drugs")
 
     # Cleaning
     clean = (
@@ -405,13 +412,13 @@ def oracles() -> dict[str, str]:
     add("j4_attach_flags",
         f"SELECT r.REPORT_ID, PT_NAME_ENG, SERIOUSNESS_ENG, CAST(DEATH AS BIGINT) AS DEATH FROM reactions r LEFT JOIN reports p ON p.REPORT_ID = r.REPORT_ID WHERE {_SERIOUS}", "reactions", "reports")
     add("j5_semi_keys",
-        f"WITH {_PT_COUNTS}, top AS (SELECT drug_code FROM pairs ORDER BY n11 DESC, drug_code || '_' || event_effect LIMIT 10) "
-        "SELECT REPORT_DRUG_ID, DRUGNAME FROM report_drug WHERE DRUGNAME IN (SELECT drug_code FROM top)", "report_drug", "reactions")
+        f"WITH {_PT_COUNTS}, top AS (SELECT drug_code, event_effect FROM pairs ORDER BY n11 DESC, drug_code || '_' || event_effect LIMIT 10) "
+        "SELECT REPORT_ID, REPORT_DRUG_ID, DRUGNAME, PT_NAME_ENG FROM report_drug JOIN reactions USING (REPORT_ID) WHERE (DRUGNAME, PT_NAME_ENG) IN (SELECT (drug_code, event_effect) FROM top)", "report_drug", "reactions")
     add("j6_with_all_categories",
-        "WITH s AS (SELECT DRUGINVOLV_ENG, count(*) AS n FROM report_drug WHERE DRUGINVOLV_ENG <> 'Concomitant' GROUP BY 1) "
+        "WITH s AS (SELECT DRUGINVOLV_ENG, count(*) AS n FROM report_drug GROUP BY 1) "
         + _categories(["Suspect", "Concomitant", "Treatment", "Past"], "DRUGINVOLV_ENG", "s"), "report_drug")
     add("j7_class_counts",
-        f"SELECT * FROM (WITH chosen AS (SELECT * FROM reports), {_calendar_series('year')}) t WHERE death > 0", "reports")
+        f"SELECT * FROM (WITH chosen AS (SELECT * FROM reports), {_calendar_series('year')}) t", "reports")
     add("j8_fill_calendar",
         "WITH calendar AS (SELECT CAST(unnest(generate_series(CAST(min(time_p) AS TIMESTAMP), CAST(max(time_p) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS time_p FROM events_months) "
         "SELECT time_p, CAST(coalesce(n, 0) AS BIGINT) AS n FROM calendar LEFT JOIN events_months USING (time_p)", "events_months")
@@ -440,6 +447,12 @@ def oracles() -> dict[str, str]:
     add("a4_pair_rows_quarter", f"SELECT ing, HLT_NAME_ENG, quarter, count(*) AS n FROM fact WHERE quarter >= {SINCE} GROUP BY 1, 2, 3", "fact")
     add("a5_quarters", f"WITH {_COHORT} SELECT DISTINCT quarter FROM cohort", "fact")
     add("a6_contingency", f"WITH {_PT_COUNTS}, {_ct('pairs')} SELECT * FROM ct", "report_drug", "reactions")
+    rounds = 12
+    add("a6_contingency_threshold",
+        f"WITH RECURSIVE {_PT_COUNTS}, kept(step, drug_code, event_effect, n11) AS (SELECT 0, drug_code, event_effect, n11 FROM pairs UNION ALL "
+        "SELECT step + 1, drug_code, event_effect, n11 FROM (SELECT *, sum(n11) OVER (PARTITION BY drug_code) AS a, sum(n11) OVER (PARTITION BY event_effect) AS b FROM kept) m "
+        f"WHERE a >= {MARGIN} AND b >= {MARGIN} AND step < {rounds}), last AS (SELECT drug_code, event_effect, n11 FROM kept WHERE step = {rounds}), "
+        f"{_ct('last')} SELECT * FROM ct", "report_drug", "reactions")
     add("a7_report_series", f"WITH chosen AS (SELECT * FROM reports), {_calendar_series('year')}", "reports")
     add("a7_report_series_monthly", f"WITH chosen AS (SELECT * FROM reports WHERE {d} BETWEEN DATE '1997-02-10' AND DATE '1998-11-20'), {_calendar_series('month')}", "reports")
     add("a8_report_total", "SELECT count(DISTINCT REPORT_ID) AS n_reports FROM report_drug", "report_drug")
@@ -476,7 +489,7 @@ def oracles() -> dict[str, str]:
     add("a20_top_pt", _top("PT_NAME_ENG", "reactions", 15), "reactions")
     add("a21_top_hlt", _top("HLT_Term", "reactions", 15, condition="HLT_Term IS NOT NULL"), "reactions")
     add("a22_by_outcome", "SELECT OUTCOME_ENG, count(*) AS n FROM reports GROUP BY 1", "reports")
-    add("a23_vocabulary_brand", "SELECT DISTINCT DRUGNAME AS term FROM report_drug ORDER BY 1 OFFSET 2", "report_drug")
+    add("a23_vocabulary_brand", "SELECT DISTINCT DRUGNAME AS term FROM report_drug", "report_drug")
     add("a23_vocabulary_reaction", "SELECT PT_NAME_ENG AS term FROM reactions UNION SELECT SMQ FROM reactions WHERE SMQ IS NOT NULL", "reactions")
     add("a23_vocabulary_ingredient", "SELECT DISTINCT ACTIVE_INGREDIENT_NAME AS term FROM drug_ingredients", "drug_ingredients")
     add("a23_vocabulary_substance", "SELECT DISTINCT ing AS term FROM substances", "substances")
@@ -491,6 +504,12 @@ def oracles() -> dict[str, str]:
         "lead_pairs AS (SELECT drug_code AS ing, event_effect AS PT_NAME_ENG FROM ic ORDER BY IC DESC NULLS FIRST, LB95_IC DESC NULLS FIRST, drug_code, event_effect LIMIT 10), "
         "grid AS (SELECT * FROM lead_pairs CROSS JOIN (SELECT DISTINCT quarter FROM rows_q) q) "
         "SELECT ing || '_' || PT_NAME_ENG AS label, quarter, coalesce(n, 0) AS n FROM grid LEFT JOIN rows_q USING (ing, PT_NAME_ENG, quarter)", "fact")
+    hlt_rows = "rows_q AS (SELECT ing, HLT_NAME_ENG, quarter, count(*) AS n FROM cohort GROUP BY 1, 2, 3)"
+    add("a26_pair_series_hlt",
+        f"WITH {_fact_counts('HLT_NAME_ENG')}, {_ct('pairs')}, {_bcpnn('ct')}, {hlt_rows}, "
+        "lead_pairs AS (SELECT drug_code AS ing, event_effect AS HLT_NAME_ENG FROM ic WHERE n11 >= 3 ORDER BY IC DESC NULLS FIRST, LB95_IC DESC NULLS FIRST, drug_code, event_effect LIMIT 10), "
+        "grid AS (SELECT * FROM lead_pairs CROSS JOIN (SELECT DISTINCT quarter FROM cohort) q) "
+        "SELECT ing || '_' || HLT_NAME_ENG AS label, quarter, coalesce(n, 0) AS n FROM grid LEFT JOIN rows_q USING (ing, HLT_NAME_ENG, quarter)", "fact")
     add("a27_total_series", f"WITH {_COHORT} SELECT 'total for query' AS label, quarter, count(*) AS n FROM cohort WHERE ing {_IN_DRUGS} GROUP BY quarter", "fact")
 
     # Nested documents, checked on the flat rows
@@ -543,7 +562,7 @@ def oracles() -> dict[str, str]:
     fisher = f"SELECT drug_code, event_effect, n11, {_r4('RFET', 'midRFET')} FROM fisher"
     add("d4_d5_rfet_pt", f"{pt}, {_fisher()} {fisher}", *pt_views)
     add("d4_d5_rfet_hlt", f"{hlt}, {_fisher()} {fisher}", "fact")
-    add("d4_rfet_or2", f"{hlt}, {_fisher(1.5)} {fisher} WHERE n11 >= 100", "fact")
+    add("d4_rfet_or2", f"{hlt}, {_fisher(2.0)} {fisher} WHERE n11 >= 100", "fact")
     ic = f"SELECT drug_code, event_effect, n11, {_r4('IC', 'var_IC', 'LB95_IC', 'UB95_IC', 'postH0')} FROM ic"
     add("d6_bcpnn_pt", f"{pt}, {_bcpnn('ct')} {ic}", *pt_views)
     add("d6_bcpnn_hlt", f"{hlt}, {_bcpnn('ct', 1.1)} {ic} WHERE n11 >= 90", "fact")
@@ -553,15 +572,18 @@ def oracles() -> dict[str, str]:
     add("d9_signals_pt", _master("PT_NAME_ENG"), "fact")
     add("d9_signals_hlt", _master("HLT_NAME_ENG"), "fact")
     by_quarter = f"WITH {_fact_counts('HLT_NAME_ENG', 'quarter')}, {_ct('pairs', 'quarter')}, {_bcpnn('ct', carry='quarter, drug_code, event_effect, n11, n1_, n_1, N')}"
+    ratios = [f"{bound}{name}" for name in ("PRR", "ROR", "RRR") for bound in ("", "LB95_", "UB95_")]
     add("d10_signals_quarter",
-        f"{by_quarter} SELECT quarter, drug_code, event_effect, n11 AS \"count\", n1_ AS drug_margin, n_1 AS event_margin, N, round(CAST(n1_ AS DOUBLE) * n_1 / N, 4) AS expected_count, "
-        "round(CAST(n11 AS DOUBLE) * N / (CAST(n1_ AS DOUBLE) * n_1), 4) AS RRR, round(IC, 4) AS median_IC, round(LB95_IC, 4) AS LB95_IC FROM ic", "fact")
+        f"{by_quarter}, {_cells('quarter')}, {_PRR.format(prev='cells')}, {_ROR.format(prev='PRR_t')}, {_RRR.format(prev='ROR_t')} "
+        "SELECT t.quarter, t.drug_code, t.event_effect, t.n11 AS \"count\", t.n1_ AS drug_margin, t.n_1 AS event_margin, t.N, "
+        f"{_r4('expected_count', *ratios)}, round(IC * {LN2}, 4) AS median_IC, round(LB95_IC * {LN2}, 4) AS LB95_IC "
+        "FROM RRR_t t JOIN ic USING (quarter, drug_code, event_effect)", "fact")
     add("d11_cumulative_contingency",
         f"WITH {_fact_counts('PT_NAME_ENG', 'quarter')}, qs AS (SELECT DISTINCT quarter FROM pairs), "
         "cum AS (SELECT q.quarter, p.drug_code, p.event_effect, CAST(sum(p.n11) AS BIGINT) AS n11 FROM qs q JOIN pairs p ON p.quarter <= q.quarter GROUP BY 1, 2, 3), "
         f"{_ct('cum', 'quarter')} SELECT quarter, drug_code, event_effect, n11, n1_, n_1, N FROM ct", "fact")
     add("d12_cumulative_ic",
-        f"{by_quarter} SELECT quarter, drug_code, event_effect, round(sum(IC) OVER w, 4) AS IC_cumulative, round(sum(LB95_IC) OVER w, 4) AS LB95_IC_cumulative "
+        f"{by_quarter} SELECT quarter, drug_code, event_effect, round(sum(IC) OVER w * {LN2}, 4) AS IC_cumulative, round(sum(LB95_IC) OVER w * {LN2}, 4) AS LB95_IC_cumulative "
         "FROM ic WINDOW w AS (PARTITION BY drug_code, event_effect ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "fact")
     add("d13_error_rates_null_probability", _error_rates(_PT_COUNTS, "p"), *pt_views)
     add("d13_error_rates_lower_bound", _error_rates(_fact_counts("HLT_NAME_ENG"), "lb DESC"), "fact")

@@ -44,9 +44,10 @@ TERMS = ("Supplier#000000004", "Supplier#000000027", "SMQ 0")
 SOCS = ("ASIA", "EUROPE")
 DRUGS = ("Brand#5", "Brand#6", "Brand#20")
 HLTS = ("NATION_3", "NATION_11")
+MARGIN = 1700  # removes a third of the pairs at scale factor 0.01
 # Fixed prior of the shrinkage queries that have an SQL check.
 PRIOR = shrinkage.GammaMixture(alpha1=3.0, beta1=2.5, alpha2=40.0, beta2=41.0, w=0.3)
-EXPORT_COLUMNS = ("REPORT_ID", "REPORT_NO", "DATINTRECEIVED_CLEAN", "GENDER_ENG", "AGE_Y", "OUTCOME_ENG")
+TEXT_EXPORT_COLUMNS = ("REPORT_ID", "REPORT_NO", "DATINTRECEIVED_CLEAN", "GENDER_ENG", "OUTCOME_ENG")
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -138,9 +139,21 @@ def _s5(spark, sf):
     return _r4(spark.read.parquet(path).select("drug_code", "event_effect", "n11", "RRR"))
 
 
-@_query("s6_export_reports")
-def _s6(spark, sf):
-    return snapshots.export_frame(view(spark, sf, "reports"), EXPORT_COLUMNS)
+def _exported(name: str, columns: tuple[str, ...]) -> Query:
+    """A CSV export, written and read back as text."""
+
+    def run(spark, sf):
+        path = new_shared_path(spark, f"export-{name}")
+        snapshots.export_csv(view(spark, sf, name), columns, path)
+        read = spark.read.option("header", True).option("nullValue", "NA").option("escape", '"')
+        return read.schema(", ".join(f"{c} string" for c in columns)).csv(path)
+
+    return run
+
+
+_query("s6_export_reports")(_exported("reports", TEXT_EXPORT_COLUMNS))
+_query("s6_export_drugs")(_exported("report_drug", ("REPORT_ID", "REPORT_DRUG_ID", "DRUGNAME", "DRUGINVOLV_ENG")))
+_query("s6_export_reactions")(_exported("reactions", ("REPORT_ID", "PT_NAME_ENG", "SOC_NAME_ENG")))
 
 
 @_query("s7_export_signals")
@@ -160,9 +173,9 @@ def _s8(spark, sf):
         "receivedate",
         "occurcountry",
         F.col("patient.patientsex").cast("long").alias("patientsex"),
-        F.size("patient.drug").cast("long").alias("n_drug"),
-        F.size("patient.reaction").cast("long").alias("n_reaction"),
-    ).filter("n_drug > 0")
+        F.coalesce(F.size("patient.drug"), F.lit(0)).cast("long").alias("n_drug"),
+        F.coalesce(F.size("patient.reaction"), F.lit(0)).cast("long").alias("n_reaction"),
+    )
 
 
 # --- cleaning ----------------------------------------------------------------
@@ -418,19 +431,19 @@ def _j4(spark, sf):
 
 @_query("j5_semi_keys")
 def _j5(spark, sf):
-    # Key list: the ten most frequent pairs.
-    pairs = summaries.top_k(
-        _pt_counts(spark, sf).withColumn("k", F.concat_ws("_", "DRUGNAME", "PT_NAME_ENG")), "k", 10, "count"
-    )
-    return joins.semi_keys(
-        view(spark, sf, "report_drug").select("REPORT_DRUG_ID", "DRUGNAME"), pairs, {"DRUGNAME": "DRUGNAME"}
+    # Key list: the ten most frequent pairs; both columns are the key.
+    counted = _pt_counts(spark, sf)
+    pairs = summaries.top_k(counted.withColumn("k", F.concat_ws("_", "DRUGNAME", "PT_NAME_ENG")), "k", 10, "count")
+    rows = view(spark, sf, "report_drug").select("REPORT_ID", "REPORT_DRUG_ID", "DRUGNAME").join(
+        view(spark, sf, "reactions").select("REPORT_ID", "PT_NAME_ENG"), "REPORT_ID"
     )
+    return joins.semi_keys(rows, pairs, ["DRUGNAME", "PT_NAME_ENG"])
 
 
 @_query("j6_with_all_categories")
 def _j6(spark, sf):
-    t = view(spark, sf, "report_drug").filter(F.col("DRUGINVOLV_ENG") != "Concomitant")
-    per_kind = summaries.count_by(t, "DRUGINVOLV_ENG", "DRUGINVOLV_ENG")
+    # "Past" does not occur in the table.
+    per_kind = summaries.count_by(view(spark, sf, "report_drug"), "DRUGINVOLV_ENG", "DRUGINVOLV_ENG")
     return _long(
         joins.with_all_categories(per_kind, "DRUGINVOLV_ENG", ["Suspect", "Concomitant", "Treatment", "Past"]),
         "position",
@@ -439,12 +452,11 @@ def _j6(spark, sf):
 
 @_query("j7_class_counts")
 def _j7(spark, sf):
-    return summaries.report_series(view(spark, sf, "reports")).filter("death > 0")
+    return summaries.report_series(view(spark, sf, "reports"))
 
 
 @_query("j8_fill_calendar")
 def _j8(spark, sf):
-    # Months of one rare drug leave gaps in the calendar.
     t = view(spark, sf, "events_months")
     return summaries.fill_calendar(t, "time_p", "month")
 
@@ -543,8 +555,7 @@ def _a6(spark, sf):
 def _a6b(spark, sf):
     # A threshold that removes some drugs and events: the fix-point takes rounds.
     pairs = _pt_counts(spark, sf)
-    typical = pairs.groupBy("DRUGNAME").agg(F.sum("count").alias("m")).agg(F.percentile("m", F.lit(0.3))).head()[0]
-    return ctg.contingency(pairs, "DRUGNAME", "PT_NAME_ENG", min_margin=int(typical))
+    return ctg.contingency(pairs, "DRUGNAME", "PT_NAME_ENG", min_margin=MARGIN)
 
 
 @_query("a7_report_series")
@@ -594,7 +605,7 @@ _query("a18_drugs_per_report")(_on("report_drug", summaries.drugs_per_report))
 _query("a19_reports_over")(_on("report_drug", lambda t: summaries.reports_over(t, 6)))
 _query("a20_top_pt")(_on("reactions", lambda t: summaries.top_terms(t, "PT")))
 _query("a21_top_hlt")(_on("reactions", lambda t: summaries.top_terms(t, "HLT")))
-_query("a23_vocabulary_brand")(_on("report_drug", lambda t: vocab.vocabulary(t, "DRUGNAME", drop_first=2)))
+_query("a23_vocabulary_brand")(_on("report_drug", lambda t: vocab.vocabulary(t, "DRUGNAME", clean=True)))
 _query("a23_vocabulary_reaction")(_on("reactions", lambda t: vocab.vocabulary(t, "PT_NAME_ENG", "SMQ")))
 _query("a23_vocabulary_ingredient")(_on("drug_ingredients", lambda t: vocab.vocabulary(t, "ACTIVE_INGREDIENT_NAME")))
 _query("a23_vocabulary_substance")(_on("substances", lambda t: vocab.vocabulary(t, "ing")))
@@ -617,6 +628,14 @@ def _a26(spark, sf):
     )
 
 
+@_query("a26_pair_series_hlt")
+def _a26b(spark, sf):
+    cohort = _cohort(spark, sf)
+    chosen = plans.signals(cohort, "HLT", exact=False, ordered=False).filter(F.col("count") >= 3)
+    rows = counts.pair_rows_by_quarter(cohort, "HLT")
+    return series.pair_series(chosen, rows, "HLT", quarter_list=counts.quarters(cohort))
+
+
 @_query("a27_total_series")
 def _a27(spark, sf):
     return series.total_series(counts.pair_rows_by_quarter(_cohort(spark, sf)), DRUGS)
@@ -681,7 +700,7 @@ _query("d3_rrr")(_stat(disp.rrr))
 _KEYS = ("drug_code", "event_effect", "n11")
 _query("d4_d5_rfet_pt")(_stat(lambda t: disp.rfet(t).select(*_KEYS, "RFET", "midRFET")))
 _query("d4_d5_rfet_hlt")(_stat(lambda t: disp.rfet(t).select(*_KEYS, "RFET", "midRFET"), _hlt_ct))
-_query("d4_rfet_or2")(_stat(lambda t: disp.rfet(t, or0=1.5, min_n11=100).select(*_KEYS, "RFET", "midRFET"), _hlt_ct))
+_query("d4_rfet_or2")(_stat(lambda t: disp.rfet(t, or0=2, min_n11=100).select(*_KEYS, "RFET", "midRFET"), _hlt_ct))
 _BCPNN = (*_KEYS, "IC", "var_IC", "LB95_IC", "UB95_IC", "postH0")
 _query("d6_bcpnn_pt")(_stat(lambda t: bayes.bcpnn(t).select(*_BCPNN)))
 _query("d6_bcpnn_hlt")(_stat(lambda t: bayes.bcpnn(t, rr0=1.1, min_n11=90).select(*_BCPNN), _hlt_ct))
@@ -719,8 +738,9 @@ _query("d9_signals_hlt")(_signals("HLT"))
 @_query("d10_signals_quarter")
 def _d10(spark, sf):
     t = plans.signals(_cohort(spark, sf), "HLT", by="quarter", exact=False, ordered=False)
+    ratios = [c for name in ("PRR", "ROR", "RRR") for c in (name, f"LB95_{name}", f"UB95_{name}") if c in t.columns]
     return _r4(t.select("quarter", "drug_code", "event_effect", "count", "drug_margin", "event_margin", "N",
-                        "expected_count", "RRR", "median_IC", "LB95_IC"))
+                        "expected_count", *ratios, "median_IC", "LB95_IC"))
 
 
 @_query("d11_cumulative_contingency")

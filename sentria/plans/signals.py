@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ def all_statistics(
 ) -> DataFrame:
     """Every statistic on one frame, without joins.
 
-    The component is the closed form (its posterior median is its mean) unless
-    ``draws`` asks for sampling. ``prior`` adds the shrinkage columns. Rows are
+    The component is in natural units, closed form (its posterior median is its
+    mean) unless ``draws`` asks for sampling. ``prior`` adds the shrinkage columns. Rows are
     repartitioned once for the Arrow steps.
     """
     t = rrr(ror(prr(cells(ct))))
@@ -44,7 +46,7 @@ def all_statistics(
     if draws:
         t = bcpnn_mc(t, draws=draws, seed=seed, by=by)
     else:
-        t = bcpnn(t).withColumnRenamed("IC", "median_IC").drop("var_IC")
+        t = bcpnn(t, log_base=math.e).withColumnRenamed("IC", "median_IC").drop("var_IC")
     if prior is not None:
         t = gps(t.withColumnRenamed("postH0", "_ic_h0"), prior).drop("Q", "n11_over_E")
         t = t.withColumnsRenamed({"postH0": "gps_postH0", "_ic_h0": "postH0"})

@@ -14,6 +14,8 @@ SESSION_CONF = {
     # At test scale fact tables would fit the default limit; keep them shuffled, as on a cluster.
     "spark.sql.autoBroadcastJoinThreshold": "2MB",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

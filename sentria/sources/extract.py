@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_extract(spark: SparkSession, directory: str, schemas: Mapping[str, T.StructType]) -> dict[str, DataFrame]:
+def read_extract(spark: SparkSession, directory: str, schemas: Mapping[str, T.StructType],
+    corrupt: str | None = None, multi_line: bool = False,
+) -> dict[str, DataFrame]:
     """Headerless ``$``-separated files ``<name>.txt``, one table per schema.
 
-    Fields are stripped, double quotes quote, short lines are filled up. A
-    missing text field is an empty string, a missing number is null and the
-    text ``NA`` is null.
+    Fields are stripped, double quotes quote (doubled inside), backslashes are
+    plain, short lines are filled up. A missing text field is an empty string, a
+    missing number is null and the text ``NA`` is null. Lines with too many
+    fields, or with text in place of a number, keep what fits; with ``corrupt``
+    they carry the whole line in a column of that name, else null. ``multi_line``
+    allows quoted line breaks; such files are not split between tasks.
     """
     tables = {}
     for name, schema in schemas.items():
         raw = (
-            spark.read.schema(schema)
+            spark.read.schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]) if corrupt else schema)
+            .option("columnNameOfCorruptRecord", corrupt or "_corrupt_record")
+            .option("escape", '"')
+            .option("multiLine", multi_line)
             .option("sep", "$")
             .option("header", False)
             .option("quote", '"')
@@ -50,4 +58,5 @@ HIERARCHY_SCHEMA = T.StructType(
 def read_hierarchy(spark: SparkSession, path: str, version: str) -> DataFrame:
     """Term hierarchy file of one dictionary version; quotes and ``#`` are plain text."""
     raw = spark.read.schema(HIERARCHY_SCHEMA).option("sep", "$").option("quote", "").csv(path)
+    raw = raw.na.fill("", [f.name for f in HIERARCHY_SCHEMA.fields if isinstance(f.dataType, T.StringType)])
     return raw.drop("unused_10", "unused_13").withColumn("MEDDRA_VERSION", F.lit(version))

@@ -115,7 +115,7 @@ FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     # Monthly counts of expensive orders: some months have none.
     "events_months": """
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS time_p, count(*) AS n
-FROM {orders} WHERE o_totalprice > 498500 GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)""",
+FROM {orders} GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)""",
 }
 
 

@@ -25,7 +25,7 @@ def test_every_check_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     # Queries of the training-data subpackage are tested in its own folder.
     own = {n for n in QUERIES if n == "pipeline" or n.startswith("op")}
-    assert set(QUERIES) - set(ORACLES) - own == {"a6_contingency_threshold", "d7_bcpnn_mc", "d8a_gps_fit"}
+    assert set(QUERIES) - set(ORACLES) - own == {"d7_bcpnn_mc", "d8a_gps_fit"}
 
 
 def test_entry(spark):

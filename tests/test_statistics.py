@@ -254,12 +254,8 @@ def test_queries_without_sql_run(name, spark, sf_dir):
 
 
 def test_threshold_query_against_brute_force(spark, sf_dir):
-    from sentria.plans.registry import _pt_counts, registry
+    from sentria.plans.registry import MARGIN, _pt_counts, registry
 
     pairs = [(r.DRUGNAME, r.PT_NAME_ENG, r["count"]) for r in _pt_counts(spark, sf_dir).collect()]
-    margins = {}
-    for d, _, n in pairs:
-        margins[d] = margins.get(d, 0) + n
-    k = int(np.quantile(list(margins.values()), 0.3))
     got = {p: (r.n11, r.n1_, r.n_1) for p, r in by_pair(registry()["a6_contingency_threshold"](spark, sf_dir)).items()}
-    assert got == fix_point(pairs, k)
+    assert got == fix_point(pairs, MARGIN)
