@@ -44,13 +44,14 @@ def shingles(text: Column) -> Column:
     )
 
 
-def _bit(h: Column) -> Column:
-    return F.pmod(h, F.lit(FILTER_BITS))
+def _places(h: Column) -> tuple[Column, Column]:
+    """The two bits of a shingle."""
+    return F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(h, 24), F.lit(FILTER_BITS))
 
 
 def filter_bits(items: DataFrame) -> list[int]:
     """The items' shingles as a bit set of fixed size (``FILTER_BITS`` / 64 longs)."""
-    h = items.select(F.explode("wins").alias("h")).select(_bit(F.col("h")).alias("b"))
+    h = items.select(F.explode("wins").alias("h")).select(F.explode(F.array(*_places(F.col("h")))).alias("b"))
     found = h.groupBy(F.expr("cast(b div 64 as int)").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")
     )
@@ -127,11 +128,15 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = 0.8) ->
     # The bit set goes into the plan once, as one foldable array.
     bits = F.expr("array(" + ",".join(f"{b}L" if b > -(1 << 63) else "shiftleft(1L, 63)" for b in filter_bits(bench)) + ")")
 
-    is_hit = lambda table: lambda h: F.call_function(
-        "shiftright", F.get(table, (_bit(h) / 64).cast("int")), (_bit(h) % 64).cast("int")
-    ).bitwiseAND(F.lit(1)) == 1
+    def hit(h: Column) -> Column:
+        one, two = (
+            F.call_function("shiftright", F.get(bits, F.call_function("shiftright", b, F.lit(6)).cast("int")), (b % 64).cast("int"))
+            .bitwiseAND(F.lit(1)) == 1
+            for b in _places(h)
+        )
+        return one & two
+
     split = docs.where("doc_id is not null").select("doc_id", shingles(F.col("text")).alias("wins"))
-    hit = is_hit(bits)
     near = split.select(
         "doc_id", "wins", F.filter(F.transform("wins", lambda h, i: F.when(hit(h), i)), lambda i: i.isNotNull()).alias("at")
     ).where(F.size("at") > 0)
