@@ -31,9 +31,11 @@ END_TO_END = (
     "a1_pair_counts_pt",
     "a6_contingency",
     "d1_prr",
+    "d9_signals_pt",
     "d9_signals_hlt",
     "d10_signals_quarter",
     "d11_cumulative_contingency",
+    "d12_cumulative_ic",
     "d13_error_rates_null_probability",
     "f11_search_reports",
     "f13_restrict",

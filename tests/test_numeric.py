@@ -89,3 +89,21 @@ def test_mixture_quantile_inverts_the_distribution():
     args = (q, np.array([3.0, 12.0, 700_000.0]), np.array([2.0, 5.0, 700_000.0]), np.full(3, 41.0), np.full(3, 44.0))
     x = k.mixture_quantile(0.05, *args)
     assert np.allclose(k.mixture_cdf(x, *args), 0.05, atol=1e-10)
+
+
+@pytest.mark.parametrize("x", [1.0, 15.999, 16.0, 3e13, 1e18])
+def test_special_functions_at_any_size(spark, x):
+    """Against series whose rest is below double precision for arguments of 50 or more."""
+    big, steps = x, []
+    while big < 50:
+        steps.append(big)
+        big += 1
+    r = 1 / big
+    psi = math.log(big) - r / 2 - r**2 / 12 + r**4 / 120 - r**6 / 252 - sum(1 / v for v in steps)
+    psi1 = r + r**2 / 2 + r**3 / 6 - r**5 / 30 + r**7 / 42 + sum(1 / v**2 for v in steps)
+    row = spark.createDataFrame([(x,)], "x double").select(
+        s.digamma("x").alias("d"), s.trigamma("x").alias("t"), s.lgamma("x").alias("g")
+    ).first()
+    assert row.d == pytest.approx(psi, rel=1e-13, abs=1e-13)
+    assert row.t == pytest.approx(psi1, rel=1e-12)
+    assert row.g == pytest.approx(math.lgamma(x), rel=1e-13, abs=1e-13)
