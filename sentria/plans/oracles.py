@@ -273,10 +273,10 @@ def _master(level: str) -> str:
     )
 
 
-def _error_rates(counts: str, order: str) -> str:
+def _error_rates(counts: str, order: str, scores: str = "") -> str:
     return (
-        f"WITH {counts}, {_ct('pairs')}, {_bcpnn('ct')}, "
-        "s AS (SELECT drug_code, event_effect, round(postH0, 6) AS p, round(LB95_IC, 6) AS lb FROM ic), "
+        f"WITH {counts}, {_ct('pairs')}, "
+        + (scores or f"{_bcpnn('ct')}, s AS (SELECT drug_code, event_effect, round(postH0, 6) AS p, round(LB95_IC, 6) AS lb FROM ic), ") +
         f"r AS (SELECT *, row_number() OVER w AS rank, sum(p) OVER w AS cum, count(*) OVER () AS m, sum(p) OVER () AS total "
         f"FROM s WINDOW w AS (ORDER BY {order}, drug_code, event_effect ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
         "SELECT drug_code, event_effect, rank, round(cum / rank, 4) AS FDR, "
@@ -587,4 +587,11 @@ def oracles() -> dict[str, str]:
         "FROM ic WINDOW w AS (PARTITION BY drug_code, event_effect ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "fact")
     add("d13_error_rates_null_probability", _error_rates(_PT_COUNTS, "p"), *pt_views)
     add("d13_error_rates_lower_bound", _error_rates(_fact_counts("HLT_NAME_ENG"), "lb DESC"), "fact")
+    finer = _GPS_H0.replace(", 4) AS postH0", ", 6) AS postH0")
+    add("d13_error_rates_gps",
+        _error_rates(_fact_counts("HLT_NAME_ENG"), "p", f"{_GPS}, s AS (SELECT drug_code, event_effect, postH0 AS p FROM ({finer}) h), "), "fact")
+    add("d9_signals_gps",
+        f"{hlt}, {_bcpnn('ct')}, {_GPS}, means AS ({_GPS_MEANS}), h0 AS ({_GPS_H0}) "
+        f"SELECT drug_code, event_effect, means.n11 AS \"count\", round(IC * {LN2}, 4) AS median_IC, postE_lambda, postE_log2_lambda, h0.postH0 AS gps_postH0 "
+        "FROM means JOIN h0 USING (drug_code, event_effect) JOIN ic USING (drug_code, event_effect)", "fact")
     return out

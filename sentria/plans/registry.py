@@ -735,6 +735,12 @@ _query("d9_signals_pt")(_signals("PT"))
 _query("d9_signals_hlt")(_signals("HLT"))
 
 
+@_query("d9_signals_gps")
+def _d9_gps(spark, sf):
+    t = plans.signals(_cohort(spark, sf), "HLT", exact=False, ordered=False, prior=PRIOR)
+    return _r4(t.select("drug_code", "event_effect", "count", "median_IC", "postE_lambda", "postE_log2_lambda", "gps_postH0"))
+
+
 @_query("d10_signals_quarter")
 def _d10(spark, sf):
     t = plans.signals(_cohort(spark, sf), "HLT", by="quarter", exact=False, ordered=False)
@@ -771,6 +777,12 @@ def _d13b(spark, sf):
     return _r4(ranking.error_rates(stats, "LB95_IC").select(*_RATES))
 
 
+@_query("d13_error_rates_gps")
+def _d13c(spark, sf):
+    stats = shrinkage.gps(_hlt_ct(spark, sf), PRIOR).select(*_KEYS, F.round("postH0", 6).alias("postH0"))
+    return _r4(ranking.error_rates(stats).select(*_RATES))
+
+
 def _ranked_stats(ct: DataFrame) -> DataFrame:
     # Rounded, so that the order is the same in both engines.
     stats = bayes.bcpnn(ct)
