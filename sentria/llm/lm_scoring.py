@@ -44,7 +44,7 @@ BINS = 33
 STEP_BYTES = 20_000
 FLUSH_WORDS = 400_000
 #: Words whose scores every worker holds; the rest are joined by shuffle.
-HEAD_WORDS = 1 << 19
+HEAD_WORDS = 1 << 18
 #: Chance of a hit before any is seen, by the logarithm of the run of hits so far.
 FIRST = (0.01, 0.3, 0.7, 0.9, 0.97)
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -362,6 +362,7 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
             head["c"].to_numpy() > 0,
         )
     )
+    del head
 
     def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

@@ -56,7 +56,7 @@ def test_token_files(spark, sf_dir, ids):
     assert len(rows) == len(ids)
 
 
-@pytest.mark.parametrize("head", [1 << 19, 500])
+@pytest.mark.parametrize("head", [1 << 18, 500])
 def test_lm_base(spark, sf_dir, docs, head, monkeypatch):
     from sentria.llm import lm_scoring
 
