@@ -86,9 +86,8 @@ def kept_text(text, drops):
 
     def keeps(words):
         def keep(_, i):
-            word = F.coalesce(F.get(words, F.floor(i / 64).cast("int")), F.lit(0))
-            bit = i % 64
-            return (F.when(bit == 63, (word < 0).cast("int")).otherwise((F.call_function("shiftright", word, bit) % 2 != 0).cast("int"))) == 0
+            word = F.coalesce(F.get(words, F.call_function("shiftright", i, F.lit(6))), F.lit(0))
+            return F.call_function("shiftright", word, i % 64) % 2 == 0
 
         return keep
 
