@@ -644,8 +644,19 @@ def _a27(spark, sf):
 # --- nested documents --------------------------------------------------------
 
 
+#: Where an application has written the nested documents of a data folder.
+_NESTED: dict[tuple[str, str], str] = {}
+
+
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return nested_source.nest_reports(*[view(spark, sf, v) for v in ("doc_reports", "doc_drugs", "doc_reactions")])
+    """The documents, built from the flat tables once in an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _NESTED:
+        path = new_shared_path(spark, "documents")
+        views = [view(spark, sf, v) for v in ("doc_reports", "doc_drugs", "doc_reactions")]
+        nested_source.nest_reports(*views).write.parquet(path)
+        _NESTED[key] = path
+    return spark.read.parquet(_NESTED[key])
 
 
 def _on_docs(fn):
