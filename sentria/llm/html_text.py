@@ -248,10 +248,11 @@ class Layouts:
     def article(self) -> str:
         r = self.r
         out = [f"<h1 data-main>{self.words(3, 14)}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 14)):
+        short = r.random() < 0.3
+        for _ in range(r.randint(1, 2 if short else 14)):
             roll = r.random()
             if roll < 0.78:
-                out.append(r.choice(["<p data-main>%s</p>", "<p data-main><b>%s<br>", "<p data-main>%s"]) % self.words(1, 120))
+                out.append(r.choice(["<p data-main>%s</p>", "<p data-main><b>%s<br>", "<p data-main>%s"]) % self.words(1, 8 if short else 120))
             elif roll < 0.84:
                 out.append(f"<h2 data-main>{self.words(1, 8)}</h2>")
             elif roll < 0.9:
