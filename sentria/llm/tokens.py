@@ -1,7 +1,9 @@
 """Token ids of whole texts, by the tokenizers library, with a cache per worker.
 
-The vocabulary's splitter never crosses white space, so a text's ids are those of
-its words one after the other. Words repeat, so most are looked up.
+Added tokens of the vocabulary (such as its end mark) that stand literally in a text
+are one id each, as in the library, and cut the text. Between them the splitter never
+crosses white space, so the ids are those of the words one after the other. Words
+repeat, so most are looked up.
 """
 
 from __future__ import annotations
@@ -35,8 +37,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        #: The library encodes texts whole where added tokens are more than literal marks.
+        self.whole = any(t.normalized or t.lstrip or t.rstrip or t.single_word or not t.special for t in added.values())
+        #: Ids of added tokens. No word has a blank, so these keys differ from lower-cased words.
+        self.marks = {b" " + t.content.encode(): np.array([k], "<u4").tobytes() for k, t in added.items()}
+        literal = sorted((m[1:] for m in self.marks), key=len, reverse=True)
+        self.literal, self.cut = literal, re.compile(b"(" + b"|".join(map(re.escape, literal)) + b")")
+        # Words between marks are lower-cased, which must not turn them into marks.
+        self.tokenizer.encode_special_tokens = not self.whole
+        self.cache: dict[bytes, bytes] = dict(self.marks)
         names = self.tokenizer.get_vocab()
         #: Whether an id ends a word, where the vocabulary marks that.
         self.ends = np.zeros(max(names.values()) + 1, bool)
@@ -45,6 +55,7 @@ class WordEncoder:
     def _fill(self, missing: set[bytes]) -> None:
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache.clear()
+            self.cache.update(self.marks)
         parts = {w: m.groups() for w in missing if (m := TAIL.fullmatch(w))}
         alone = {w for w in missing if w not in parts} | {p for two in parts.values() for p in two if p not in self.cache}
         alone = list(alone)
@@ -70,11 +81,26 @@ class WordEncoder:
             raw = ids.tobytes()
             self.cache.update((w, raw[a:b]) for w, a, b in zip(words, [0, *stops], stops))
 
+    def _words(self, text: str | None) -> list[bytes]:
+        """Keys of a text: lower-cased words, and added tokens after a blank."""
+        raw = (text or "").encode("utf-8", "replace")
+        if not any(m in raw for m in self.literal):
+            return raw.lower().split()
+        out: list[bytes] = []
+        for k, part in enumerate(self.cut.split(raw)):
+            out += [b" " + part] if k % 2 else part.lower().split()
+        return out
+
     def encode(self, texts: list[str | None], step: int = 64) -> list[bytes]:
         """Ids of each text as bytes, without an end id; null is empty."""
         out = []
         for at in range(0, len(texts), step):
-            split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts[at : at + step]]
+            if self.whole:
+                plain = [(t or "").encode("utf-8", "replace").decode() for t in texts[at : at + step]]
+                found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
+                out += [np.array(e.ids, "<u4").tobytes() for e in found]
+                continue
+            split = [self._words(t) for t in texts[at : at + step]]
             wanted = {w for s in split for w in s}
             missing = {w for w in wanted if w not in self.cache}
             if missing:

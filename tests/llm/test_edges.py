@@ -64,6 +64,55 @@ def test_packing(odd, none):
     assert rows.loc[rows["doc_id"] == 0, "doc_tokens"].tolist() == [1]
 
 
+MARKED = [
+    "hello <|endoftext|> world",
+    "A<|endoftext|>B, <|ENDOFTEXT|> <|startoftext|><|endoftext|>x",
+    "<|end<|endoftext|>oftext|> e<|endoftext|>\u0301 no mark",
+    "<|endoftext|>",
+    "<|EndOfText|> only looks like one",
+]
+
+
+def test_added_tokens_are_one_id(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from sentria.llm import tokens
+
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in MARKED]
+    assert 49407 in wanted[0]
+    own = tokens.WordEncoder(tokens.default_vocabulary())
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(MARKED)] == wanted
+    # The marks outlive a restart of the cache.
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(MARKED[::-1], step=1)] == wanted[::-1]
+    crc = [zlib.crc32(np.array([*w, 2], "<u4").tobytes()) for w in wanted]
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    packed = pack(docs, sequence=256).orderBy("doc_id").collect()
+    assert [(r.length, r.ids_crc32) for r in packed] == [(len(w) + 1, c) for w, c in zip(wanted, crc)]
+    rows = read_tokens(spark, write_tokens(docs)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(w) + 1, c) for w, c in zip(wanted, crc)]
+    assert [r.start for r in rows] == [sum(len(w) + 1 for w in wanted[:k]) for k in range(len(wanted))]
+
+
+def test_other_added_tokens_go_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from sentria.llm import tokens
+
+    vocabulary = json.load(open(tokens.default_vocabulary()))
+    vocabulary["added_tokens"][1] |= {"lstrip": True, "special": False}
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps(vocabulary))
+    library = Tokenizer.from_file(str(path))
+    found = tokens.WordEncoder(str(path)).encode(MARKED)
+    assert [np.frombuffer(b, "<u4").tolist() for b in found] == [
+        library.encode(t, add_special_tokens=False).ids for t in MARKED
+    ]
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 100, 200).tolist()
