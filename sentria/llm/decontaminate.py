@@ -2,9 +2,10 @@
 
 1. Shingles (five words) of the documents are tested against a bit set of the
    items' shingles; a window without any cannot reach the similarity.
-2. Around each hit stands one window per item length. Its SimHash is found by
-   multi-index blocks: fingerprints within ``RADIUS`` bits agree in at least one
-   of ``RADIUS + 1`` blocks, so an equi-join on (length, block, value) misses none.
+2. Every window of an item's length is fingerprinted that holds enough shingles of
+   items of that length to reach the similarity, wherever it starts. Its SimHash is
+   found by multi-index blocks: fingerprints within ``RADIUS`` bits agree in at least
+   one of ``RADIUS + 1`` blocks, so an equi-join on (length, block, value) misses none.
 3. The weighted Jaccard similarity of window and item, shingles weighted by
    their number, is computed exactly for what is left.
 """
@@ -95,6 +96,19 @@ def _first_equal_block(x: Column) -> Column:
     return out
 
 
+def _spans() -> Column:
+    """(low, high) of the starts of all windows of ``len`` shingles with ``need`` of the sorted positions ``hits``.
+
+    A window whose first hit is number j starts behind hit j - 1 (so that no start is
+    given twice), not behind hit j, and reaches hit j + need - 1.
+    """
+    spans = F.expr(
+        "transform(slice(hits, 1, size(hits) - need + 1), (p, j) -> struct("
+        "greatest(0, get(hits, j - 1) + 1, get(hits, j + need - 1) - len + 1) as low, least(p, n - len) as high))"
+    )
+    return F.filter(spans, lambda s: s["low"] <= s["high"])
+
+
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Sum of minima over sum of maxima of the numbers of each hash in two arrays; null if both are empty."""
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
@@ -142,29 +156,34 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = 0.8) ->
     ).where(F.size("at") > 0)
     near = staged(near.withColumn("row_key", F.xxhash64("wins")), "near")
 
-    places = bench.select("item_id", F.size("wins").alias("m"), F.posexplode("wins").alias("offset", "h"))
-    starts = (
+    shared = bench.select(F.size("wins").alias("m"), F.explode("wins").alias("h")).distinct()
+    need = F.ceil(similarity * (F.col("len") + F.col("m")) / (1 + similarity) - 1e-6).cast("int")
+    spans = (
         near.select("doc_id", "row_key", F.size("wins").alias("n"), F.explode("at").alias("pos"), "wins")
         .select("doc_id", "row_key", "n", "pos", F.get("wins", F.col("pos")).alias("h"))
-        .join(hint(places.select("h", "m", "offset").distinct()), "h")
-        .select(
-            "doc_id",
-            "row_key",
-            F.least("m", "n").alias("len"),
-            "m",
-            F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("m"))).alias("start"),
-        )
+        .join(hint(shared), "h")
+        .groupBy("doc_id", "row_key", "n", "m")
+        .agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+        .withColumn("len", F.least("m", "n"))
+        .withColumn("need", need)
+        .where(F.size("hits") >= F.col("need"))
+        .select("doc_id", "row_key", "len", "m", _spans().alias("spans"))
+        .where(F.size("spans") > 0)
         .groupBy("doc_id", "row_key")
-        .agg(F.collect_set(F.struct("start", "len", "m")).alias("places"))
+        .agg(F.collect_list(F.struct("len", "m", "spans")).alias("places"))
     )
-    windows = staged(
-        starts.join(near.dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", "wins"), ["doc_id", "row_key"])
-        .select("doc_id", "row_key", "wins", F.explode("places").alias("p"))
-        .select("doc_id", "row_key", "p.*", F.slice("wins", F.col("p.start") + 1, F.col("p.len")).alias("shingles")),
+    texts = staged(
+        spans.join(near.dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", "wins"), ["doc_id", "row_key"]),
         "windows",
     )
+    windows = (
+        texts.select("doc_id", "row_key", "wins", F.inline("places"))
+        .select("doc_id", "row_key", "wins", "len", "m", F.inline("spans"))
+        .select("doc_id", "row_key", "wins", "len", "m", F.explode(F.sequence("low", "high")).alias("start"))
+    )
+    part = F.slice("wins", F.col("start") + 1, F.col("len"))
     keys = ["doc_id", "row_key", "start", "len", "m"]
-    prints = fingerprint(windows.select(*keys, F.explode("shingles").alias("h")), keys)
+    prints = fingerprint(windows.select(*keys, F.explode(part).alias("h")), keys)
     bench_prints = fingerprint(bench.select("item_id", F.size("wins").alias("m"), F.explode("wins").alias("h")), ["item_id", "m"])
     left, right = _with_blocks(prints).alias("w"), _with_blocks(bench_prints).alias("i")
     apart = F.col("w.fp").bitwiseXOR(F.col("i.fp"))
@@ -177,7 +196,8 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = 0.8) ->
         & (_first_equal_block(apart) == F.col("w.block")),
     ).select(*[f"w.{k}" for k in keys], "i.item_id")
     checked = (
-        found.join(windows, keys)
+        found.join(texts.select("doc_id", "row_key", F.col("wins").alias("text_wins")), ["doc_id", "row_key"])
+        .withColumn("shingles", F.slice("text_wins", F.col("start") + 1, F.col("len")))
         .join(hint(bench.select("item_id", F.size("wins").alias("m"), "wins")), ["item_id", "m"])
         .withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("wins")))
         .where(F.col("similarity") >= similarity)

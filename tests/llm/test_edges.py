@@ -272,6 +272,35 @@ def test_decontamination(spark, odd, none):
     assert contamination(odd, items).count() == 0
 
 
+def test_decontamination_after_insertions(spark):
+    """The best window may start between two alignments; all starts, against brute force."""
+    from sentria.llm.decontaminate import SHINGLE
+
+    item = [f"i{k}" for k in range(104)]
+    changed = [f"c{k}" for k in range(3)] + item[3:-3] + [f"d{k}" for k in range(3)]
+    texts = {1: [f"x{k}" for k in range(200)] + changed[:52] + [f"n{k}" for k in range(6)] + changed[52:] + ["y"] * 90}
+    rng = np.random.default_rng(11)
+    for k in range(2, 40):
+        words = list(item)
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + int(rng.integers(0, 4))] = [f"e{rng.integers(0, 999)}" for _ in range(rng.integers(0, 4))]
+        texts[k] = [f"x{j}" for j in range(rng.integers(0, 20))] + words + [f"z{j}" for j in range(rng.integers(0, 20))]
+    grams = lambda w: [tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)]
+    own, wanted = set(grams(item)), {}
+    for k, words in texts.items():
+        g = grams(words)
+        size = min(len(g), len(own))
+        shared = [len(own & set(g[at : at + size])) for at in range(len(g) - size + 1)]
+        best = max((c / (len(own) + size - c), -at) for at, c in enumerate(shared))
+        if best[0] >= 0.8:
+            wanted[k] = (round(best[0], 6), -best[1])
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.similarity, r.start) for r in contamination(docs, items).collect()}
+    assert found == wanted and wanted[1] == (0.818182, 203)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 1), (20, 21), (21, 22), (22, 23), (23, 24), (None, 4)]
     out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
