@@ -245,12 +245,12 @@ def candidate_edges(docs: DataFrame, shared: np.ndarray, frequent: np.ndarray, p
 
 
 def _with_ids(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    side = lambda p, name: classes.select(F.col("k1").alias(f"{p}1"), F.col("k2").alias(f"{p}2"), F.col("rep").alias(name))
+    side = lambda p, name: classes.select(F.col("k1").alias(f"{p}1"), F.col("k2").alias(f"{p}2"), F.col("class_id").alias(name))
     return edges.join(side("x", "a"), ["x1", "x2"]).join(side("y", "b"), ["y1", "y2"]).select("a", "b")
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
-    """``members`` (rep, label, n) with cells: the meetings of blocks in which the set takes part.
+    """``members`` (class_id, rep, label, n) with cells: the meetings of blocks in which the set takes part.
 
     Blocks have about ``BLOCK`` sets of similar size; sizes apart by more than the
     threshold allows never meet. A family within one block is one cell.
@@ -264,7 +264,7 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
         ),
         "family-sizes",
     )
-    own = F.pmod(F.xxhash64("rep"), F.try_element_at("blocks", F.col("band"))).cast("int")
+    own = F.pmod(F.xxhash64("class_id"), F.try_element_at("blocks", F.col("band"))).cast("int")
     put = banded.join(per_family, "label").withColumn("own", own)
     block = lambda band, k: F.struct(band.alias("band"), k.alias("k"))
     mine = block(F.col("band"), F.col("own"))
@@ -286,11 +286,11 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     )
     nowhere = block(F.lit(0), F.lit(0))
     alone = F.array(F.struct(nowhere.alias("one"), nowhere.alias("two"), F.lit(0).alias("side")))
-    return put.select("rep", "label", "k1", "k2", F.when(F.col("size") <= BLOCK, alone).otherwise(cells).alias("cells"))
+    return put.select("class_id", "rep", "label", "k1", "k2", F.when(F.col("size") <= BLOCK, alone).otherwise(cells).alias("cells"))
 
 
 def _sets_of(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """(label, one, two, side, rep, hashes): the members' sets in every cell they take part in."""
+    """(label, one, two, side, class_id, hashes): the members' sets in every cell they take part in."""
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.Series:
@@ -300,10 +300,10 @@ def _sets_of(docs: DataFrame, placed: DataFrame) -> DataFrame:
 
     # Always by shuffle: members grow with the corpus, so a broadcast would only suit small ones.
     texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("rep"))
-    sets = texts.select("rep", "label", "cells", hashes("text", "k1", "k2").alias("hashes"))
+    sets = texts.select("class_id", "label", "cells", hashes("text", "k1", "k2").alias("hashes"))
     none = F.array().cast(sets.schema["cells"].dataType)
     met = F.explode(F.when(F.col("hashes").isNotNull(), F.col("cells")).otherwise(none)).alias("c")
-    return sets.select("label", met, "rep", "hashes").select("label", "c.*", "rep", "hashes")
+    return sets.select("label", met, "class_id", "hashes").select("label", "c.*", "class_id", "hashes")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -341,13 +341,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _connect(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """(a, b): each set that a link inside the cell connects with another, and the first set it reaches."""
-    frame = frame.drop_duplicates(["rep", "side"]).sort_values("rep")
+    frame = frame.drop_duplicates(["class_id", "side"]).sort_values("class_id")
     one, two = frame[frame["side"] == 0], frame[frame["side"] == 1]
     sets = lambda f: [np.frombuffer(x, np.uint64) for x in f["hashes"]]
     diagonal = frame["one"].iloc[0] == frame["two"].iloc[0]
     left = sets(one)
     right = left if diagonal else sets(two)
-    ids = one["rep"].to_numpy() if diagonal else np.concatenate([one["rep"], two["rep"]])
+    ids = one["class_id"].to_numpy() if diagonal else np.concatenate([one["class_id"], two["class_id"]])
     if not len(left) or not len(right):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     common = overlaps(left, right).astype(np.int64)
@@ -382,7 +382,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = staged(profiles(docs), "profiles")
     own = rows.where("kind = 0")
     classes = staged(
-        own.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")),
+        # Classes have a number of their own: rows with one doc_id and different sets are several.
+        own.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+        .withColumn("class_id", F.monotonically_increasing_id()),
         "classes",
     )
     # At most MAX_FREQUENT rows.
@@ -393,18 +395,21 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     frequent = often["k1"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
     edges = staged(candidate_edges(docs, shared_bits(rows), frequent, percent), "candidates")
     families = staged(components(_with_ids(edges, classes)), "families")
-    members = families.join(classes, F.col("node") == F.col("rep")).select("rep", "k1", "k2", "n", "label")
+    members = families.join(classes, F.col("node") == F.col("class_id")).select("class_id", "rep", "k1", "k2", "n", "label")
     placed = staged(_cells(members, percent), "placed")
     links = _sets_of(docs, placed).groupBy("label", "one", "two").applyInPandas(
         lambda frame: _connect(frame, percent), "a long, b long"
     )
     labels = components(links)
-    known = staged(
-        classes.join(labels, F.col("rep") == F.col("node"), "left").select(
-            "k1", "k2", F.coalesce("label", "rep").alias("component")
+    tied = staged(
+        classes.join(labels, F.col("class_id") == F.col("node"), "left").select(
+            "k1", "k2", "rep", F.coalesce("label", "class_id").alias("label")
         ),
-        "components",
+        "tied",
     )
+    # Written, so that the join with it can split a large component's rows.
+    lowest = staged(tied.groupBy("label").agg(F.min("rep").alias("component")), "lowest")
+    known = staged(tied.join(lowest, "label").select("k1", "k2", "component"), "components")
     joined = own.join(known, ["k1", "k2"], "left")
     return joined.select(
         "doc_id",

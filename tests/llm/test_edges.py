@@ -317,6 +317,17 @@ def test_jaccard(spark, odd, none):
     assert jaccard_components(none).count() == 0
 
 
+def test_jaccard_rows_that_share_a_doc_id(spark):
+    """Two texts under one doc_id, in one family: both keep their links."""
+    base = [f"w{k}" for k in range(130)]
+    # a and b have a prefix n-gram in common but do not link; 7 is near a, 8 is near b.
+    a, b = base[:100], base[45:130] + [f"v{k}" for k in range(15)]
+    texts = [(5, a), (5, b), (7, a[:-1] + ["x"]), (8, b[:-1] + ["y"]), (9, a[1:-1])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in jaccard_components(docs).orderBy("doc_id").collect()]
+    assert got == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 5)]
+
+
 def test_jaccard_families_of_many_blocks(spark, monkeypatch):
     """A large group of near copies, cut into blocks, against brute force."""
     from sentria.llm import jaccard_join
