@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sentria.llm.decontaminate import op8_decontaminate
 from sentria.llm.html_text import op3_html_text
+from sentria.llm.importance import OP12_SQL, op12_importance
 from sentria.llm.jaccard_join import op9_jaccard_join
 from sentria.llm.line_dedup import OP1_SQL, op1_line_dedup
 from sentria.llm.lm_scoring import op5_lm_scoring
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op1_line_dedup": op1_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op12_importance": op12_importance,
 }
 
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_importance": OP12_SQL,
 }
