@@ -9,6 +9,7 @@ from sentria.llm.jaccard_join import op9_jaccard_join
 from sentria.llm.line_dedup import OP1_SQL, op1_line_dedup
 from sentria.llm.lm_scoring import op5_lm_scoring
 from sentria.llm.packing import op2_packing
+from sentria.llm.periodic_runs import op13_periodic_runs
 from sentria.llm.quality_model import op6_quality_model
 from sentria.llm.quality_rules import OP10_SQL, op10_quality_rules
 from sentria.llm.token_files import op4_token_files
@@ -26,6 +27,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op12_importance": op12_importance,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
