@@ -12,6 +12,7 @@ from sentria.llm.packing import op2_packing
 from sentria.llm.periodic_runs import op13_periodic_runs
 from sentria.llm.quality_model import op6_quality_model
 from sentria.llm.quality_rules import OP10_SQL, op10_quality_rules
+from sentria.llm.sanitise import OP11_SQL, op11_sanitise
 from sentria.llm.token_files import op4_token_files
 from sentria.llm.toxicity import op7_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op1_line_dedup": op1_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_sanitise": op11_sanitise,
     "op12_importance": op12_importance,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -33,5 +35,6 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_sanitise": OP11_SQL,
     "op12_importance": OP12_SQL,
 }
