@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentria.operators.joins import report_cells
+
 # Event column of a fact table per dictionary level.
 LEVEL_COLUMNS = {
     "PT": "PT_NAME_ENG",
@@ -51,6 +53,10 @@ def pair_counts(
     return rows.distinct().groupBy(*keys).agg(distinct_reports)
 
 
+#: Pairs that a task forms of one report at a time; reports with more are cut into cells.
+CELL_PAIRS = 1_000_000
+
+
 def pair_counts_from_tables(
     drug_rows: DataFrame,
     reaction_rows: DataFrame,
@@ -58,23 +64,42 @@ def pair_counts_from_tables(
     event: str,
     report: str = "REPORT_ID",
     by: str | None = None,
+    cell_pairs: int = CELL_PAIRS,
 ) -> DataFrame:
     """Pair counts straight from report x drug and report x reaction rows.
 
-    Both sides are made distinct before they meet, so no row of the joined
-    fact is duplicated and no distinct over the fan-out is needed. A report
-    contributes at most (its distinct drugs) x (its distinct events) rows.
-    Each side moves once: behind the exchange on the report, neither the
-    distinct nor the join needs another. ``by``, a column of the drug rows that
-    goes with the report (its quarter), gives separate counts.
+    The joined fact is never formed and needs no distinct: a report contributes
+    its distinct drugs x its distinct events, cut into cells of ``cell_pairs``
+    pairs that go to different tasks (``joins.report_cells``). ``by``, a column of
+    the drug rows that goes with the report (its quarter), gives separate counts.
     """
     keys = [by] if by else []
-    drugs = drug_rows.select(report, *keys, drug).na.drop().repartition(report).distinct()
-    events = reaction_rows.select(report, event).na.drop().repartition(report).distinct()
-    return (
-        drugs.join(events, report)
-        .groupBy(*keys, drug, event)
-        .agg(F.count(F.lit(1)).cast("long").alias("count"))
+    met = report_cells(drug_rows, reaction_rows, report, drug, event, keys, cell_pairs)
+    return met.groupBy(*keys, drug, event).agg(F.count(F.lit(1)).cast("long").alias("count"))
+
+
+def pair_rows_from_tables(
+    drug_rows: DataFrame,
+    reaction_rows: DataFrame,
+    drug: str,
+    event: str,
+    report: str = "REPORT_ID",
+    by: str = "quarter",
+    cell_pairs: int = CELL_PAIRS,
+) -> DataFrame:
+    """Per (drug, event, ``by``) the distinct reports ``count`` and the rows ``n`` of the joined fact, without forming it.
+
+    A report adds, per pair, its rows of the drug times its rows of the event. It has
+    one value of ``by``, so sums of ``count`` over ``by`` are distinct reports too.
+    """
+    keys = [report, by, drug]
+    drugs = drug_rows.select(*keys).na.drop().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    events = reaction_rows.select(report, event).na.drop().groupBy(report, event).agg(F.count(F.lit(1)).alias("n"))
+    left = drugs.select(report, by, F.struct(drug, F.col("n").alias("_n")).alias("_drug"))
+    right = events.select(report, F.struct(event, F.col("n").alias("_m")).alias("_event"))
+    met = report_cells(left, right, report, "_drug", "_event", [by], cell_pairs).select(by, "_drug.*", "_event.*")
+    return met.groupBy(drug, event, by).agg(
+        F.count(F.lit(1)).cast("long").alias("count"), F.sum(F.col("_n") * F.col("_m")).alias("n")
     )
 
 

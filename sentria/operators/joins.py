@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentria.session import spread
+
 # Codes of the nested reports and their labels.
 REPORTER_CODES = {
     1: "Physician",
@@ -27,6 +30,32 @@ OUTCOME_CODES = {
 }
 
 
+def report_cells(
+    left: DataFrame, right: DataFrame, key: str, one: str, two: str, carry: Sequence[str] = (), limit: int = 1_000_000
+) -> DataFrame:
+    """All combinations of the distinct ``one`` and ``two`` values of each key: ``carry``, ``one``, ``two``.
+
+    Each side becomes one row per key with the set of its values, duplicates going
+    before the exchange; so the join never multiplies rows. A key's combinations are
+    then cut into a grid of cells of at most ``limit`` pairs, and cells, not keys, are
+    dealt to the tasks that form the pairs. ``carry``, columns of the left rows, are
+    kept apart in sets of their own. Null values and keys fall out.
+    """
+    lefts = left.select(key, *carry, one).na.drop().groupBy(key, *carry).agg(F.collect_set(one).alias("_one"))
+    rights = right.select(key, two).na.drop().groupBy(key).agg(F.collect_set(two).alias("_two"))
+    side = math.isqrt(limit)
+    parts = lambda c: F.sequence(F.lit(0), F.ceil(F.size(c) / side).cast("int") - 1)
+    piece = lambda c, k: F.slice(c, F.col(k) * side + 1, side)
+    cells = (
+        lefts.join(rights, key)
+        .withColumn("_row", F.explode(parts("_one")))
+        .withColumn("_column", F.explode(parts("_two")))
+        .select(key, *carry, "_row", "_column", piece("_one", "_row").alias("_one"), piece("_two", "_column").alias("_two"))
+    )
+    dealt = spread(cells, key, *carry, "_row", "_column")
+    return dealt.select(*carry, F.explode("_one").alias(one), "_two").select(*carry, one, F.explode("_two").alias(two))
+
+
 def add_hierarchy(fact: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """Add ``HLT_NAME_ENG`` and ``HLGT_NAME_ENG`` by preferred term and dictionary version.
 
@@ -59,14 +88,6 @@ def build_fact(ingredients: DataFrame, drugs: DataFrame, reactions: DataFrame) -
     )
 
 
-def report_ingredients(ingredients: DataFrame, drugs: DataFrame) -> DataFrame:
-    """Distinct (report, ingredient) rows."""
-    named = drugs.select("REPORT_ID", "DRUG_PRODUCT_ID").join(
-        ingredients.select("DRUG_PRODUCT_ID", "ACTIVE_INGREDIENT_NAME"), "DRUG_PRODUCT_ID"
-    )
-    return named.select("REPORT_ID", "ACTIVE_INGREDIENT_NAME").distinct()
-
-
 def in_reports(t: DataFrame, reports: DataFrame, lo, hi, column: str = "DATINTRECEIVED_CLEAN") -> DataFrame:
     """Rows of reports received between two dates, both included."""
     chosen = reports.filter(F.col(column).between(F.lit(lo), F.lit(hi))).select("REPORT_ID")
@@ -149,3 +170,17 @@ def coverage(names: DataFrame, catalogues: Mapping[str, DataFrame], column: str
         .na.fill(False, ["found"])
         .drop("_key")
     )
+
+
+def merge_series(parts: Mapping[str, DataFrame], date: str = "time_p", value: str = "n") -> DataFrame:
+    """Several bucketed series side by side: a row for every bucket of any of them, 0 where one has none.
+
+    The same rows as full outer joins on the bucket, by one aggregate over all parts.
+    A series may have several rows per bucket; they add up.
+    """
+    stacked = reduce(
+        DataFrame.unionByName,
+        [t.select(date, F.col(value).alias("_value"), F.lit(name).alias("_part")) for name, t in parts.items()],
+    )
+    of = lambda name: F.sum(F.when(F.col("_part") == name, F.col("_value")).otherwise(0))
+    return stacked.groupBy(date).agg(*[of(name).alias(name) for name in parts])

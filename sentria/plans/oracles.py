@@ -105,16 +105,17 @@ def _log_pmf(k: str) -> str:
     return f"{choose('n_1', k)} + {choose('(N - n_1)', f'(n1_ - {k})')} - ({choose('N', 'n1_')})"
 
 
-def _fisher(or0: float = 1.0) -> str:
+def _fisher(or0: float = 1.0, by: str = "") -> str:
+    lead = f"{by}, " if by else ""
     low, high = "greatest(0, n1_ + n_1 - N)", "least(n1_, n_1)"
     weight = f"exp({_log_pmf('k')} + (k - n11) * ln({or0}e0))"
     return (
-        f"support AS (SELECT drug_code, event_effect, n11, n1_, n_1, N, CAST(unnest(range({low}, {high} + 1)) AS DOUBLE) AS k FROM ct), "
-        f"weights AS (SELECT drug_code, event_effect, n11, k, {weight} AS w FROM support), "
-        "fisher AS (SELECT drug_code, event_effect, n11, "
+        f"support AS (SELECT {lead}drug_code, event_effect, n11, n1_, n_1, N, CAST(unnest(range({low}, {high} + 1)) AS DOUBLE) AS k FROM ct), "
+        f"weights AS (SELECT {lead}drug_code, event_effect, n11, k, {weight} AS w FROM support), "
+        f"fisher AS (SELECT {lead}drug_code, event_effect, n11, "
         "sum(CASE WHEN k >= n11 THEN w ELSE 0 END) / sum(w) AS RFET, "
         "(sum(CASE WHEN k >= n11 THEN w ELSE 0 END) - 0.5 * sum(CASE WHEN k = n11 THEN w ELSE 0 END)) / sum(w) AS midRFET "
-        "FROM weights GROUP BY 1, 2, 3)"
+        f"FROM weights GROUP BY {lead}drug_code, event_effect, n11)"
     )
 
 
@@ -308,7 +309,7 @@ def oracles() -> dict[str, str]:
         return f"chr(9) || CASE WHEN length({text}) >= 9 THEN {text} ELSE lpad({text}, 9, '0') END AS {c}"
 
     add("s6_export_reports",
-        f"SELECT {padded('REPORT_ID')}, {padded('REPORT_NO')}, CAST(DATINTRECEIVED_CLEAN AS VARCHAR) AS DATINTRECEIVED_CLEAN, GENDER_ENG, OUTCOME_ENG FROM reports", "reports")
+        f"SELECT {padded('REPORT_ID')}, {padded('REPORT_NO')}, CAST(DATINTRECEIVED_CLEAN AS VARCHAR) AS DATINTRECEIVED_CLEAN, GENDER_ENG, AGE_Y, OUTCOME_ENG FROM reports", "reports")
     add("s6_export_drugs", f"SELECT {padded('REPORT_ID')}, CAST(REPORT_DRUG_ID AS VARCHAR) AS REPORT_DRUG_ID, DRUGNAME, DRUGINVOLV_ENG FROM report_drug", "report_drug")
     add("s6_export_reactions", f"SELECT {padded('REPORT_ID')}, PT_NAME_ENG, SOC_NAME_ENG FROM reactions", "reactions")
     add("s7_export_signals",
@@ -417,8 +418,12 @@ def oracles() -> dict[str, str]:
     add("j6_with_all_categories",
         "WITH s AS (SELECT DRUGINVOLV_ENG, count(*) AS n FROM report_drug GROUP BY 1) "
         + _categories(["Suspect", "Concomitant", "Treatment", "Past"], "DRUGINVOLV_ENG", "s"), "report_drug")
+    daily = "SELECT DATINTRECEIVED_CLEAN AS time_p, count(*) AS n FROM reports WHERE"
     add("j7_class_counts",
-        f"SELECT * FROM (WITH chosen AS (SELECT * FROM reports), {_calendar_series('year')}) t", "reports")
+        f"WITH a AS ({daily} REPORT_ID IN (SELECT REPORT_ID FROM report_drug WHERE {_IN_BRANDS}) GROUP BY 1), "
+        f"b AS ({daily} DISABILITY = 1 GROUP BY 1), c AS ({daily} DEATH = 1 GROUP BY 1) "
+        "SELECT time_p, CAST(coalesce(a.n, 0) AS BIGINT) AS with_brand, CAST(coalesce(b.n, 0) AS BIGINT) AS disabling, "
+        "CAST(coalesce(c.n, 0) AS BIGINT) AS fatal FROM a FULL JOIN b USING (time_p) FULL JOIN c USING (time_p)", "reports", "report_drug")
     add("j8_fill_calendar",
         "WITH calendar AS (SELECT CAST(unnest(generate_series(CAST(min(time_p) AS TIMESTAMP), CAST(max(time_p) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS time_p FROM events_months) "
         "SELECT time_p, CAST(coalesce(n, 0) AS BIGINT) AS n FROM calendar LEFT JOIN events_months USING (time_p)", "events_months")
@@ -574,10 +579,10 @@ def oracles() -> dict[str, str]:
     by_quarter = f"WITH {_fact_counts('HLT_NAME_ENG', 'quarter')}, {_ct('pairs', 'quarter')}, {_bcpnn('ct', carry='quarter, drug_code, event_effect, n11, n1_, n_1, N')}"
     ratios = [f"{bound}{name}" for name in ("PRR", "ROR", "RRR") for bound in ("", "LB95_", "UB95_")]
     add("d10_signals_quarter",
-        f"{by_quarter}, {_cells('quarter')}, {_PRR.format(prev='cells')}, {_ROR.format(prev='PRR_t')}, {_RRR.format(prev='ROR_t')} "
+        f"{by_quarter}, {_fisher(by='quarter')}, {_cells('quarter')}, {_PRR.format(prev='cells')}, {_ROR.format(prev='PRR_t')}, {_RRR.format(prev='ROR_t')} "
         "SELECT t.quarter, t.drug_code, t.event_effect, t.n11 AS \"count\", t.n1_ AS drug_margin, t.n_1 AS event_margin, t.N, "
-        f"{_r4('expected_count', *ratios)}, round(IC * {LN2}, 4) AS median_IC, round(LB95_IC * {LN2}, 4) AS LB95_IC "
-        "FROM RRR_t t JOIN ic USING (quarter, drug_code, event_effect)", "fact")
+        f"{_r4('expected_count', *ratios, 'RFET', 'midRFET')}, round(IC * {LN2}, 4) AS median_IC, round(LB95_IC * {LN2}, 4) AS LB95_IC "
+        "FROM RRR_t t JOIN fisher USING (quarter, drug_code, event_effect) JOIN ic USING (quarter, drug_code, event_effect)", "fact")
     add("d11_cumulative_contingency",
         f"WITH {_fact_counts('PT_NAME_ENG', 'quarter')}, qs AS (SELECT DISTINCT quarter FROM pairs), "
         "cum AS (SELECT q.quarter, p.drug_code, p.event_effect, CAST(sum(p.n11) AS BIGINT) AS n11 FROM qs q JOIN pairs p ON p.quarter <= q.quarter GROUP BY 1, 2, 3), "

@@ -28,7 +28,7 @@ from sentria.operators import (
     vocab,
 )
 from sentria.plans import signals as plans
-from sentria.session import new_shared_path
+from sentria.session import cut_lineage, new_shared_path
 from sentria.sources import extract, snapshots
 from sentria.sources import nested as nested_source
 from sentria.sources.star_views import table, view
@@ -47,7 +47,7 @@ HLTS = ("NATION_3", "NATION_11")
 MARGIN = 1700  # removes a third of the pairs at scale factor 0.01
 # Fixed prior of the shrinkage queries that have an SQL check.
 PRIOR = shrinkage.GammaMixture(alpha1=3.0, beta1=2.5, alpha2=40.0, beta2=41.0, w=0.3)
-TEXT_EXPORT_COLUMNS = ("REPORT_ID", "REPORT_NO", "DATINTRECEIVED_CLEAN", "GENDER_ENG", "OUTCOME_ENG")
+REPORT_EXPORT_COLUMNS = ("REPORT_ID", "REPORT_NO", "DATINTRECEIVED_CLEAN", "GENDER_ENG", "AGE_Y", "OUTCOME_ENG")
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -92,8 +92,24 @@ def _pt_ct(spark: SparkSession, sf: str) -> DataFrame:
     return ctg.contingency(_pt_counts(spark, sf), "DRUGNAME", "PT_NAME_ENG")
 
 
+def _cohort_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The cohort's report x ingredient and report x reaction rows."""
+    drugs = view(spark, sf, "report_ingredients").filter(F.col("quarter") >= SINCE)
+    return drugs, view(spark, sf, "report_terms").filter(F.col("PT_NAME_ENG").isNotNull())
+
+
+def _cohort_counts(spark: SparkSession, sf: str, level: str = "PT", by: str | None = None) -> DataFrame:
+    """Distinct reports per pair of the cohort, from the two sides of the fact."""
+    return counts.pair_counts_from_tables(*_cohort_sides(spark, sf), "ing", counts.level_column(level), by=by)
+
+
+def _cohort_rows(spark: SparkSession, sf: str, level: str = "PT") -> DataFrame:
+    """Fact rows per pair and quarter of the cohort, from the two sides of the fact."""
+    return counts.pair_rows_from_tables(*_cohort_sides(spark, sf), "ing", counts.level_column(level))
+
+
 def _hlt_ct(spark: SparkSession, sf: str) -> DataFrame:
-    return ctg.contingency(counts.pair_counts(_cohort(spark, sf), "HLT"), "ing", "HLT_NAME_ENG")
+    return ctg.contingency(_cohort_counts(spark, sf, "HLT"), "ing", "HLT_NAME_ENG")
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -140,18 +156,19 @@ def _s5(spark, sf):
 
 
 def _exported(name: str, columns: tuple[str, ...]) -> Query:
-    """A CSV export, written and read back as text."""
+    """A CSV export, written and read back as text, the age as a number."""
 
     def run(spark, sf):
         path = new_shared_path(spark, f"export-{name}")
         snapshots.export_csv(view(spark, sf, name), columns, path)
         read = spark.read.option("header", True).option("nullValue", "NA").option("escape", '"')
-        return read.schema(", ".join(f"{c} string" for c in columns)).csv(path)
+        kinds = {"AGE_Y": "double"}
+        return read.schema(", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns)).csv(path)
 
     return run
 
 
-_query("s6_export_reports")(_exported("reports", TEXT_EXPORT_COLUMNS))
+_query("s6_export_reports")(_exported("reports", REPORT_EXPORT_COLUMNS))
 _query("s6_export_drugs")(_exported("report_drug", ("REPORT_ID", "REPORT_DRUG_ID", "DRUGNAME", "DRUGINVOLV_ENG")))
 _query("s6_export_reactions")(_exported("reactions", ("REPORT_ID", "PT_NAME_ENG", "SOC_NAME_ENG")))
 
@@ -452,7 +469,18 @@ def _j6(spark, sf):
 
 @_query("j7_class_counts")
 def _j7(spark, sf):
-    return summaries.report_series(view(spark, sf, "reports"))
+    # Classes from different tables, by day: most days lack some of them.
+    reports, drugs = view(spark, sf, "reports"), view(spark, sf, "report_drug")
+    day = F.col("DATINTRECEIVED_CLEAN").alias("time_p")
+    count = F.count(F.lit(1)).alias("n")
+    chosen = drugs.filter(F.col("DRUGNAME").isin(*BRANDS)).select("REPORT_ID").distinct()
+    return joins.merge_series(
+        {
+            "with_brand": reports.join(chosen, "REPORT_ID", "left_semi").groupBy(day).agg(count),
+            "disabling": reports.filter("DISABILITY = 1").groupBy(day).agg(count),
+            "fatal": reports.filter("DEATH = 1").groupBy(day).agg(count),
+        }
+    )
 
 
 @_query("j8_fill_calendar")
@@ -518,7 +546,7 @@ def _j14(spark, sf):
 
 @_query("a1_pair_counts_pt")
 def _a1(spark, sf):
-    return counts.pair_counts(_cohort(spark, sf), "PT")
+    return _cohort_counts(spark, sf)
 
 
 @_query("a1_pair_counts_from_tables")
@@ -528,12 +556,12 @@ def _a1b(spark, sf):
 
 @_query("a2_pair_counts_hlt")
 def _a2(spark, sf):
-    return counts.pair_counts(_cohort(spark, sf), "HLT")
+    return _cohort_counts(spark, sf, "HLT")
 
 
 @_query("a3_pair_counts_quarter")
 def _a3(spark, sf):
-    return counts.pair_counts(_cohort(spark, sf), "PT", by="quarter")
+    return _cohort_counts(spark, sf, by="quarter")
 
 
 @_query("a4_pair_rows_quarter")
@@ -619,26 +647,22 @@ _query("a25_choices_pt")(
 )
 
 
-@_query("a26_pair_series")
-def _a26(spark, sf):
-    cohort = _cohort(spark, sf)
-    table_pt = plans.signals(cohort, "PT", exact=False, ordered=False)
-    return series.pair_series(
-        table_pt, counts.pair_rows_by_quarter(cohort), quarter_list=counts.quarters(cohort)
-    )
+def _pair_series(spark: SparkSession, sf: str, level: str, min_count: int) -> DataFrame:
+    # One stored table of counts per quarter gives the signal table, the rows and the quarters.
+    stored = cut_lineage(_cohort_rows(spark, sf, level))
+    event = counts.level_column(level)
+    pairs = stored.groupBy("ing", event).agg(F.sum("count").alias("count"))
+    chosen = plans.signals_from_counts(pairs, "ing", event, exact=False, ordered=False).filter(F.col("count") >= min_count)
+    return series.pair_series(chosen, stored.drop("count"), level)
 
 
-@_query("a26_pair_series_hlt")
-def _a26b(spark, sf):
-    cohort = _cohort(spark, sf)
-    chosen = plans.signals(cohort, "HLT", exact=False, ordered=False).filter(F.col("count") >= 3)
-    rows = counts.pair_rows_by_quarter(cohort, "HLT")
-    return series.pair_series(chosen, rows, "HLT", quarter_list=counts.quarters(cohort))
+_query("a26_pair_series")(lambda spark, sf: _pair_series(spark, sf, "PT", 1))
+_query("a26_pair_series_hlt")(lambda spark, sf: _pair_series(spark, sf, "HLT", 3))
 
 
 @_query("a27_total_series")
 def _a27(spark, sf):
-    return series.total_series(counts.pair_rows_by_quarter(_cohort(spark, sf)), DRUGS)
+    return series.total_series(_cohort_rows(spark, sf), DRUGS)
 
 
 # --- nested documents --------------------------------------------------------
@@ -737,7 +761,7 @@ _query("d8b_gps_quantile")(_stat(lambda t: shrinkage.gps(t, PRIOR).select(*_KEYS
 
 def _signals(level):
     def run(spark, sf):
-        return _r4(plans.signals(_cohort(spark, sf), level))
+        return _r4(plans.signals_from_counts(_cohort_counts(spark, sf, level), "ing", counts.level_column(level)))
 
     return run
 
@@ -748,28 +772,33 @@ _query("d9_signals_hlt")(_signals("HLT"))
 
 @_query("d9_signals_gps")
 def _d9_gps(spark, sf):
-    t = plans.signals(_cohort(spark, sf), "HLT", exact=False, ordered=False, prior=PRIOR)
+    pairs = _cohort_counts(spark, sf, "HLT")
+    t = plans.signals_from_counts(pairs, "ing", "HLT_NAME_ENG", exact=False, ordered=False, prior=PRIOR)
     return _r4(t.select("drug_code", "event_effect", "count", "median_IC", "postE_lambda", "postE_log2_lambda", "gps_postH0"))
 
 
+def _quarter_signals(spark: SparkSession, sf: str, **options) -> DataFrame:
+    pairs = _cohort_counts(spark, sf, "HLT", by="quarter")
+    return plans.signals_from_counts(pairs, "ing", "HLT_NAME_ENG", by="quarter", ordered=False, **options)
+
+
 @_query("d10_signals_quarter")
 def _d10(spark, sf):
-    t = plans.signals(_cohort(spark, sf), "HLT", by="quarter", exact=False, ordered=False)
-    ratios = [c for name in ("PRR", "ROR", "RRR") for c in (name, f"LB95_{name}", f"UB95_{name}") if c in t.columns]
+    ratios = [f"{bound}{name}" for name in ("PRR", "ROR", "RRR") for bound in ("", "LB95_", "UB95_")]
+    t = _quarter_signals(spark, sf)
     return _r4(t.select("quarter", "drug_code", "event_effect", "count", "drug_margin", "event_margin", "N",
-                        "expected_count", *ratios, "median_IC", "LB95_IC"))
+                        "expected_count", *ratios, "RFET", "midRFET", "median_IC", "LB95_IC"))
 
 
 @_query("d11_cumulative_contingency")
 def _d11(spark, sf):
-    rows = counts.pair_counts(_cohort(spark, sf), "PT", by="quarter")
+    rows = _cohort_counts(spark, sf, by="quarter")
     return plans.cumulative_contingency(rows, "ing", "PT_NAME_ENG")
 
 
 @_query("d12_cumulative_ic")
 def _d12(spark, sf):
-    t = plans.signals(_cohort(spark, sf), "HLT", by="quarter", exact=False, ordered=False)
-    out = plans.cumulative_ic(t)
+    out = plans.cumulative_ic(_quarter_signals(spark, sf, exact=False))
     return _r4(out.select("quarter", "drug_code", "event_effect", "IC_cumulative", "LB95_IC_cumulative"))
 
 

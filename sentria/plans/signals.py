@@ -67,9 +67,22 @@ def signals(
     With ``by`` (a quarter column) each quarter has its own contingency table;
     all quarters run in one plan.
     """
-    groups = (by,) if by else ()
     counts = pair_counts(fact, level, by=by, drug=drug)
-    ct = contingency(counts, drug, level_column(level), by=groups, min_margin=min_margin)
+    return signals_from_counts(counts, drug, level_column(level), by, ordered, min_margin, **options)
+
+
+def signals_from_counts(
+    counts: DataFrame,
+    drug: str,
+    event: str,
+    by: str | None = None,
+    ordered: bool = True,
+    min_margin: int = 1,
+    **options,
+) -> DataFrame:
+    """Master table of pair counts, which need no fact table (``counts.pair_counts_from_tables``)."""
+    groups = (by,) if by else ()
+    ct = contingency(counts, drug, event, by=groups, min_margin=min_margin)
     table = all_statistics(ct, by=groups, **options)
     if not ordered:
         return table

@@ -96,9 +96,24 @@ def test_age_histogram_bins_are_right_closed(spark):
     assert summaries.age_excluded(t).head().n == 1
 
 
-def test_vocabulary_drops_leading_terms(spark):
-    t = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",)], "x string")
-    assert [r.term for r in vocab.vocabulary(t, "x", drop_first=1).collect()] == ["b", "c"]
+def test_vocabulary_leaves_out_names_that_are_no_text(spark):
+    t = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",), ("",), (" \t",), ("d\x01e",), (" f g",)], "x string")
+    assert [r.term for r in vocab.vocabulary(t, "x", clean=True).collect()] == [" f g", "a", "b", "c"]
+    assert [r.term for r in vocab.vocabulary(t, "x").collect()] == ["", " \t", " f g", "a", "b", "c", "d\x01e"]
+
+
+def test_merge_series(spark):
+    a = spark.createDataFrame([(1, 5), (2, 1), (2, 2)], "time_p int, n long")
+    b = spark.createDataFrame([(2, 7), (None, 3)], "time_p int, n long")
+    got = {r.time_p: (r.a, r.b) for r in joins.merge_series({"a": a, "b": b}).collect()}
+    assert got == {1: (5, 0), 2: (3, 7), None: (0, 3)}
+    assert joins.merge_series({"a": a.limit(0), "b": b.limit(0)}).count() == 0
+
+
+def test_fill_calendar_fills_gaps(spark):
+    t = spark.sql("SELECT * FROM VALUES (DATE '2001-11-01', 2L), (DATE '2002-02-01', 1L) AS t(time_p, n)")
+    got = {str(r.time_p): r.n for r in summaries.fill_calendar(t, "time_p", "month").collect()}
+    assert got == {"2001-11-01": 2, "2001-12-01": 0, "2002-01-01": 0, "2002-02-01": 1}
 
 
 def test_coverage_and_stacking(spark):
