@@ -590,6 +590,14 @@ def oracles() -> dict[str, str]:
     add("d12_cumulative_ic",
         f"{by_quarter} SELECT quarter, drug_code, event_effect, round(sum(IC) OVER w * {LN2}, 4) AS IC_cumulative, round(sum(LB95_IC) OVER w * {LN2}, 4) AS LB95_IC_cumulative "
         "FROM ic WINDOW w AS (PARTITION BY drug_code, event_effect ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "fact")
+    out["a3_quarters_loaded"], out["d11_quarters_loaded"] = out["a3_pair_counts_quarter"], out["d11_cumulative_contingency"]
+    add("d12_quarters_loaded",
+        f"{by_quarter}, {_cells('quarter')}, {_PRR.format(prev='cells')}, sums AS (SELECT quarter, drug_code, event_effect, "
+        "IC, sum(IC) OVER w AS s, sum(LB95_IC) OVER w AS lb "
+        "FROM ic WINDOW w AS (PARTITION BY drug_code, event_effect ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+        "SELECT quarter, drug_code, event_effect, n11 AS \"count\", n1_ AS drug_margin, n_1 AS event_margin, N, round(PRR, 4) AS PRR, "
+        f"round(IC * {LN2}, 4) AS median_IC, round(s * {LN2}, 4) AS IC_cumulative, round(lb * {LN2}, 4) AS LB95_IC_cumulative "
+        "FROM PRR_t JOIN sums USING (quarter, drug_code, event_effect)", "fact")
     add("d13_error_rates_null_probability", _error_rates(_PT_COUNTS, "p"), *pt_views)
     add("d13_error_rates_lower_bound", _error_rates(_fact_counts("HLT_NAME_ENG"), "lb DESC"), "fact")
     finer = _GPS_H0.replace(", 4) AS postH0", ", 6) AS postH0")

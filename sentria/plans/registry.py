@@ -27,6 +27,7 @@ from sentria.operators import (
     summaries,
     vocab,
 )
+from sentria.plans import quarter_store
 from sentria.plans import signals as plans
 from sentria.session import cut_lineage, new_shared_path
 from sentria.sources import extract, snapshots
@@ -94,8 +95,8 @@ def _pt_ct(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cohort_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The cohort's report x ingredient and report x reaction rows."""
-    drugs = view(spark, sf, "report_ingredients").filter(F.col("quarter") >= SINCE)
-    return drugs, view(spark, sf, "report_terms").filter(F.col("PT_NAME_ENG").isNotNull())
+    drugs, terms = (view(spark, sf, v).filter(F.col("quarter") >= SINCE) for v in ("report_ingredients", "report_terms"))
+    return drugs, terms.filter(F.col("PT_NAME_ENG").isNotNull())
 
 
 def _cohort_counts(spark: SparkSession, sf: str, level: str = "PT", by: str | None = None) -> DataFrame:
@@ -802,6 +803,42 @@ def _d12(spark, sf):
     return _r4(out.select("quarter", "drug_code", "event_effect", "IC_cumulative", "LB95_IC_cumulative"))
 
 
+def _quarter_store(spark: SparkSession, sf: str, level: str, score: bool = False) -> quarter_store.QuarterStore:
+    """The cohort's history in one load, then its last two quarters one by one, as they would come in."""
+    drugs, terms = _cohort_sides(spark, sf)
+    event = counts.level_column(level)
+    store = quarter_store.QuarterStore(spark, new_shared_path(spark, "quarters"))
+    late = [r.quarter for r in drugs.select("quarter").distinct().orderBy(F.col("quarter").desc()).limit(2).collect()]
+    steps = [~F.col("quarter").isin(late), *[F.col("quarter") == q for q in reversed(late)]]
+    for k, step in enumerate(steps):
+        sides = drugs.filter(step), terms.filter(step)
+        store.load(counts.pair_counts_from_tables(*sides, "ing", event, by="quarter"), "ing", event)
+        if k == 0:
+            store.compact()
+        if score:
+            store.score(exact=False)
+    return store
+
+
+@_query("a3_quarters_loaded")
+def _a3_loaded(spark, sf):
+    store = _quarter_store(spark, sf, "PT")
+    names = {"drug_code": "ing", "event_effect": "PT_NAME_ENG", "n11": "count"}
+    return store.pairs().withColumnsRenamed(names)
+
+
+@_query("d11_quarters_loaded")
+def _d11_loaded(spark, sf):
+    return _quarter_store(spark, sf, "PT").cumulative_contingency()
+
+
+@_query("d12_quarters_loaded")
+def _d12_loaded(spark, sf):
+    out = _quarter_store(spark, sf, "HLT", score=True).scores()
+    return _r4(out.select("quarter", "drug_code", "event_effect", "count", "drug_margin", "event_margin", "N", "PRR", "median_IC",
+                          "IC_cumulative", "LB95_IC_cumulative"))
+
+
 _RATES = ("drug_code", "event_effect", "rank", "FDR", "FNR", "Se", "Sp")
 
 

@@ -92,24 +92,28 @@ def signals_from_counts(
     return settled.orderBy(*groups, *signal_order())
 
 
-def _carried(t: DataFrame, keys: list[str], value: str, calendar: Column, last: Column) -> DataFrame:
-    """Running total per key in every quarter from its first on.
+def carried(t: DataFrame, keys: list[str], value: str, calendar: Column, last: Column) -> DataFrame:
+    """The value of every key in every quarter from its first on; gaps take the one before.
 
-    Each sparse row is repeated up to the quarter before the next one of the same
-    key, so the dense rows come from an explode, not from a cross join. A key
-    has at most one row per quarter.
+    Each sparse row (``_pos`` is its place in the calendar) is repeated up to the
+    quarter before the next one of the same key, so the dense rows come from an
+    explode, not from a cross join. A key has at most one row per quarter.
     """
-    order = W.partitionBy(*keys).orderBy("_pos")
-    total = F.sum(value).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    until = F.coalesce(F.lead("_pos").over(order), last + 1) - 1
+    until = F.coalesce(F.lead("_pos").over(W.partitionBy(*keys).orderBy("_pos")), last + 1) - 1
     return (
-        t.withColumns({value: total, "_until": until})
+        t.withColumn("_until", until)
         .withColumn("_pos", F.explode(F.sequence("_pos", "_until")))
         .withColumn("quarter", F.element_at(calendar, F.col("_pos").cast("int")))
         .select("quarter", *keys, value)
     )
 
 
+def _carried(t: DataFrame, keys: list[str], value: str, calendar: Column, last: Column) -> DataFrame:
+    """Running total per key in every quarter from its first on."""
+    upto = W.partitionBy(*keys).orderBy("_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return carried(t.withColumn(value, F.sum(value).over(upto)), keys, value, calendar, last)
+
+
 def cumulative_contingency(counts: DataFrame, drug: str, event: str, count: str = "count") -> DataFrame:
     """Contingency up to and including each quarter.
 

@@ -83,16 +83,17 @@ FROM {lineitem} d JOIN {part} ON d.l_partkey = p_partkey
   JOIN {lineitem} r ON d.l_orderkey = r.l_orderkey
   JOIN {supplier} ON r.l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
   JOIN {region} ON n_regionkey = r_regionkey JOIN {orders} ON d.l_orderkey = o_orderkey""",
-    # The same rows before they are joined: report x ingredient with the quarter, report x reaction.
+    # The same rows before they are joined: report x ingredient and report x reaction, with the report's quarter.
     "report_ingredients": """
 SELECT l_orderkey AS REPORT_ID, p_brand AS ing,
   CAST(year(CAST(o_orderdate AS DATE)) * 10 + quarter(CAST(o_orderdate AS DATE)) AS BIGINT) AS quarter
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {orders} ON l_orderkey = o_orderkey""",
     "report_terms": """
 SELECT l_orderkey AS REPORT_ID, CASE WHEN l_linenumber + l_orderkey % 41 = 41 THEN NULL ELSE s_name END AS PT_NAME_ENG,
-  CASE WHEN s_suppkey % 17 = 5 THEN NULL ELSE n_name END AS HLT_NAME_ENG
+  CASE WHEN s_suppkey % 17 = 5 THEN NULL ELSE n_name END AS HLT_NAME_ENG,
+  CAST(year(CAST(o_orderdate AS DATE)) * 10 + quarter(CAST(o_orderdate AS DATE)) AS BIGINT) AS quarter
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
-  JOIN {region} ON n_regionkey = r_regionkey""",
+  JOIN {region} ON n_regionkey = r_regionkey JOIN {orders} ON l_orderkey = o_orderkey""",
     # Text dates over six decades, for the two-digit-year rule.
     "extract_dates": f"""
 SELECT o_orderkey AS REPORT_ID, {_text_date('received')} AS DATRECEIVED, {_text_date('first_received')} AS DATINTRECEIVED,
