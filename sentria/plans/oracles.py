@@ -295,6 +295,7 @@ def oracles() -> dict[str, str]:
 
     # Sources and sinks
     add("s1_read_extract", "SELECT REPORT_ID, DATINTRECEIVED, GENDER_ENG, AGE_Y, OUTCOME_ENG FROM reports", "reports")
+    add("s1_read_quoted_extract", "SELECT REPORT_ID, '\"' || OUTCOME_ENG || '\"' || chr(10) || GENDER_ENG || '$' AS NOTE, AGE_Y FROM reports", "reports")
     add("s2_read_hierarchy",
         "SELECT CAST(PT_Code AS BIGINT) AS PT_Code, CAST(HLT_Code AS BIGINT) AS HLT_Code, CAST(HLGT_Code AS BIGINT) AS HLGT_Code, "
         "CAST(SOC_Code AS BIGINT) AS SOC_Code, PT_Term, HLT_Term, HLGT_Term, SOC_Term, SOC_Abbrev, "

@@ -132,6 +132,16 @@ def _s1(spark, sf):
     return extract.read_extract(spark, folder, {"reports": _extract_schema(*names)})["reports"]
 
 
+@_query("s1_read_quoted_extract")
+def _s1b(spark, sf):
+    # Notes of two lines with quotes and separators inside.
+    note = F.concat(F.lit('"'), "OUTCOME_ENG", F.lit('"\n'), "GENDER_ENG", F.lit("$"))
+    folder = new_shared_path(spark, "extract")
+    source = view(spark, sf, "reports").select("REPORT_ID", note.alias("NOTE"), "AGE_Y")
+    source.write.option("sep", "$").option("escape", '"').option("emptyValue", "").csv(f"{folder}/notes.txt")
+    return extract.read_extract(spark, folder, {"notes": _extract_schema("REPORT_ID", "NOTE", "AGE_Y")}, multi_line=True)["notes"]
+
+
 @_query("s2_read_hierarchy")
 def _s2(spark, sf):
     path = new_shared_path(spark, "hierarchy")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentria.sources.records import read_records
+
 
 def read_extract(spark: SparkSession, directory: str, schemas: Mapping[str, T.StructType],
     corrupt: str | None = None, multi_line: bool = False,
@@ -19,23 +21,27 @@ def read_extract(spark: SparkSession, directory: str, schemas: Mapping[str, T.St
     missing number is null and the text ``NA`` is null. Lines with too many
     fields, or with text in place of a number, keep what fits; with ``corrupt``
     they carry the whole line in a column of that name, else null. ``multi_line``
-    allows quoted line breaks; such files are not split between tasks.
+    allows quoted line breaks; files are read in splits all the same (``records.read_records``).
     """
     tables = {}
     for name, schema in schemas.items():
-        raw = (
-            spark.read.schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]) if corrupt else schema)
-            .option("columnNameOfCorruptRecord", corrupt or "_corrupt_record")
-            .option("escape", '"')
-            .option("multiLine", multi_line)
-            .option("sep", "$")
-            .option("header", False)
-            .option("quote", '"')
-            .option("mode", "PERMISSIVE")
-            .option("ignoreLeadingWhiteSpace", True)
-            .option("ignoreTrailingWhiteSpace", True)
-            .csv(f"{directory.rstrip('/')}/{name}.txt")
-        )
+        full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]) if corrupt else schema
+        options = {
+            "columnNameOfCorruptRecord": corrupt or "_corrupt_record",
+            "escape": '"',
+            "sep": "$",
+            "header": "false",
+            "quote": '"',
+            "mode": "PERMISSIVE",
+            "ignoreLeadingWhiteSpace": "true",
+            "ignoreTrailingWhiteSpace": "true",
+        }
+        path = f"{directory.rstrip('/')}/{name}.txt"
+        if multi_line:
+            parsed = F.from_csv("value", F.lit(full.toDDL()), options)
+            raw = read_records(spark, path).select(parsed.alias("r")).select("r.*")
+        else:
+            raw = spark.read.schema(full).options(**options).csv(path)
         texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
         filled = raw.na.fill("", texts)
         tables[name] = filled.withColumns({c: F.nullif(F.col(c), F.lit("NA")) for c in texts})
