@@ -1,6 +1,7 @@
 """Statistics on hand-made tables, invariances and estimators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -71,6 +72,27 @@ def test_margin_threshold_reaches_the_fix_point(spark):
         assert got == fix_point(rows, k), k
 
 
+def test_peeling_of_groups_and_chains(spark):
+    rng = random.Random(11)
+    groups = {
+        1: [(f"d{rng.randrange(25)}", f"e{rng.randrange(25)}", rng.randrange(1, 4)) for _ in range(60)],
+        # Each removal makes the next key too small.
+        2: [(f"d{k}", f"e{k}", 1) for k in range(5)] + [(f"d{k + 1}", f"e{k}", 1) for k in range(5)],
+        3: [("d", "e", 9)],
+    }
+    for g in groups:
+        groups[g] = [(a, b, n) for (a, b), n in {(a, b): n for a, b, n in groups[g]}.items()]
+    rows = [(g, *r) for g, some in groups.items() for r in some]
+    t = spark.createDataFrame(rows, "g int, D string, E string, count long")
+    for k in (2, 6):
+        out = contingency(t, "D", "E", by=["g"], min_margin=k).collect()
+        for g, some in groups.items():
+            kept = fix_point(some, k)
+            assert {(r.drug_code, r.event_effect): (r.n11, r.n1_, r.n_1) for r in out if r.g == g} == kept
+            assert {r.N for r in out if r.g == g} == ({sum(n for n, _, _ in kept.values())} if kept else set())
+    assert contingency(t.limit(0), "D", "E", min_margin=3).count() == 0
+
+
 def test_filters_come_after_margins(spark):
     whole = plans.standardise(disp.prr(disp.cells(ct_of(spark, BASIC))))
     kept = by_pair(filter_signals(whole, drugs=["A"], min_count=-3, min_exp=None))
