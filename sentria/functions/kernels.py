@@ -137,11 +137,27 @@ def fisher_greater(n11, n1_, n_1, total, or0: float = 1.0) -> tuple[np.ndarray,
     return np.clip(p, 0.0, 1.0), np.clip(p - 0.5 * point, 0.0, 1.0)
 
 
+def once_per_cell(kernel: Callable, *columns: pd.Series) -> dict[str, np.ndarray]:
+    """Results of a kernel that is run once for each stretch of equal rows.
+
+    The caller sorts rows by their cells, so a cell that many pairs share is
+    evaluated once in a batch.
+    """
+    values = [c.to_numpy() for c in columns]
+    new = np.ones(len(values[0]), bool)
+    new[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+    found = kernel(*(v[new] for v in values))
+    place = np.cumsum(new) - 1
+    return {name: v[place] for name, v in found.items()}
+
+
 def fisher_udf(or0: float) -> Callable:
+    def kernel(*cells):
+        return dict(zip(("p", "mid_p"), fisher_greater(*cells, or0)))
+
     @F.pandas_udf("p double, mid_p double")
     def exact(n11: pd.Series, n1_: pd.Series, n_1: pd.Series, total: pd.Series) -> pd.DataFrame:
-        p, mid = fisher_greater(n11.to_numpy(), n1_.to_numpy(), n_1.to_numpy(), total.to_numpy(), or0)
-        return pd.DataFrame({"p": p, "mid_p": mid})
+        return pd.DataFrame(once_per_cell(kernel, n11, n1_, n_1, total))
 
     return exact
 
@@ -188,12 +204,15 @@ def dirichlet_ic(n11, n10, n01, n00, total, seeds, draws: int, log_rr0: float) -
 
 
 def dirichlet_udf(draws: int, log_rr0: float) -> Callable:
+    def kernel(n11, n10, n01, n00, total, seeds):
+        cells = (v.astype(float) for v in (n11, n10, n01, n00, total))
+        return dirichlet_ic(*cells, seeds, draws, log_rr0)
+
     @F.pandas_udf("lower double, median double, upper double, post_h0 double")
     def sample(
         n11: pd.Series, n10: pd.Series, n01: pd.Series, n00: pd.Series, total: pd.Series, seed: pd.Series
     ) -> pd.DataFrame:
-        cells = (s.to_numpy(dtype=float) for s in (n11, n10, n01, n00, total))
-        return pd.DataFrame(dirichlet_ic(*cells, seed.to_numpy(), draws, log_rr0))
+        return pd.DataFrame(once_per_cell(kernel, n11, n10, n01, n00, total, seed))
 
     return sample
 
@@ -377,16 +396,14 @@ def mixture_quantile(level: float, q, a1, r1, a2, r2) -> np.ndarray:
 
 
 def gamma_mixture_udf(level: float, rr0: float) -> Callable:
+    def kernel(*columns):
+        args = [v.astype(float) for v in columns]
+        return {"post_h0": mixture_cdf(rr0, *args), "quantile": mixture_quantile(level, *args)}
+
     @F.pandas_udf("post_h0 double, quantile double")
     def posterior(
         q: pd.Series, a1: pd.Series, r1: pd.Series, a2: pd.Series, r2: pd.Series
     ) -> pd.DataFrame:
-        args = [s.to_numpy(dtype=float) for s in (q, a1, r1, a2, r2)]
-        return pd.DataFrame(
-            {
-                "post_h0": mixture_cdf(rr0, *args),
-                "quantile": mixture_quantile(level, *args),
-            }
-        )
+        return pd.DataFrame(once_per_cell(kernel, q, a1, r1, a2, r2))
 
     return posterior

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentria.functions.kernels import dirichlet_udf
 from sentria.functions.special import Z_95, digamma, norm_cdf, num, raised_inverse, solid, trigamma
 from sentria.operators.contingency import min_count
-from sentria.session import spread
+from sentria.session import spread_cells
 
 
 def bcpnn(ct: DataFrame, rr0: float = 1.0, min_n11: int = 1, log_base: float = 2.0) -> DataFrame:
@@ -57,13 +57,14 @@ def bcpnn_mc(
 ) -> DataFrame:
     """Sampled information component (natural logarithm) of a Dirichlet posterior.
 
-    Adds ``median_IC, LB95_IC, UB95_IC, postH0``. Every pair draws from its own
-    generator, seeded by a hash of its keys, so the same seed gives the same
-    rows under any partitioning and after any task retry.
+    Adds ``median_IC, LB95_IC, UB95_IC, postH0``. Every cell draws from its own
+    generator, seeded by a hash of its counts, so the same seed gives the same
+    rows under any partitioning and after any task retry, and pairs with equal
+    counts have equal results. ``by`` only helps to deal the rows out.
     """
-    t = spread(min_count(ct, min_n11), *by, "drug_code", "event_effect")
+    t = spread_cells(min_count(ct, min_n11), *by, "drug_code", "event_effect")
     n11, n1_, n_1, n = (F.col(c).cast("double") for c in ("n11", "n1_", "n_1", "N"))
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in (*by, "drug_code", "event_effect")])
+    key = F.xxhash64(F.lit(seed), *[F.col(c).cast("long") for c in ("n11", "n1_", "n_1", "N")])
     sampled = t.withColumn(
         "_ic",
         dirichlet_udf(draws, math.log(rr0))(n11, n1_ - n11, n_1 - n11, n - n1_ - n_1 + n11, n, key),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentria.functions.kernels import fisher_udf
 from sentria.functions.special import Z_95, num, safe_div, safe_log
 from sentria.operators.contingency import min_count
-from sentria.session import spread
+from sentria.session import spread_cells
 
 
 def cells(ct: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def rfet(ct: DataFrame, or0: float = 1.0, min_n11: int = 1, repartition: bool =
     """
     kept = min_count(ct, min_n11)
     if repartition:
-        kept = spread(kept, "drug_code", "event_effect")
+        kept = spread_cells(kept, "drug_code", "event_effect")
     tested = kept.withColumn(
         "_exact", fisher_udf(float(or0))(F.col("n11"), F.col("n1_"), F.col("n_1"), F.col("N"))
     )

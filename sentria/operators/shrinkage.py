@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sentria.functions.kernels import gamma_mixture_udf, negative_binomial_sums
 from sentria.functions.special import digamma, lgamma, num, solid
 from sentria.operators.contingency import min_count
-from sentria.session import cut_lineage, spread
+from sentria.session import cut_lineage, spread_cells
 
 # Margins are put into this many classes per unit of their natural logarithm.
 _CLASSES_PER_UNIT = 64
@@ -76,23 +76,27 @@ def _with_weights(t: DataFrame, prior: GammaMixture, n: Column, e: Column) -> Da
 _SUMS = [f"s{i}" for i in range(6)]
 
 
-def _observed_part(cells: DataFrame, params: tuple[float, ...]) -> np.ndarray:
-    """Log-likelihood and gradient over the observed cells: one Spark aggregate.
+def _observed_part(cells: DataFrame, candidates: list[tuple[float, ...]]) -> np.ndarray:
+    """Log-likelihood and gradient of every candidate over the observed cells, in one scan.
 
-    Each task adds up its own Arrow batches, so six numbers per task are
-    shuffled. (As Column literals the changing parameters would compile new
+    Each task adds up its own Arrow batches; six numbers per candidate and task
+    reach the driver. (As Column literals the changing parameters would compile new
     code at every step of the search.)
     """
 
     def partial(batches):
-        total = np.zeros(6)
+        total = np.zeros((len(candidates), 6))
         for b in batches:
-            total += negative_binomial_sums(b["n"].to_numpy(), b["e"].to_numpy(), b["cells"].to_numpy(), params)
-        yield pd.DataFrame([total], columns=_SUMS)
+            rows = b["n"].to_numpy(), b["e"].to_numpy(), b["cells"].to_numpy()
+            total += [negative_binomial_sums(*rows, params) for params in candidates]
+        yield pd.DataFrame(total, columns=_SUMS).assign(k=range(len(candidates)))
 
-    sums = cells.mapInPandas(partial, ", ".join(f"{s} double" for s in _SUMS))
-    row = sums.agg(*[F.sum(s).alias(s) for s in _SUMS]).head()
-    return np.array([row[s] for s in _SUMS])
+    rows = cells.mapInPandas(partial, ", ".join([*(f"{s} double" for s in _SUMS), "k int"])).collect()
+    out = np.zeros((len(candidates), 6))
+    # Summed in one order, so that every evaluation gives the same digits.
+    for r in sorted(rows):
+        out[r.k] += r[:6]
+    return out
 
 
 def _margin_class(c: str) -> Column:
@@ -144,11 +148,12 @@ def gps_fit(
 ) -> GammaMixture:
     """Maximum-likelihood prior from an overall contingency frame.
 
-    Likelihood and gradient are sums over cells: each step is one Spark
-    aggregate over the observed cells, plus the closed form over the classes of
+    Likelihood and gradient are sums over cells: each step is one scan of
+    the observed cells for all its step lengths, plus the closed form over the classes of
     empty cells when ``include_empty`` (the full drug x event table). The
     driver holds five parameters and a 5 x 5 matrix. Cells with equal counts and
-    margins are merged before the search. ``converged`` of the result tells whether ``max_steps`` sufficed.
+    margins are merged before the search, which starts from the fit of a table of
+    classes that the driver holds, of bounded size (``_squashed``). ``converged`` of the result tells whether ``max_steps`` sufficed.
     """
     pairs = cut_lineage(ct.select("drug_code", "event_effect", "n11", "n1_", "n_1", "N"))
     # E is a function of the product of the margins: their order makes no difference.
@@ -159,22 +164,79 @@ def gps_fit(
     empty = empty_cells(pairs) if include_empty else (np.zeros(0), np.zeros(0))
     size = float(cells.agg(F.sum("cells")).head()[0]) + float(empty[1].sum())
 
-    def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
-        params = GammaMixture.from_vector(v).params()
-        sums = _observed_part(cells, params)
+    def objective(points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        candidates = [GammaMixture.from_vector(v).params() for v in points]
+        sums = _observed_part(cells, candidates)
         if len(empty[0]):
-            sums = sums + negative_binomial_sums(np.zeros(len(empty[0])), *empty, params)
-        return -sums[0] / size, -sums[1:] / size
-
-    v, value, converged = _quasi_newton(objective, (start or GammaMixture()).to_vector(), max_steps, tolerance)
+            sums = sums + [negative_binomial_sums(np.zeros(len(empty[0])), *empty, params) for params in candidates]
+        return -sums[:, 0] / size, -sums[:, 1:] / size
+
+    squashed = _squashed(cells)
+
+    def rough(points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.zeros((len(points), 6))
+        for k, v in enumerate(points):
+            params = GammaMixture.from_vector(v).params()
+            sums[k] = negative_binomial_sums(*squashed, params)
+            if len(empty[0]):
+                sums[k] += negative_binomial_sums(np.zeros(len(empty[0])), *empty, params)
+        return -sums[:, 0] / size, -sums[:, 1:] / size
+
+    first = (start or GammaMixture()).to_vector()
+    near, _, _, bend = _quasi_newton(rough, first, max_steps, tolerance, np.eye(len(first)))
+    v, value, converged, _ = _quasi_newton(objective, near, max_steps, tolerance, bend)
     cells.unpersist()
     return GammaMixture.from_vector(v, -value * size, converged)
 
 
-def _quasi_newton(objective, x: np.ndarray, max_steps: int, tolerance: float) -> tuple[np.ndarray, float, bool]:
-    """BFGS with backtracking; the objective never increases. The last value: whether it ended by itself."""
-    inverse = np.eye(len(x))
-    f, g = objective(x)
+def gps_likelihood(ct: DataFrame, prior: GammaMixture) -> DataFrame:
+    """One row: mean log-likelihood of the observed cells under a prior, and its gradient.
+
+    The factor 1/n11! is left out. The gradient is by the logarithms of the rates and
+    shapes and by the logit of the weight, as in the search of ``gps_fit``.
+    """
+    params = prior.params()
+
+    def partial(batches):
+        total, rows = np.zeros(6), 0
+        for b in batches:
+            total += negative_binomial_sums(b["n"].to_numpy(), b["e"].to_numpy(), np.ones(len(b)), params)
+            rows += len(b)
+        yield pd.DataFrame([[*total, rows]], columns=[*_SUMS, "cells"])
+
+    cells = ct.select(num("n11").alias("n"), (num("n1_") * num("n_1") / num("N")).alias("e"))
+    sums = cells.mapInPandas(partial, ", ".join(f"{s} double" for s in [*_SUMS, "cells"]))
+    names = ("log_likelihood", "by_log_alpha1", "by_log_beta1", "by_log_alpha2", "by_log_beta2", "by_logit_w")
+    return sums.agg(*[(F.sum(s) / F.sum("cells")).alias(n) for s, n in zip(_SUMS, names)])
+
+
+def _squashed(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, expected counts and numbers of cells by class of both: a small table to start the search from.
+
+    Counts from 64 on and expected counts go by sixteenths of their natural logarithm,
+    so there are fewer than 800 x 1,500 classes whatever the data.
+    """
+    n_class = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.ln("n") * 16) / 16.0 + 64)
+    share = lambda c: (F.sum(F.col(c) * F.col("cells")) / F.sum("cells")).alias(c)
+    classes = cells.groupBy(n_class.alias("_n"), F.floor(F.ln("e") * 16).alias("_e"))
+    rows = classes.agg(share("n"), share("e"), F.sum("cells").alias("cells")).drop("_n", "_e").toPandas()
+    rows = rows.sort_values(["n", "e"])
+    return tuple(rows[c].to_numpy() for c in ("n", "e", "cells"))
+
+
+#: Step lengths along a direction that one evaluation tries; further ones are shorter by the last of them.
+_RATES = (1.0, 0.5, 0.25, 0.1)
+
+
+def _quasi_newton(
+    objective, x: np.ndarray, max_steps: int, tolerance: float, inverse: np.ndarray
+) -> tuple[np.ndarray, float, bool, np.ndarray]:
+    """BFGS with a line search; the objective never increases. Also whether it ended by itself, and the inverse curvature.
+
+    ``objective`` takes several points at once and gives their values and gradients.
+    """
+    values, slopes = objective([x])
+    f, g = values[0], slopes[0]
     for _ in range(max_steps):
         if np.max(np.abs(g)) < tolerance:
             break
@@ -182,15 +244,18 @@ def _quasi_newton(objective, x: np.ndarray, max_steps: int, tolerance: float) ->
         if direction @ g >= 0:
             inverse, direction = np.eye(len(x)), -g
         longest = np.max(np.abs(direction))
-        rate = min(1.0, 2.0 / longest) if longest > 0 else 1.0
-        while rate > 1e-10:
-            nxt = x + rate * direction
-            f2, g2 = objective(nxt)
-            if np.isfinite(f2) and f2 <= f + 1e-4 * rate * (g @ direction):
-                break
-            rate *= 0.5
-        else:
+        scale = min(1.0, 2.0 / longest) if longest > 0 else 1.0
+        good: list[int] = []
+        while scale > 1e-10 and not good:
+            rates = [scale * r for r in _RATES]
+            points = [x + r * direction for r in rates]
+            values, slopes = objective(points)
+            enough = [f + 1e-4 * r * (g @ direction) for r in rates]
+            good = [k for k, v in enumerate(values) if np.isfinite(v) and v <= enough[k]]
+            scale *= _RATES[-1]
+        if not good:
             break
+        nxt, f2, g2 = points[good[0]], values[good[0]], slopes[good[0]]
         s, y = nxt - x, g2 - g
         gain = f - f2
         x, f, g = nxt, f2, g2
@@ -201,8 +266,8 @@ def _quasi_newton(objective, x: np.ndarray, max_steps: int, tolerance: float) ->
         if gain < 1e-13 * max(1.0, abs(f)):
             break
     else:
-        return x, f, False
-    return x, f, True
+        return x, f, False, inverse
+    return x, f, True, inverse
 
 
 def gps(
@@ -221,7 +286,7 @@ def gps(
     """
     t = min_count(ct, min_n11)
     if quantiles:
-        t = spread(t, "drug_code", "event_effect")
+        t = spread_cells(t, "drug_code", "event_effect")
     t = t.withColumns({"_n": solid(num("n11")), "_e": solid(num("n1_") * num("n_1") / num("N"))})
     n, e = F.col("_n"), F.col("_e")
     t = _with_weights(t, prior, n, e)

@@ -591,6 +591,20 @@ def oracles() -> dict[str, str]:
     add("d12_cumulative_ic",
         f"{by_quarter} SELECT quarter, drug_code, event_effect, round(sum(IC) OVER w * {LN2}, 4) AS IC_cumulative, round(sum(LB95_IC) OVER w * {LN2}, 4) AS LB95_IC_cumulative "
         "FROM ic WINDOW w AS (PARTITION BY drug_code, event_effect ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "fact")
+    near = "TRUE AS median_near, TRUE AS lower_near, TRUE AS upper_near"
+    add("d7_sampled_and_closed",
+        f"{pt}, {_bcpnn('ct')} SELECT drug_code, event_effect, n11, round(IC * {LN2}, 4) AS mean, {near} FROM ic", *pt_views)
+    add("d9_signals_sampled",
+        f"{hlt}, {_fisher()}, {_cells()}, {_PRR.format(prev='cells')}, {_ROR.format(prev='PRR_t')}, {_RRR.format(prev='ROR_t')}, {_bcpnn('ct')} "
+        f"SELECT t.drug_code, t.event_effect, t.n11 AS \"count\", t.n1_ AS drug_margin, t.n_1 AS event_margin, t.N, {_r4('PRR', 'ROR', 'RRR', 'RFET')}, "
+        f"round(IC * {LN2}, 4) AS mean, {near} FROM RRR_t t JOIN fisher USING (drug_code, event_effect) JOIN ic USING (drug_code, event_effect)", "fact")
+    slope = lambda q, a, b: (
+        f"avg({q} * {a} * ({_digamma(f'(n11 + {a}e0)')} - {_digamma(f'{a}e0')} + ln({b}e0) - ln(e + {b}e0))), "
+        f"avg({q} * ({a} - {b} * (n11 + {a}) / (e + {b})))")
+    names = ("log_likelihood", "by_log_alpha1", "by_log_beta1", "by_log_alpha2", "by_log_beta2", "by_logit_w")
+    add("d8a_gps_likelihood",
+        f"{pt}, {_GPS}, sums({', '.join(names)}) AS (SELECT avg(l1 + ln({_W}e0) - ln(Q)), {slope('Q', _A1, _B1)}, {slope('(1 - Q)', _A2, _B2)}, avg(Q - {_W}) FROM gps_1) "
+        f"SELECT {', '.join(f'round({n}, 8) AS {n}' for n in names)} FROM sums", *pt_views)
     out["a3_quarters_loaded"], out["d11_quarters_loaded"] = out["a3_pair_counts_quarter"], out["d11_cumulative_contingency"]
     add("d12_quarters_loaded",
         f"{by_quarter}, {_cells('quarter')}, {_PRR.format(prev='cells')}, sums AS (SELECT quarter, drug_code, event_effect, "

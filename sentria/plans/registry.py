@@ -7,6 +7,7 @@ and a data folder and returns a DataFrame over the whole tables.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -753,6 +754,38 @@ _query("d6_bcpnn_hlt")(_stat(lambda t: bayes.bcpnn(t, rr0=1.1, min_n11=90).selec
 _query("d7_bcpnn_mc")(_stat(lambda t: bayes.bcpnn_mc(t, draws=1000, seed=7), _hlt_ct))
 
 
+def _closed_and_sampled(sampled: DataFrame, closed: DataFrame, draws: int) -> DataFrame:
+    """Whether sampled components agree with the closed form within the error of the draws.
+
+    The median may differ from the mean by a fifth of a standard deviation, and the bounds
+    from those of a normal density by the term of its skewness, about the root of 1 / n11.
+    """
+    keys = ["drug_code", "event_effect"]
+    t = sampled.join(closed.select(*keys, F.col("IC").alias("_mean"), F.sqrt("var_IC").alias("_sd"), F.sqrt("n11").alias("_root")), keys)
+    error = 0.2 + 8 / draws**0.5
+    skew = lambda z: 0.5 * (z * z - 1) / F.col("_root") if z else F.lit(0.0)
+    near = lambda c, z: F.abs((F.col(c) - F.col("_mean")) / F.col("_sd") - z) < skew(z) + error
+    return t.withColumns(
+        {"mean": F.col("_mean"), "median_near": near("median_IC", 0), "lower_near": near("LB95_IC", -1.96), "upper_near": near("UB95_IC", 1.96)}
+    )
+
+
+_NEAR = ("mean", "median_near", "lower_near", "upper_near")
+
+
+@_query("d7_sampled_and_closed")
+def _d7b(spark, sf):
+    ct = disp.cells(_pt_ct(spark, sf))
+    draws = 1000
+    both = _closed_and_sampled(bayes.bcpnn_mc(ct, draws=draws, seed=3), bayes.bcpnn(ct, log_base=math.e), draws)
+    return _r4(both.select(*_KEYS, *_NEAR))
+
+
+@_query("d8a_gps_likelihood")
+def _d8a_likelihood(spark, sf):
+    return c.round_numeric(shrinkage.gps_likelihood(_pt_ct(spark, sf), PRIOR), 8)
+
+
 @_query("d8a_gps_fit")
 def _d8a(spark, sf):
     ct = _pt_ct(spark, sf)
@@ -793,6 +826,16 @@ def _quarter_signals(spark: SparkSession, sf: str, **options) -> DataFrame:
     return plans.signals_from_counts(pairs, "ing", "HLT_NAME_ENG", by="quarter", ordered=False, **options)
 
 
+@_query("d9_signals_sampled")
+def _d9_sampled(spark, sf):
+    pairs = _cohort_counts(spark, sf, "HLT")
+    draws = 2000
+    t = plans.signals_from_counts(pairs, "ing", "HLT_NAME_ENG", draws=draws, ordered=False)
+    closed = bayes.bcpnn(ctg.contingency(pairs, "ing", "HLT_NAME_ENG"), log_base=math.e)
+    both = _closed_and_sampled(t, closed, draws)
+    return _r4(both.select("drug_code", "event_effect", "count", "drug_margin", "event_margin", "N", "PRR", "ROR", "RRR", "RFET", *_NEAR))
+
+
 @_query("d10_signals_quarter")
 def _d10(spark, sf):
     ratios = [f"{bound}{name}" for name in ("PRR", "ROR", "RRR") for bound in ("", "LB95_", "UB95_")]

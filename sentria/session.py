@@ -84,6 +84,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
+def spread_cells(df: DataFrame, *keys: str) -> DataFrame:
+    """``spread``, with equal cells side by side in each task, so that kernels run once for them.
+
+    Rows are dealt by ``keys``, the pair, and not by the cell: a cell that a third of
+    all pairs share must not end up in one task.
+    """
+    return spread(df, *keys).sortWithinPartitions("n11", "n1_", "n_1", "N")
+
+
 def settle(df: DataFrame, *keys: str) -> DataFrame:
     """Put an exchange on top of a frame that several parts of one plan consume.
 
