@@ -26,14 +26,13 @@ MAX_LABELLED = 20_000
 #: Weight of the prior, as a share of the counts it is taken from.
 PRIOR = 0.1
 #: A word's score is its log-odds, moved by so many standard deviations towards 0.
-CAUTION = 2.0
-#: Words whose log-odds are fewer standard deviations from 0, or score less, count as neutral.
-MIN_Z = 3.0
+CAUTION = 1.5
+#: Words that score less, either way, count as neutral.
 MIN_SCORE = 0.5
 #: Score that every word costs; it ends passages.
 DRIFT = 0.05
-#: Entries of the lexicon at most, those furthest from 0.
-MAX_LEXICON = 50_000
+#: Parts of the labelled rows. Each is scored by what the others teach, for the extreme-value law and the calibration.
+FOLDS = 5
 #: A segment is significant if so many or fewer are expected by chance in the text.
 MAX_E = 0.05
 #: Tokens gathered in a task before the counts are handed on.
@@ -112,33 +111,41 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> Dat
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean): documents labelled 1 and 0 that have the word.
+    """(word, toxic, clean): per part of ``FOLDS``, the documents labelled 1 and 0 that have the word, as arrays.
 
     A word that one document repeats is no more typical of its label for it.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = (Counter(), Counter())
+        sums: Counter[tuple[str, int, int]] = Counter()
 
         def flush() -> pd.DataFrame:
-            names = list(sums[0].keys() | sums[1].keys())
-            counts = {"toxic": [sums[1][w] for w in names], "clean": [sums[0][w] for w in names]}
-            out = pd.DataFrame({"word": pd.Series(names, dtype=object)} | counts)
-            sums[0].clear(), sums[1].clear()
+            out = pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["word", "fold", "y", "n"])
+            sums.clear()
             return out
 
         for batch in batches:
-            for text, y in zip(batch["text"], batch["label"]):
-                sums[int(y == 1)].update(set(WORD.findall((text or "").lower())))
-            if len(sums[0]) + len(sums[1]) > FLUSH_WORDS:
+            for text, fold, y in zip(batch["text"], batch["fold"], batch["label"]):
+                sums.update((w, fold, int(y == 1)) for w in set(WORD.findall((text or "").lower())))
+            if len(sums) > FLUSH_WORDS:
                 yield flush()
         yield flush()
 
-    return (
-        rows.mapInPandas(count, "word string, toxic long, clean long")
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = rows.mapInPandas(count, "word string, fold int, y int, n long")
+    of = lambda y: F.array(
+        *[F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)) for k in range(FOLDS)]
     )
+    return found.groupBy("word").agg(of(1).alias("toxic"), of(0).alias("clean"))
+
+
+def _odds(toxic, clean, all_toxic: int, all_clean: int) -> tuple:
+    """Log-odds of words from document counts, moved towards 0 by their uncertainty, and their share of clean text."""
+    prior = PRIOR * (toxic + clean)
+    extra = PRIOR * (all_toxic + all_clean)
+    a, b = toxic + prior, clean + prior
+    odds = np.log(a / (all_toxic + extra - a)) - np.log(b / (all_clean + extra - b))
+    spread = np.sqrt(1 / a + 1 / b)
+    return np.sign(odds) * np.maximum(np.abs(odds) - CAUTION * spread, 0), b / (all_clean + extra)
 
 
 def _rate(lexicon: dict[str, float], share: dict[str, float]) -> float:
@@ -160,56 +167,72 @@ def _rate(lexicon: dict[str, float], share: dict[str, float]) -> float:
     return high
 
 
+def _scale(calm: pd.DataFrame, rate: float, least: float) -> float:
+    """Scale of the extreme-value law by maximum likelihood, given its rate.
+
+    The best score of a clean text of n words stays below s with probability
+    exp(-scale * n * exp(-rate * s)). Texts without a segment stay below ``least``.
+    """
+    hits = calm["top"] > 0
+    exposure = (calm["n"] * np.exp(-rate * calm["top"].where(hits, least - DRIFT))).sum()
+    return float(max(1e-12, max(hits.sum(), 0.5) / max(exposure, 1e-12)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> Model:
     """Learn lexicon, extreme-value law and calibration from labelled documents.
 
     Without labelled rows, or with one class alone, the model finds nothing toxic.
     """
-    rows = _labelled(docs, labels, label, limit)
-    counts = word_counts(rows).cache()
-    toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    rows = _labelled(docs, labels, label, limit).withColumn(
+        "fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    )
     model = Model()
-    if not toxic or not clean:  # also without any words
-        counts.unpersist()
+    # The words of at most ``limit`` documents that are in two of them; a single document proves nothing.
+    enough = F.aggregate(F.concat("toxic", "clean"), F.lit(0).cast("long"), lambda n, x: n + x) > 1
+    sums = word_counts(rows).cache()
+    totals = sums.agg(
+        *[F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in ("toxic", "clean") for k in range(FOLDS)]
+    ).first()
+    kept = sums.where(enough).sort("word").toPandas()
+    sums.unpersist()
+    all_toxic, all_clean = (np.array([totals[f"{c}{k}"] or 0 for k in range(FOLDS)]) for c in ("toxic", "clean"))
+    if not all_toxic.sum() or not all_clean.sum() or not len(kept):  # also without any words
         return model
-    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
-    a, b = F.col("toxic") + prior, F.col("clean") + prior
-    extra = PRIOR * (toxic + clean)
-    odds = F.log(a / (toxic + extra - a)) - F.log(b / (clean + extra - b))
-    spread = F.sqrt(1 / a + 1 / b)
-    scored = counts.select(
-        "word",
-        (odds - F.signum(odds) * CAUTION * spread).alias("odds"),
-        (odds / spread).alias("z"),
-        (b / (clean + extra)).alias("share"),
-    ).where((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_SCORE))
-    kept = scored.orderBy(F.abs("z").desc(), "word").limit(MAX_LEXICON).toPandas()
-    counts.unpersist()
-    model.lexicon = dict(zip(kept["word"], kept["odds"]))
-    model.rate = _rate(model.lexicon, dict(zip(kept["word"], kept["share"])))
+    words = kept["word"].tolist()
+    toxic, clean = (np.array(kept[c].tolist(), float) for c in ("toxic", "clean"))
+
+    def lexicon(own: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
+        """What the parts ``own`` teach: scores of words, and their shares of clean text."""
+        t, c = toxic[:, own].sum(1), clean[:, own].sum(1)
+        odds, share = np.zeros(len(words)), np.zeros(len(words))
+        seen = t + c > 0
+        if all_toxic[own].sum() and all_clean[own].sum():
+            odds[seen], share[seen] = _odds(t[seen], c[seen], all_toxic[own].sum(), all_clean[own].sum())
+        some = np.flatnonzero(np.abs(odds) >= MIN_SCORE).tolist()
+        return {words[k]: float(odds[k]) for k in some}, {words[k]: float(share[k]) for k in some}
+
+    folds = np.arange(FOLDS)
+    model.lexicon, shares = lexicon(folds >= 0)
+    model.rate = _rate(model.lexicon, shares)
+    others = docs.sparkSession.sparkContext.broadcast([lexicon(folds != k)[0] for k in range(FOLDS)])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, y in zip(batch["text"], batch["label"]):
+            for text, fold, y in zip(batch["text"], batch["fold"], batch["label"]):
+                own = others.value[fold]
                 tokens = WORD.findall((text or "").lower())
-                marked = [(k, s) for k, t in enumerate(tokens) if (s := model.lexicon.get(t)) is not None]
+                marked = [(k, s) for k, t in enumerate(tokens) if (s := own.get(t)) is not None]
                 out.append((int(y == 1), len(tokens), [s for *_, s in segments(marked)]))
             yield pd.DataFrame(out, columns=["y", "n", "scores"])
 
-    # At most ``limit`` rows of a few numbers each.
+    # At most ``limit`` rows of a few numbers each, summed in one order.
     seen = rows.mapInPandas(best, "y int, n long, scores array<double>").toPandas()
-    calm = seen[seen["y"] == 0]
-    # Scale: as many segments expected in the clean rows as there are, half a one more at least.
-    chance = sum(np.exp(-model.rate * min(s)) * n for s, n in zip(calm["scores"], calm["n"]) if len(s))
-    per_word = (sum(len(s) for s in calm["scores"]) + 0.5) / max(1, calm["n"].sum())
-    low = min((min(s) for s in seen["scores"] if len(s)), default=1.0)
-    model.scale = float(max(1e-12, per_word * math.exp(model.rate * low))) if chance == 0 else float(
-        max(1e-12, per_word * math.exp(model.rate * np.mean([min(s) for s in calm["scores"] if len(s)])))
-    )
+    seen = seen.assign(top=[max(s, default=0.0) for s in seen["scores"]]).sort_values(["y", "n", "top"])
+    model.scale = _scale(seen[seen["y"] == 0], model.rate, min((s for s in model.lexicon.values() if s > DRIFT), default=1.0))
     evidence = np.array(
         [
-            sum(e for s in scores if (e := model.rate * s - math.log(model.scale * n)) >= -math.log(MAX_E))
+            sum(e for s in scores if (e := model.rate * s - math.log(model.scale * max(n, 1))) >= -math.log(MAX_E))
             for scores, n in zip(seen["scores"], seen["n"])
         ]
     )
