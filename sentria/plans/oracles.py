@@ -605,6 +605,7 @@ def oracles() -> dict[str, str]:
     add("d8a_gps_likelihood",
         f"{pt}, {_GPS}, sums({', '.join(names)}) AS (SELECT avg(l1 + ln({_W}e0) - ln(Q)), {slope('Q', _A1, _B1)}, {slope('(1 - Q)', _A2, _B2)}, avg(Q - {_W}) FROM gps_1) "
         f"SELECT {', '.join(f'round({n}, 8) AS {n}' for n in names)} FROM sums", *pt_views)
+    out["a1_pair_counts_stored"] = out["a1_pair_counts_pt"]
     out["a3_quarters_loaded"], out["d11_quarters_loaded"] = out["a3_pair_counts_quarter"], out["d11_cumulative_contingency"]
     add("d12_quarters_loaded",
         f"{by_quarter}, {_cells('quarter')}, {_PRR.format(prev='cells')}, sums AS (SELECT quarter, drug_code, event_effect, "

@@ -31,7 +31,7 @@ from sentria.operators import (
 from sentria.plans import quarter_store
 from sentria.plans import signals as plans
 from sentria.session import cut_lineage, new_shared_path
-from sentria.sources import extract, snapshots
+from sentria.sources import extract, snapshots, stored_fact
 from sentria.sources import nested as nested_source
 from sentria.sources.star_views import table, view
 
@@ -94,6 +94,11 @@ def _pt_ct(spark: SparkSession, sf: str) -> DataFrame:
     return ctg.contingency(_pt_counts(spark, sf), "DRUGNAME", "PT_NAME_ENG")
 
 
+def _buckets(spark: SparkSession) -> int:
+    """Buckets of a stored table: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _cohort_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The cohort's report x ingredient and report x reaction rows."""
     drugs, terms = (view(spark, sf, v).filter(F.col("quarter") >= SINCE) for v in ("report_ingredients", "report_terms"))
@@ -561,6 +566,13 @@ def _a1(spark, sf):
     return _cohort_counts(spark, sf)
 
 
+@_query("a1_pair_counts_stored")
+def _a1c(spark, sf):
+    fact = view(spark, sf, "fact").select("REPORT_ID", "ing", "PT_NAME_ENG", "quarter")
+    stored = stored_fact.write_stored(fact, new_shared_path(spark, "fact"), _buckets(spark))
+    return stored_fact.distinct_reports(counts.analysis_cohort(stored, SINCE), ["ing", "PT_NAME_ENG"])
+
+
 @_query("a1_pair_counts_from_tables")
 def _a1b(spark, sf):
     return _pt_counts(spark, sf)
