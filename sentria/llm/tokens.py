@@ -10,14 +10,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
 #: Cached words per worker; the cache starts anew beyond it. It bounds memory, not results.
 CACHE_WORDS = 800_000
+#: Bytes of text whose words are numbered together; a longer document is taken alone. It bounds memory, not results.
+STRETCH = 8 << 20
 #: New words that go to the tokenizer as one text.
 TOGETHER = 2_000
+#: A word of Latin letters of one or two bytes, and the ASCII punctuation behind it; the splitter cuts between the two.
+LATIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|*#$%&]*)")
 #: A word that ends in a Latin letter and ASCII punctuation: the splitter cuts between the two.
 TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?|*#$%&]+)", re.S)
 
@@ -46,28 +53,61 @@ class WordEncoder:
         self.literal, self.cut = literal, re.compile(b"(" + b"|".join(map(re.escape, literal)) + b")")
         # Words between marks are lower-cased, which must not turn them into marks.
         self.tokenizer.encode_special_tokens = not self.whole
+        #: The empty word stands before leading white space.
+        self.marks[b""] = b""
         self.cache: dict[bytes, bytes] = dict(self.marks)
+        self.letters = None if self.whole else self._letters()
         names = self.tokenizer.get_vocab()
         #: Whether an id ends a word, where the vocabulary marks that.
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[k for name, k in names.items() if name.endswith("</w>")]] = True
 
+    def _letters(self) -> dict[int, str] | None:
+        """How the model writes bytes, if it takes Latin words byte by byte; else None.
+
+        Bytes that print stand for themselves, the others for code points from 256 on.
+        """
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = [b for b in range(256) if b not in shown]
+        table = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(other)}
+        for word in ("a", "word", "unlikeliest", "stra\u00dfe", "\u00e9t\u00e9", "\u00c9t\u00e9", "\u00f1\u00e6\u00f8\u00fe\u00ff"):
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+            if found != [t.id for t in self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(table))]:
+                return None
+        return table
+
     def _fill(self, missing: set[bytes]) -> None:
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache.clear()
             self.cache.update(self.marks)
-        parts = {w: m.groups() for w in missing if (m := TAIL.fullmatch(w))}
-        alone = {w for w in missing if w not in parts} | {p for two in parts.values() for p in two if p not in self.cache}
-        alone = list(alone)
+        cache, parts, latin, alone = self.cache, {}, set(), set()
+        for w in missing:
+            if self.letters and (m := LATIN.fullmatch(w)):
+                body, tail = m.groups()
+                latin.add(body)
+                if tail:
+                    parts[w] = body, tail
+                    alone.add(tail)
+            elif m := TAIL.fullmatch(w):
+                parts[w] = m.groups()
+                alone.update(parts[w])
+            else:
+                alone.add(w)
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for w in latin:
+            if w not in cache:
+                text = w.decode() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(letters)
+                cache[w] = array("I", [t.id for t in tokenize(text)]).tobytes()
+        alone = [w for w in alone if w not in cache]
         texts = [w.decode() for w in alone]
-        letters = [k for k, t in enumerate(texts) if t.isalpha()]
-        for at in range(0, len(letters), TOGETHER):
-            self._together([alone[k] for k in letters[at : at + TOGETHER]])
-        rest = [k for k, w in enumerate(alone) if w not in self.cache]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        for at in range(0, len(plain), TOGETHER):
+            self._together([alone[k] for k in plain[at : at + TOGETHER]])
+        rest = [k for k, w in enumerate(alone) if w not in cache]
         found = self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
-        self.cache.update((alone[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(rest, found))
+        cache.update((alone[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(rest, found))
         for w, (body, tail) in parts.items():
-            self.cache[w] = self.cache[body] + self.cache[tail]
+            cache[w] = cache[body] + cache[tail]
 
     def _together(self, words: list[bytes]) -> None:
         """Encode words of letters as one text and part the ids at the word ends.
@@ -81,35 +121,68 @@ class WordEncoder:
             raw = ids.tobytes()
             self.cache.update((w, raw[a:b]) for w, a, b in zip(words, [0, *stops], stops))
 
-    def _words(self, text: str | None) -> list[bytes]:
-        """Keys of a text: lower-cased words, and added tokens after a blank."""
-        raw = (text or "").encode("utf-8", "replace")
-        if not any(m in raw for m in self.literal):
-            return raw.lower().split()
-        out: list[bytes] = []
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words."""
+        found = list(map(self.cache.get, words))
+        if missing := [k for k, ids in enumerate(found) if ids is None]:
+            self._fill({words[k] for k in missing})
+            for k in missing:
+                found[k] = self.cache[words[k]]
+        return found
+
+    def _marked(self, raw: bytes) -> bytes:
+        """Ids of a text that holds added tokens, which are keys after a blank."""
+        words: list[bytes] = []
         for k, part in enumerate(self.cut.split(raw)):
-            out += [b" " + part] if k % 2 else part.lower().split()
-        return out
-
-    def encode(self, texts: list[str | None], step: int = 64) -> list[bytes]:
+            words += [b" " + part] if k % 2 else part.lower().split()
+        return b"".join(self._look_up(words))
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts without added tokens."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).cast(pa.large_string())))
+        numbered = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        if not len(numbered):
+            return [b""] * len(texts)
+        found = self._look_up(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        word = numbered.indices.to_numpy()
+        own = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        place = np.repeat((starts[word] - ends[:-1]).astype(np.int32), own)
+        place += np.arange(ends[-1], dtype=np.int32)
+        raw = ids[place].tobytes()
+        at = (4 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes, without an end id; null is empty."""
-        out = []
-        for at in range(0, len(texts), step):
-            if self.whole:
-                plain = [(t or "").encode("utf-8", "replace").decode() for t in texts[at : at + step]]
-                found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-                out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        raws = [(t or "").encode("utf-8", "replace") for t in texts]
+        out: list[bytes] = [b""] * len(raws)
+        if self.whole:
+            for at in range(0, len(raws), 64):
+                part = [r.decode() for r in raws[at : at + 64]]
+                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                out[at : at + 64] = [np.array(e.ids, "<u4").tobytes() for e in found]
+            return out
+        places: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            for k, ids in zip(places, self._plain([raws[k] for k in places])):
+                out[k] = ids
+            places.clear()
+
+        for k, raw in enumerate(raws):
+            if any(m in raw for m in self.literal):
+                out[k] = self._marked(raw)
                 continue
-            split = [self._words(t) for t in texts[at : at + step]]
-            wanted = {w for s in split for w in s}
-            missing = {w for w in wanted if w not in self.cache}
-            if missing:
-                self._fill(missing)
-                # After a restart of the cache, earlier words are missing again.
-                if again := {w for w in wanted if w not in self.cache}:
-                    self._fill(again)
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
+            if places and size + len(raw) > STRETCH:
+                flush()
+                size = 0
+            places.append(k)
+            size += len(raw)
+        flush()
         return out
 
 
