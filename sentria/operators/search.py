@@ -147,14 +147,12 @@ class Tables:
     substances: DataFrame | None = None
 
 
-def search_reports(tables: Tables, query: Query) -> DataFrame:
-    """Ids of the reports that pass, with a matching drug row and a matching reaction row.
+def conditions(tables: Tables, query: Query) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ids that pass the conditions on reports, on drug rows and on reaction rows; the latter two may repeat.
 
     The seriousness condition of drug and reaction rows is that of their report,
     and every id comes from ``reports``, so it is tested once there instead of
-    on three tables. Drug and reaction ids are made distinct first: a report
-    with very many rows shrinks on the map side, and the semi-joins reuse the
-    partitioning of that step.
+    on three tables.
     """
     period = None
     if query.lo is not None and query.hi is not None:
@@ -173,9 +171,18 @@ def search_reports(tables: Tables, query: Query) -> DataFrame:
     if query.substance:
         drugs = substance_is(drugs, tables.substances, query.substance)
     reactions = where(tables.reactions, has_term(), reaction_is(query.reactions), soc_in(query.socs))
-    return ids.join(drugs.select(REPORT).distinct(), REPORT, "left_semi").join(
-        reactions.select(REPORT).distinct(), REPORT, "left_semi"
-    )
+    return ids, drugs.select(REPORT), reactions.select(REPORT)
+
+
+def search_reports(tables: Tables, query: Query) -> DataFrame:
+    """Ids of the reports that pass, with a matching drug row and a matching reaction row.
+
+    Drug and reaction ids are made distinct first: a report with very many rows
+    shrinks on the map side, and the semi-joins reuse the partitioning of that
+    step. For several panels of one search use ``report_sets.search_set``.
+    """
+    ids, drugs, reactions = conditions(tables, query)
+    return ids.join(drugs.distinct(), REPORT, "left_semi").join(reactions.distinct(), REPORT, "left_semi")
 
 
 def is_empty(t: DataFrame) -> bool:

@@ -383,6 +383,18 @@ def oracles() -> dict[str, str]:
     add("f12_is_empty", "SELECT count(*) AS n_all, count(*) FILTER (WHERE AGE_Y BETWEEN 150 AND 160) = 0 AS found_nothing FROM reports", "reports")
     add("f13_restrict", f"WITH {_SEARCH} SELECT REPORT_DRUG_ID FROM report_drug WHERE REPORT_ID IN (SELECT REPORT_ID FROM ids)", "reports", "report_drug", "reactions")
     add("f13_restrict_nothing_found", "SELECT PT_NAME_ENG, count(*) AS n FROM reactions GROUP BY 1", "reactions")
+    out["f11_search_set"] = out["f11_search_reports"]
+    part = lambda label, value, source: (
+        f"SELECT {value} AS value, count(*) AS n, '{label}' AS label FROM {source} WHERE REPORT_ID IN (SELECT REPORT_ID FROM ids) GROUP BY 1")
+    add("f13_panels",
+        f"WITH {_SEARCH} " + " UNION ALL ".join([
+            part("sex", "CASE GENDER_ENG WHEN '' THEN 'Not specified' ELSE GENDER_ENG END", "reports"),
+            part("outcome", "OUTCOME_ENG", "reports"),
+            part("reporter", "CASE REPORTER_TYPE_ENG WHEN '' THEN 'Not reported' ELSE REPORTER_TYPE_ENG END", "reports"),
+            "SELECT 'all', count(*), 'total' FROM ids",
+            part("drug", "DRUGNAME", "report_drug"), part("involvement", "DRUGINVOLV_ENG", "report_drug"),
+            part("reaction", "PT_NAME_ENG", "reactions"), part("class", "SOC_NAME_ENG", "reactions")]),
+        "reports", "report_drug", "reactions")
     add("f14_search_nested",
         f"WITH {_FOUND_DOCS} SELECT count(*) AS n_reports FROM found WHERE REPORT_ID IN (SELECT REPORT_ID FROM doc_drugs WHERE generic_name {_IN_DRUGS}) "
         "AND REPORT_ID IN (SELECT REPORT_ID FROM doc_reactions WHERE reactionmeddrapt IN ('Supplier#000000004', 'Supplier#000000027'))",

@@ -22,6 +22,7 @@ from sentria.operators import (
     joins,
     nested,
     ranking,
+    report_sets,
     search,
     series,
     shrinkage,
@@ -408,6 +409,30 @@ def _f13b(spark, sf):
     return search.restrict(t.reactions, ids).groupBy("PT_NAME_ENG").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("f11_search_set")
+def _f11c(spark, sf):
+    return report_sets.search_set(_tables(spark, sf), SEARCH).members()
+
+
+@_query("f13_panels")
+def _f13c(spark, sf):
+    # One search, stored as a set, and the panels of a dashboard that read it.
+    t = _tables(spark, sf)
+    found = report_sets.search_set(t, WIDE_SEARCH).stored()
+    reports, drugs, reactions = (found.of_rows(x) for x in (t.reports, t.drugs, t.reactions))
+    panels = {
+        "sex": summaries.by_sex(reports).withColumnRenamed("GENDER_ENG", "value"),
+        "outcome": summaries.by_outcome(reports).withColumnRenamed("OUTCOME_ENG", "value"),
+        "reporter": summaries.by_reporter(reports).withColumnRenamed("REPORTER_TYPE_ENG", "value"),
+        "total": found.count().select(F.lit("all").alias("value"), F.col("n_reports").alias("n")),
+        "drug": drugs.groupBy(F.col("DRUGNAME").alias("value")).agg(F.count(F.lit(1)).alias("n")),
+        "involvement": drugs.groupBy(F.col("DRUGINVOLV_ENG").alias("value")).agg(F.count(F.lit(1)).alias("n")),
+        "reaction": reactions.groupBy(F.col("PT_NAME_ENG").alias("value")).agg(F.count(F.lit(1)).alias("n")),
+        "class": reactions.groupBy(F.col("SOC_NAME_ENG").alias("value")).agg(F.count(F.lit(1)).alias("n")),
+    }
+    return joins.stack_labelled(panels)
+
+
 @_query("f15_missing")
 def _f15(spark, sf):
     return counts.missing_count(_docs(spark, sf), "patient.patientonsetage")
