@@ -67,16 +67,18 @@ def cut(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE
     path = vocabulary or default_vocabulary()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode
+        stretches = encoder(path).stretches
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"], encode(batch["text"].tolist())):
-                ids += END_BYTES
-                for at in range(0, len(ids), 4 * sequence):
-                    piece = ids[at : at + 4 * sequence]
-                    rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-            frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield frame.astype({"doc_id": "Int64"})
+            doc_ids = batch["doc_id"].tolist()
+            for first, part in stretches(batch["text"].tolist()):
+                rows = []
+                for doc_id, ids in zip(doc_ids[first : first + len(part)], part):
+                    ids += END_BYTES
+                    for at in range(0, len(ids), 4 * sequence):
+                        piece = ids[at : at + 4 * sequence]
+                        rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+                frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield frame.astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pieces, PIECES)
 

@@ -132,14 +132,16 @@ def token_rows(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         own = encoder(path)
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids = [i + END_BYTES for i in own.encode(batch["text"].tolist())]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "n_tokens": [len(i) // 4 for i in ids],
-                    "packed": [press.compress(_narrow(i)) for i in ids],
-                }
-            )
+            doc_ids = batch["doc_id"].astype("Int64")
+            for first, part in own.stretches(batch["text"].tolist()):
+                ids = [i + END_BYTES for i in part]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": doc_ids.iloc[first : first + len(ids)].array,
+                        "n_tokens": [len(i) // 4 for i in ids],
+                        "packed": [press.compress(_narrow(i)) for i in ids],
+                    }
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         encode, "doc_id long, n_tokens long, packed binary"

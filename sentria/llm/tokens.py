@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ END_ID = 2
 #: Cached words per worker; the cache starts anew beyond it. It bounds memory, not results.
 CACHE_WORDS = 800_000
 #: Bytes of text whose words are numbered together; a longer document is taken alone. It bounds memory, not results.
-STRETCH = 8 << 20
+STRETCH = 1 << 20
 #: New words that go to the tokenizer as one text.
 TOGETHER = 2_000
 #: A word of Latin letters of one or two bytes, and the ASCII punctuation behind it; the splitter cuts between the two.
@@ -155,35 +156,37 @@ class WordEncoder:
         at = (4 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes, without an end id; null is empty."""
-        raws = [(t or "").encode("utf-8", "replace") for t in texts]
-        out: list[bytes] = [b""] * len(raws)
+    def _whole(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of texts by the library alone."""
+        found = self.tokenizer.encode_batch_fast([r.decode() for r in raws], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _stretch(self, raws: list[bytes]) -> list[bytes]:
         if self.whole:
-            for at in range(0, len(raws), 64):
-                part = [r.decode() for r in raws[at : at + 64]]
-                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                out[at : at + 64] = [np.array(e.ids, "<u4").tobytes() for e in found]
-            return out
-        places: list[int] = []
-        size = 0
-
-        def flush() -> None:
-            for k, ids in zip(places, self._plain([raws[k] for k in places])):
-                out[k] = ids
-            places.clear()
-
-        for k, raw in enumerate(raws):
-            if any(m in raw for m in self.literal):
-                out[k] = self._marked(raw)
-                continue
-            if places and size + len(raw) > STRETCH:
-                flush()
-                size = 0
-            places.append(k)
+            return self._whole(raws)
+        marked = [any(m in r for m in self.literal) for r in raws]
+        plain = iter(self._plain([r for r, m in zip(raws, marked) if not m]))
+        return [self._marked(r) if m else next(plain) for r, m in zip(raws, marked)]
+
+    def stretches(self, texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+        """(place of the first text, ids) of one stretch of texts after the other."""
+        raws: list[bytes] = []
+        size = first = 0
+        for k, t in enumerate(texts):
+            raw = (t or "").encode("utf-8", "replace")
+            if raws and size + len(raw) > STRETCH:
+                yield first, self._stretch(raws)
+                raws, size, first = [], 0, k
+            raws.append(raw)
             size += len(raw)
-        flush()
-        return out
+        if raws:
+            yield first, self._stretch(raws)
+        # Arrow keeps what it has freed; two workers share an executor's memory.
+        pa.default_memory_pool().release_unused()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes, without an end id; null is empty."""
+        return [ids for _, part in self.stretches(texts) for ids in part]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
