@@ -184,9 +184,11 @@ class WordEncoder:
         # Arrow keeps what it has freed; two workers share an executor's memory.
         pa.default_memory_pool().release_unused()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes, without an end id; null is empty."""
-        return [ids for _, part in self.stretches(texts) for ids in part]
+    def encode(self, texts: list[str | None], step: int | None = None) -> list[bytes]:
+        """Ids of each text as bytes, without an end id; null is empty. At most ``step`` texts are taken together."""
+        step = step or max(1, len(texts))
+        groups = (texts[at : at + step] for at in range(0, len(texts), step))
+        return [ids for group in groups for _, part in self.stretches(group) for ids in part]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
