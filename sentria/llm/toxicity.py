@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -138,14 +138,14 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(of(1).alias("toxic"), of(0).alias("clean"))
 
 
-def _odds(toxic, clean, all_toxic: int, all_clean: int) -> tuple:
-    """Log-odds of words from document counts, moved towards 0 by their uncertainty, and their share of clean text."""
-    prior = PRIOR * (toxic + clean)
+def _odds(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
+    """Score and share of clean text of a word: log-odds from document counts, moved towards 0 by their uncertainty."""
+    prior = F.lit(PRIOR) * (toxic + clean)
     extra = PRIOR * (all_toxic + all_clean)
     a, b = toxic + prior, clean + prior
-    odds = np.log(a / (all_toxic + extra - a)) - np.log(b / (all_clean + extra - b))
-    spread = np.sqrt(1 / a + 1 / b)
-    return np.sign(odds) * np.maximum(np.abs(odds) - CAUTION * spread, 0), b / (all_clean + extra)
+    odds = F.log(a / (F.lit(all_toxic + extra) - a)) - F.log(b / (F.lit(all_clean + extra) - b))
+    shrunk = F.signum(odds) * F.greatest(F.abs(odds) - CAUTION * F.sqrt(1 / a + 1 / b), F.lit(0.0))
+    return F.struct(F.when(toxic + clean > 0, shrunk).otherwise(0.0).alias("odds"), (b / (all_clean + extra)).alias("share"))
 
 
 def _rate(lexicon: dict[str, float], share: dict[str, float]) -> float:
@@ -193,28 +193,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     totals = sums.agg(
         *[F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in ("toxic", "clean") for k in range(FOLDS)]
     ).first()
-    kept = sums.where(enough).sort("word").toPandas()
-    sums.unpersist()
-    all_toxic, all_clean = (np.array([totals[f"{c}{k}"] or 0 for k in range(FOLDS)]) for c in ("toxic", "clean"))
-    if not all_toxic.sum() or not all_clean.sum() or not len(kept):  # also without any words
+    all_toxic, all_clean = ([totals[f"{c}{k}"] or 0 for k in range(FOLDS)] for c in ("toxic", "clean"))
+    if not sum(all_toxic) or not sum(all_clean):  # also without any words
+        sums.unpersist()
         return model
-    words = kept["word"].tolist()
-    toxic, clean = (np.array(kept[c].tolist(), float) for c in ("toxic", "clean"))
-
-    def lexicon(own: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
-        """What the parts ``own`` teach: scores of words, and their shares of clean text."""
-        t, c = toxic[:, own].sum(1), clean[:, own].sum(1)
-        odds, share = np.zeros(len(words)), np.zeros(len(words))
-        seen = t + c > 0
-        if all_toxic[own].sum() and all_clean[own].sum():
-            odds[seen], share[seen] = _odds(t[seen], c[seen], all_toxic[own].sum(), all_clean[own].sum())
-        some = np.flatnonzero(np.abs(odds) >= MIN_SCORE).tolist()
-        return {words[k]: float(odds[k]) for k in some}, {words[k]: float(share[k]) for k in some}
-
-    folds = np.arange(FOLDS)
-    model.lexicon, shares = lexicon(folds >= 0)
-    model.rate = _rate(model.lexicon, shares)
-    others = docs.sparkSession.sparkContext.broadcast([lexicon(folds != k)[0] for k in range(FOLDS)])
+
+    def taught(left_out: int | None) -> Column:
+        """What the parts teach, without one of them."""
+        own = [k for k in range(FOLDS) if k != left_out]
+        t, c = sum(all_toxic[k] for k in own), sum(all_clean[k] for k in own)
+        if not t or not c:
+            return F.struct(F.lit(0.0).alias("odds"), F.lit(0.0).alias("share"))
+        count = lambda name: sum((F.get(name, F.lit(k)) for k in own), F.lit(0)).cast("double")
+        return _odds(count("toxic"), count("clean"), t, c)
+
+    scores = F.array(*[taught(k) for k in (None, *range(FOLDS))])
+    some = sums.where(enough).select("word", scores.alias("s")).where(F.exists("s", lambda s: F.abs(s["odds"]) >= MIN_SCORE))
+    # The words that tell the classes apart, of at most ``limit`` documents.
+    kept = some.sort("word").collect()
+    sums.unpersist()
+    lexica = [{r.word: r.s[k].odds for r in kept if abs(r.s[k].odds) >= MIN_SCORE} for k in range(FOLDS + 1)]
+    model.lexicon = lexica[0]
+    model.rate = _rate(model.lexicon, {r.word: r.s[0].share for r in kept})
+    others = docs.sparkSession.sparkContext.broadcast(lexica[1:])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
