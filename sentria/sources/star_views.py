@@ -123,10 +123,10 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "doc_reactions": """
 SELECT l_orderkey AS REPORT_ID, s_name AS reactionmeddrapt, CAST(1 + (l_linenumber + l_orderkey) % 7 AS INT) AS reactionoutcome
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
-    # Monthly counts of one customer's orders: most months have none.
+    # Monthly counts of all orders.
     "events_months": """
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS time_p, count(*) AS n
-FROM {orders} WHERE o_custkey = (SELECT min(o_custkey) FROM {orders}) GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)""",
+FROM {orders} GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)""",
 }
 
 

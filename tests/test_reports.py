@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sentria.operators import joins, nested, search, summaries, vocab
 from sentria.operators.counts import analysis_cohort
+from sentria.plans.registry import registry
 from sentria.session import new_shared_path
 from sentria.sources import extract, snapshots
 from sentria.sources.nested import NESTED_SCHEMA, read_nested_reports
@@ -110,6 +111,14 @@ def test_merge_series(spark):
     assert joins.merge_series({"a": a.limit(0), "b": b.limit(0)}).count() == 0
 
 
+def test_filled_calendar_counts_all_orders(spark, tmp_path):
+    days = [dt.datetime(2000, 1, 5), dt.datetime(2000, 1, 9), dt.datetime(2000, 4, 2)]
+    t = spark.createDataFrame([(i, 7 + i, d) for i, d in enumerate(days)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    t.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {str(r.time_p): r.n for r in registry()["j8_fill_calendar"](spark, str(tmp_path)).collect()}
+    assert got == {"2000-01-01": 2, "2000-02-01": 0, "2000-03-01": 0, "2000-04-01": 1}
+
+
 def test_fill_calendar_fills_gaps(spark):
     t = spark.sql("SELECT * FROM VALUES (DATE '2001-11-01', 2L), (DATE '2002-02-01', 1L) AS t(time_p, n)")
     got = {str(r.time_p): r.n for r in summaries.fill_calendar(t, "time_p", "month").collect()}
