@@ -31,29 +31,40 @@ OUTCOME_CODES = {
 
 
 def report_cells(
-    left: DataFrame, right: DataFrame, key: str, one: str, two: str, carry: Sequence[str] = (), limit: int = 1_000_000
+    left: DataFrame, right: DataFrame, key: str, one: str, two: str, carry: Sequence[str] = (), limit: int = 1_000_000,
+    outer: bool = False,
 ) -> DataFrame:
     """All combinations of the distinct ``one`` and ``two`` values of each key: ``carry``, ``one``, ``two``.
 
-    Each side becomes one row per key with the set of its values, duplicates going
-    before the exchange; so the join never multiplies rows. A key's combinations are
+    Both sides become one row per key with the two sets of its values, by one
+    aggregate over their union, duplicates going before the exchange; so nothing is
+    sorted to be joined and no join multiplies rows. A key's combinations are
     then cut into a grid of cells of at most ``limit`` pairs, and cells, not keys, are
-    dealt to the tasks that form the pairs. ``carry``, columns of the left rows, are
-    kept apart in sets of their own. Null values and keys fall out.
+    dealt to the tasks that form the pairs. ``carry``, columns of the left rows, go
+    with their ``one`` values. Null values and keys fall out; ``outer`` keeps a key
+    without ``two`` values, with a null.
     """
-    lefts = left.select(key, *carry, one).na.drop().groupBy(key, *carry).agg(F.collect_set(one).alias("_one"))
-    rights = right.select(key, two).na.drop().groupBy(key).agg(F.collect_set(two).alias("_two"))
+    lefts = left.select(key, *carry, one).na.drop().select(key, F.struct(*carry, one).alias("_one"))
+    rights = right.select(key, two).na.drop().withColumnRenamed(two, "_two")
+    sets = (
+        lefts.unionByName(rights, allowMissingColumns=True)
+        .groupBy(key)
+        .agg(F.collect_set("_one").alias("_one"), F.collect_set("_two").alias("_two"))
+    )
+    if outer:
+        nothing = F.array(F.lit(None).cast(sets.schema["_two"].dataType.elementType))
+        sets = sets.withColumn("_two", F.when(F.size("_two") > 0, F.col("_two")).otherwise(nothing))
     side = math.isqrt(limit)
     parts = lambda c: F.sequence(F.lit(0), F.ceil(F.size(c) / side).cast("int") - 1)
     piece = lambda c, k: F.slice(c, F.col(k) * side + 1, side)
     cells = (
-        lefts.join(rights, key)
+        sets.filter((F.size("_one") > 0) & (F.size("_two") > 0))
         .withColumn("_row", F.explode(parts("_one")))
         .withColumn("_column", F.explode(parts("_two")))
-        .select(key, *carry, "_row", "_column", piece("_one", "_row").alias("_one"), piece("_two", "_column").alias("_two"))
+        .select(key, "_row", "_column", piece("_one", "_row").alias("_one"), piece("_two", "_column").alias("_two"))
     )
-    dealt = spread(cells, key, *carry, "_row", "_column")
-    return dealt.select(*carry, F.explode("_one").alias(one), "_two").select(*carry, one, F.explode("_two").alias(two))
+    dealt = spread(cells, key, "_row", "_column")
+    return dealt.select(F.explode("_one").alias("_one"), "_two").select("_one.*", F.explode("_two").alias(two))
 
 
 def add_hierarchy(fact: DataFrame, hierarchy: DataFrame) -> DataFrame:
