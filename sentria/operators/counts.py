@@ -78,6 +78,18 @@ def pair_counts_from_tables(
     return met.groupBy(*keys, drug, event).agg(F.count(F.lit(1)).cast("long").alias("count"))
 
 
+def fact_pair_counts(drug_rows: DataFrame, reaction_rows: DataFrame, drug: str, event: str, report: str = "REPORT_ID") -> DataFrame:
+    """Distinct reports per (drug, event) of the left-joined fact, without forming it.
+
+    As in the fact, null drugs and events are values, and a report without any
+    reaction counts under a null event. Rows without a report fall out.
+    """
+    left = drug_rows.select(report, F.struct(drug).alias("_drug"))
+    right = reaction_rows.select(report, F.struct(event).alias("_event"))
+    met = report_cells(left, right, report, "_drug", "_event", limit=CELL_PAIRS, outer=True).select("_drug.*", "_event.*")
+    return met.groupBy(drug, event).agg(F.count(F.lit(1)).alias("count"))
+
+
 def pair_rows_from_tables(
     drug_rows: DataFrame,
     reaction_rows: DataFrame,
