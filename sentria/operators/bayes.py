@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentria.functions.kernels import dirichlet_udf
 from sentria.functions.special import Z_95, digamma, norm_cdf, num, raised_inverse, solid, trigamma
 from sentria.operators.contingency import min_count
-from sentria.session import spread_cells
+from sentria.session import spread
 
 
 def bcpnn(ct: DataFrame, rr0: float = 1.0, min_n11: int = 1, log_base: float = 2.0) -> DataFrame:
@@ -53,23 +53,24 @@ def bcpnn_mc(
     seed: int = 0,
     rr0: float = 1.0,
     min_n11: int = 1,
-    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Sampled information component (natural logarithm) of a Dirichlet posterior.
 
     Adds ``median_IC, LB95_IC, UB95_IC, postH0``. Every cell draws from its own
     generator, seeded by a hash of its counts, so the same seed gives the same
-    rows under any partitioning and after any task retry, and pairs with equal
-    counts have equal results. ``by`` only helps to deal the rows out.
+    rows under any partitioning and after any task retry. Pairs with equal counts
+    have equal results: each distinct cell is drawn once and joined to its pairs.
     """
-    t = spread_cells(min_count(ct, min_n11), *by, "drug_code", "event_effect")
-    n11, n1_, n_1, n = (F.col(c).cast("double") for c in ("n11", "n1_", "n_1", "N"))
-    key = F.xxhash64(F.lit(seed), *[F.col(c).cast("long") for c in ("n11", "n1_", "n_1", "N")])
-    sampled = t.withColumn(
+    t = min_count(ct, min_n11)
+    names = ["n11", "n1_", "n_1", "N"]
+    cells = spread(t.select(*names).distinct(), *names)
+    n11, n1_, n_1, n = (F.col(c).cast("double") for c in names)
+    key = F.xxhash64(F.lit(seed), *[F.col(c).cast("long") for c in names])
+    sampled = cells.withColumn(
         "_ic",
         dirichlet_udf(draws, math.log(rr0))(n11, n1_ - n11, n_1 - n11, n - n1_ - n_1 + n11, n, key),
     )
-    return sampled.withColumns(
+    return t.join(sampled, names).select(*t.columns, "_ic").withColumns(
         {
             "median_IC": F.col("_ic.median"),
             "LB95_IC": F.col("_ic.lower"),

@@ -44,7 +44,7 @@ def all_statistics(
     if exact:
         t = rfet(t)
     if draws:
-        t = bcpnn_mc(t, draws=draws, seed=seed, by=by)
+        t = bcpnn_mc(t, draws=draws, seed=seed)
     else:
         t = bcpnn(t, log_base=math.e).withColumnRenamed("IC", "median_IC").drop("var_IC")
     if prior is not None:
