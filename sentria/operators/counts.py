@@ -65,20 +65,23 @@ def pair_counts_from_tables(
     report: str = "REPORT_ID",
     by: str | None = None,
     cell_pairs: int = CELL_PAIRS,
+    tasks: int = 1,
 ) -> DataFrame:
     """Pair counts straight from report x drug and report x reaction rows.
 
     The joined fact is never formed and needs no distinct: a report contributes
     its distinct drugs x its distinct events, cut into cells of ``cell_pairs``
-    pairs that go to different tasks (``joins.report_cells``). ``by``, a column of
+    pairs that go to different tasks, ``tasks`` of them at least (``joins.report_cells``). ``by``, a column of
     the drug rows that goes with the report (its quarter), gives separate counts.
     """
     keys = [by] if by else []
-    met = report_cells(drug_rows, reaction_rows, report, drug, event, keys, cell_pairs)
+    met = report_cells(drug_rows, reaction_rows, report, drug, event, keys, cell_pairs, tasks=tasks)
     return met.groupBy(*keys, drug, event).agg(F.count(F.lit(1)).cast("long").alias("count"))
 
 
-def fact_pair_counts(drug_rows: DataFrame, reaction_rows: DataFrame, drug: str, event: str, report: str = "REPORT_ID") -> DataFrame:
+def fact_pair_counts(
+    drug_rows: DataFrame, reaction_rows: DataFrame, drug: str, event: str, report: str = "REPORT_ID", tasks: int = 1
+) -> DataFrame:
     """Distinct reports per (drug, event) of the left-joined fact, without forming it.
 
     As in the fact, null drugs and events are values, and a report without any
@@ -86,7 +89,8 @@ def fact_pair_counts(drug_rows: DataFrame, reaction_rows: DataFrame, drug: str,
     """
     left = drug_rows.select(report, F.struct(drug).alias("_drug"))
     right = reaction_rows.select(report, F.struct(event).alias("_event"))
-    met = report_cells(left, right, report, "_drug", "_event", limit=CELL_PAIRS, outer=True).select("_drug.*", "_event.*")
+    cells = report_cells(left, right, report, "_drug", "_event", limit=CELL_PAIRS, outer=True, tasks=tasks)
+    met = cells.select("_drug.*", "_event.*")
     return met.groupBy(drug, event).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -98,6 +102,7 @@ def pair_rows_from_tables(
     report: str = "REPORT_ID",
     by: str = "quarter",
     cell_pairs: int = CELL_PAIRS,
+    tasks: int = 1,
 ) -> DataFrame:
     """Per (drug, event, ``by``) the distinct reports ``count`` and the rows ``n`` of the joined fact, without forming it.
 
@@ -109,7 +114,7 @@ def pair_rows_from_tables(
     events = reaction_rows.select(report, event).na.drop().groupBy(report, event).agg(F.count(F.lit(1)).alias("n"))
     left = drugs.select(report, by, F.struct(drug, F.col("n").alias("_n")).alias("_drug"))
     right = events.select(report, F.struct(event, F.col("n").alias("_m")).alias("_event"))
-    met = report_cells(left, right, report, "_drug", "_event", [by], cell_pairs).select(by, "_drug.*", "_event.*")
+    met = report_cells(left, right, report, "_drug", "_event", [by], cell_pairs, tasks=tasks).select(by, "_drug.*", "_event.*")
     return met.groupBy(drug, event, by).agg(
         F.count(F.lit(1)).cast("long").alias("count"), F.sum(F.col("_n") * F.col("_m")).alias("n")
     )

@@ -32,7 +32,7 @@ OUTCOME_CODES = {
 
 def report_cells(
     left: DataFrame, right: DataFrame, key: str, one: str, two: str, carry: Sequence[str] = (), limit: int = 1_000_000,
-    outer: bool = False,
+    outer: bool = False, tasks: int = 1,
 ) -> DataFrame:
     """All combinations of the distinct ``one`` and ``two`` values of each key: ``carry``, ``one``, ``two``.
 
@@ -40,7 +40,8 @@ def report_cells(
     aggregate over their union, duplicates going before the exchange; so nothing is
     sorted to be joined and no join multiplies rows. A key's combinations are
     then cut into a grid of cells of at most ``limit`` pairs, and cells, not keys, are
-    dealt to the tasks that form the pairs. ``carry``, columns of the left rows, go
+    dealt to the tasks that form the pairs, at least ``tasks``: let it follow the rows
+    (``session.tasks_for``), since what a task counts of its pairs does. ``carry``, columns of the left rows, go
     with their ``one`` values. Null values and keys fall out; ``outer`` keeps a key
     without ``two`` values, with a null.
     """
@@ -63,7 +64,7 @@ def report_cells(
         .withColumn("_column", F.explode(parts("_two")))
         .select(key, "_row", "_column", piece("_one", "_row").alias("_one"), piece("_two", "_column").alias("_two"))
     )
-    dealt = spread(cells, key, "_row", "_column")
+    dealt = spread(cells, key, "_row", "_column", least=tasks)
     return dealt.select(F.explode("_one").alias("_one"), "_two").select("_one.*", F.explode("_two").alias(two))
 
 

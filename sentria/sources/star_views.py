@@ -161,15 +161,21 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **used)
 
 
-def rows_by_report(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+def report_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Number of tasks that the rows by report are dealt to: it follows the rows."""
+    return tasks_for(*[table(spark, sf_dir, t) for t in _REPORT_KEYS])
+
+
+def rows_by_report(spark: SparkSession, sf_dir: str, *names: str, tasks: int | None = None) -> list[DataFrame]:
     """Views over order lines, these and their orders dealt by report before anything is joined.
 
     Only keys and the columns in use are moved, once; names are looked up behind the
     exchange, and sets per report need no other. The number of tasks follows the rows,
-    so that what a task sorts, hashes and collects does not grow with the tables.
+    so that what a task sorts, hashes and collects does not grow with the tables; give
+    ``tasks`` if ``report_tasks`` was asked before.
     """
     tables = {t: table(spark, sf_dir, t) for t in _TABLES}
-    tasks = tasks_for(*[tables[t] for t in _REPORT_KEYS])
+    tasks = tasks or report_tasks(spark, sf_dir)
     dealt = {t: tables[t].repartition(tasks, key) for t, key in _REPORT_KEYS.items()}
     # A task's share of the orders is at most about TASK_ROWS narrow rows: no sorts for this join.
     dealt["orders"] = dealt["orders"].hint("shuffle_hash")

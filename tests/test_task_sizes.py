@@ -68,3 +68,17 @@ def test_names_of_nested_rows_are_not_moved(spark, sf_dir):
     for t in star_views.rows_by_report(spark, sf_dir, "doc_drugs", "doc_reactions"):
         text = plan(t.groupBy("REPORT_ID").agg(F.collect_list(t.columns[1])))
         assert text.count("Exchange hashpartitioning(l_orderkey") == 1 and "hashpartitioning(REPORT_ID" not in text
+
+
+def test_pairs_are_formed_in_tasks_that_follow_the_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    tasks = -(-star_views.table(spark, sf_dir, "lineitem").count() // 100)
+    formed = [plans._pt_counts(spark, sf_dir), plans._cohort_counts(spark, sf_dir, "HLT", by="quarter"), plans._cohort_rows(spark, sf_dir)]
+    for t in formed:
+        dealt = [line for line in plan(t).splitlines() if "_row#" in line and "hashpartitioning" in line]
+        assert len(dealt) == 1 and f", {tasks}), REPARTITION_BY_NUM" in dealt[0]
+
+
+def test_number_of_tasks_does_not_change_the_pairs(spark):
+    met = [sorted(tuple(r) for r in joins.report_cells(*sides(spark), "REPORT_ID", "drug", "event", tasks=n).collect()) for n in (1, 500)]
+    assert met[0] == met[1] == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
