@@ -24,7 +24,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ ORDERS = (2, 3, 4, 6)
 SLOTS = (20, 20, 20, 21, 22)
 INPUTS = len(SLOTS) + 1
 CHUNK = 1 << 16
+#: Chunks that pass the driver at a time: 8 MB before compression.
+PIECE = 16
+PIECES = -(-sum((1 << b) // CHUNK for b in SLOTS) // PIECE)
 #: A weight moves so far at most in one step.
 MOST = 0.02
 GATES = 64
@@ -45,6 +50,8 @@ STEP_BYTES = 20_000
 FLUSH_WORDS = 400_000
 #: Words whose scores every worker holds; the rest are joined by shuffle.
 HEAD_WORDS = 1 << 18
+#: Words of documents scored at a time, about.
+GROUP_WORDS = 1 << 17
 #: Chance of a hit before any is seen, by the logarithm of the run of hits so far.
 FIRST = (0.01, 0.3, 0.7, 0.9, 0.97)
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -58,9 +65,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Counts of each predictor (zeros, ones), gate weights and the adaptive map (ones, all)."""
+    """Counts of each predictor (a row of zeros and ones per slot), gate weights and the adaptive map (ones, all)."""
 
-    counts: list[np.ndarray] = field(default_factory=lambda: [np.zeros((2, 1 << b), np.float32) for b in SLOTS])
+    counts: list[np.ndarray] = field(default_factory=lambda: [np.zeros((1 << b, 2), np.float32) for b in SLOTS])
     weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 0.2))
     refined: np.ndarray = field(default_factory=lambda: np.zeros((2, GATES, BINS)))
 
@@ -119,15 +126,18 @@ def predict(model: Model, bit: np.ndarray, slots: list[np.ndarray], own: np.ndar
     inputs = np.empty((INPUTS, len(bit)))
     seen = []
     for k, (table, at) in enumerate(zip(model.counts, slots)):
-        ones = np.maximum(table[1, at] - own * bit, 0)
-        zeros = np.maximum(table[0, at] - own * (1 - bit), 0)
+        pair = np.take(table, at, axis=0)
+        ones = np.maximum(pair[:, 1] - own * bit, 0)
+        zeros = np.maximum(pair[:, 0] - own * (1 - bit), 0)
         inputs[k] = np.log((ones + 0.02) / (zeros + 0.02))
         seen.append(ones + zeros)
     inputs[-1] = 0.3
-    level = lambda n: np.minimum(np.log2(n + 1), 15.9)
-    gate = (level(seen[-1]) / 2).astype(np.int64) * 8 + (level(seen[3]) / 2).astype(np.int64)
-    mixed = np.clip((model.weights[gate].T * inputs).sum(axis=0), -20, 20)
-    return inputs, gate, 1 / (1 + np.exp(-mixed))
+    level = lambda n: np.minimum(np.frexp(n + 1)[1] - 1, 15) >> 1  # half the whole logarithm
+    gate = level(seen[-1]).astype(np.int64) * 8 + level(seen[3])
+    mixed = np.zeros(len(bit))
+    for weight, x in zip(np.ascontiguousarray(model.weights.T), inputs):
+        mixed += weight[gate] * x
+    return inputs, gate, 1 / (1 + np.exp(-np.clip(mixed, -20, 20)))
 
 
 def _bin(p: np.ndarray) -> np.ndarray:
@@ -186,6 +196,15 @@ def _batches(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
+def first_places(texts: list[list[bytes]]) -> np.ndarray:
+    """For texts laid end to end: the place where each word occurs first in its own text."""
+    places: list[int] = []
+    for words in texts:
+        first: dict[bytes, int] = {}
+        places += [first.setdefault(w, k) for k, w in enumerate(words, len(places))]
+    return np.array(places, np.int64)
+
+
 def repeats(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(asked, hit, p) per word of a text: adaptive prediction by what followed the word before, last time.
 
@@ -193,8 +212,14 @@ def repeats(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     expected with probability p. p starts from ``FIRST`` and follows the hits in
     this text, apart for each length of the current run of hits.
     """
-    local: dict[bytes, int] = {}
-    ids = np.fromiter((local.setdefault(w, len(local)) for w in words), np.int64, len(words))
+    return repeats_of(first_places([words]), np.zeros(len(words), np.int64))
+
+
+def repeats_of(ids: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``repeats`` for texts laid end to end, from ``first_places`` and the number of each word's text.
+
+    The end, which occurs once in a text, keeps one text from the next.
+    """
     order = np.argsort(ids, kind="stable")
     before = np.full(len(ids), -1)
     again = ids[order[1:]] == ids[order[:-1]]
@@ -209,9 +234,12 @@ def repeats(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     level = np.minimum(np.log2(run + 1), len(FIRST) - 1).astype(np.int64)
     p = np.zeros(len(ids))
     for k, first in enumerate(FIRST):
-        own = asked & (level == k)
-        n = np.arange(own.sum())
-        p[own] = (np.cumsum(hit[own]) - hit[own] + 8 * first) / (n + 8)
+        own = np.flatnonzero(asked & (level == k))
+        if len(own):
+            hits = np.cumsum(hit[own]) - hit[own]
+            begins = np.flatnonzero(np.diff(text_of[own], prepend=-1))
+            begin = np.repeat(begins, np.diff(begins, append=len(own)))
+            p[own] = (hits - hits[begin] + 8 * first) / (np.arange(len(own)) - begin + 8)
     return asked, hit, p
 
 
@@ -219,12 +247,12 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, c, total): occurrences in training rows and in all rows; the end is the empty word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, every = Counter(), Counter()
+        other, every = Counter(), Counter()
 
         def flush() -> pd.DataFrame:
             out = pd.DataFrame({"word": list(every), "total": list(every.values())})
-            out["c"] = [own[w] for w in out["word"]]
-            own.clear(), every.clear()
+            out["c"] = [n - other.get(w, 0) for w, n in every.items()]
+            other.clear(), every.clear()
             return out[["word", "c", "total"]]
 
         for batch in batches:
@@ -232,8 +260,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
                 found = words_of(text)
                 found.append(b"")
                 every.update(found)
-                if train:
-                    own.update(found)
+                if not train:
+                    other.update(found)
             if len(every) > FLUSH_WORDS:
                 yield flush()
         if every:
@@ -243,26 +271,22 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
-def gather_counts(words: DataFrame) -> list[tuple[int, int, bytes]]:
-    """Counts of all contexts in all training words: compressed chunks of tables of fixed size."""
+def gather_counts(words: DataFrame) -> DataFrame:
+    """(piece, k, chunk, part): counts of all contexts in all training words, in compressed chunks of tables of fixed size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros((2, 1 << b), np.float32) for b in SLOTS]
+        sums = [np.zeros(2 << b) for b in SLOTS]
         for frame in batches:
             for part in _batches(frame):
                 batch = lay_out(part["word"].tolist())
                 weight = part["c"].to_numpy(np.float64)[batch.word_of]
                 for bit, slots in bits(batch):
                     for table, at in zip(sums, slots):
-                        order = np.argsort(at * 2 + bit, kind="stable")
-                        place = (at * 2 + bit)[order]
-                        first = np.flatnonzero(np.diff(place, prepend=-1))
-                        if len(first):
-                            table[place[first] & 1, place[first] >> 1] += np.add.reduceat(weight[order], first)
+                        np.add.at(table, at * 2 + bit, weight)
         press = zstandard.ZstdCompressor(level=1)
         for k, table in enumerate(sums):
-            for n, at in enumerate(range(0, table.shape[1], CHUNK)):
-                part = table[:, at : at + CHUNK]
+            for n, at in enumerate(range(0, len(table), 2 * CHUNK)):
+                part = table[at : at + 2 * CHUNK].astype(np.float32)
                 if part.any():
                     yield pd.DataFrame({"k": [k], "chunk": [n], "part": [press.compress(part.tobytes())]})
 
@@ -271,28 +295,42 @@ def gather_counts(words: DataFrame) -> list[tuple[int, int, bytes]]:
         for part in frame["part"]:
             total += np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.float32)
         part = zstandard.ZstdCompressor(level=1).compress(total.astype(np.float32).tobytes())
-        return pd.DataFrame({"k": [frame["k"].iloc[0]], "chunk": [frame["chunk"].iloc[0]], "part": [part]})
+        k, chunk = frame["k"].iloc[0], frame["chunk"].iloc[0]
+        piece = (sum((1 << b) // CHUNK for b in SLOTS[:k]) + chunk) // PIECE
+        return pd.DataFrame({"piece": [piece], "k": [k], "chunk": [chunk], "part": [part]})
+
+    parts = words.where("c > 0").select("word", "c").mapInPandas(count, "k int, chunk int, part binary")
+    return parts.groupBy("k", "chunk").applyInPandas(add, "piece int, k int, chunk int, part binary")
+
 
-    schema = "k int, chunk int, part binary"
-    parts = words.where("c > 0").select("word", "c").mapInPandas(count, schema)
-    summed = parts.groupBy("k", "chunk").applyInPandas(add, schema)
-    # A fixed number of chunks, whatever the corpus.
-    return [(r["k"], r["chunk"], bytes(r["part"])) for r in summed.toLocalIterator()]
+def send(counts: DataFrame) -> tuple[str, list[Broadcast]]:
+    """A name and the broadcasts of all chunks of ``gather_counts``, as many whatever the corpus.
+
+    The driver holds one piece at a time, as Arrow batches and not as rows.
+    """
+    spark = counts.sparkSession
+    stored = staged(counts, "context-counts")
+    pieces = []
+    for n in range(PIECES):
+        own = stored.where(F.col("piece") == n).select("k", "chunk", "part").toArrow()
+        pieces.append(spark.sparkContext.broadcast(list(zip(*(own.column(c).to_pylist() for c in own.column_names)))))
+    return uuid.uuid4().hex, pieces
 
 
 #: The tables a worker has unpacked last, with the name they were sent under.
 _UNPACKED: dict[str, list[np.ndarray]] = {}
 
 
-def unpacked(sent: tuple[str, list[tuple[int, int, bytes]]]) -> list[np.ndarray]:
+def unpacked(sent: tuple[str, list[Broadcast]]) -> list[np.ndarray]:
     """Tables from their compressed chunks; kept for the worker's next tasks."""
-    name, chunks = sent
+    name, pieces = sent
     if name not in _UNPACKED:
         _UNPACKED.clear()
         tables = Model().counts
-        for k, chunk, part in chunks:
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.float32)
-            tables[k][:, chunk * CHUNK : (chunk + 1) * CHUNK] = raw.reshape(2, -1)
+        for piece in pieces:
+            for k, chunk, part in piece.value:
+                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.float32)
+                tables[k][chunk * CHUNK : (chunk + 1) * CHUNK] = raw.reshape(-1, 2)
         _UNPACKED[name] = tables
     return _UNPACKED[name]
 
@@ -300,11 +338,11 @@ def unpacked(sent: tuple[str, list[tuple[int, int, bytes]]]) -> list[np.ndarray]
 def learn(words: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     """Gate weights and adaptive map from all training words; tasks learn apart and are averaged by mass.
 
-    ``tables`` is the broadcast of named chunks.
+    ``tables`` is what ``send`` gives.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        learner = Learner(Model(counts=unpacked(tables.value)))
+        learner = Learner(Model(counts=unpacked(tables)))
         for frame in batches:
             for part in _batches(frame):
                 learner.learn(lay_out(part["word"].tolist()), part["c"].to_numpy(np.float64))
@@ -328,7 +366,7 @@ def score_words(words: DataFrame, tables, weights: np.ndarray, refined: np.ndarr
     """(word, c, total, score): score is the word's log10 probability."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(unpacked(tables.value), weights, refined)
+        model = Model(unpacked(tables), weights, refined)
         for frame in batches:
             for part in _batches(frame):
                 yield part.assign(score=-word_bits(model, part["word"].tolist()) * math.log10(2))
@@ -336,6 +374,54 @@ def score_words(words: DataFrame, tables, weights: np.ndarray, refined: np.ndarr
     return words.mapInPandas(run, "word binary, c long, total long, score double")
 
 
+def head_of(scored: DataFrame) -> pa.Table:
+    """word, c, score of the ``HEAD_WORDS`` words with the greatest ``total``; ties are cut by the word.
+
+    Words too rare to be among them are left out before the sort, by the binary
+    logarithm of ``total``, and the sort ends in a task: ``collect`` and ``toPandas``
+    without Arrow would bring ``HEAD_WORDS`` rows of every partition to the driver.
+    """
+    level = F.floor(F.log2("total"))
+    # One row per power of two.
+    sizes = {r["level"]: r["n"] for r in scored.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    least, n = 0, 0
+    for least in sorted(sizes, reverse=True):
+        n += sizes[least]
+        if n >= HEAD_WORDS:
+            break
+    often = scored.where(level >= least).orderBy(F.col("total").desc(), "word").limit(HEAD_WORDS)
+    return often.select("word", "c", "score").toArrow()
+
+
+#: The head a worker has unpacked last, with the name it was sent under.
+_HEAD: dict[str, tuple] = {}
+
+
+def unpacked_head(sent: tuple[str, bytes], below: float) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the words, base scores, scores, whether known); kept for the worker's next tasks."""
+    name, raw = sent
+    if name not in _HEAD:
+        _HEAD.clear()
+        with pa.ipc.open_stream(raw) as stream:
+            head = stream.read_all()
+        c = head.column("c").to_numpy()
+        index = {w: k for k, w in enumerate(head.column("word").to_pylist())}
+        _HEAD[name] = index, np.log10(c + 0.5) - below, head.column("score").to_numpy(), c > 0
+    return _HEAD[name]
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[list[bytes]]]]:
+    """doc_ids and words, the end included, of documents in runs of about ``GROUP_WORDS`` words."""
+    for batch in batches:
+        begin, texts, n = 0, [], 0
+        for k, text in enumerate(batch["text"], 1):
+            texts.append([*words_of(text), b""])
+            n += len(texts[-1])
+            if n >= GROUP_WORDS or k == len(batch):
+                yield batch["doc_id"].iloc[begin:k], texts
+                begin, texts, n = k, [], 0
+
+
 def score_documents(docs: DataFrame, train) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row.
 
@@ -349,50 +435,63 @@ def score_documents(docs: DataFrame, train) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     words = staged(vocabulary(rows), "vocabulary")
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tables = spark.sparkContext.broadcast((uuid.uuid4().hex, gather_counts(words)))
+    tables = send(gather_counts(words))
     scored = staged(score_words(words, tables, *learn(words, tables)), "word-scores")
     below = math.log10(n + 0.5 * (v + 1))
-    # Bounded by HEAD_WORDS rows; ties in ``total`` are cut by the word.
-    head = scored.orderBy(F.col("total").desc(), "word").limit(HEAD_WORDS).select("word", "c", "score").toPandas()
-    held = spark.sparkContext.broadcast(
-        (
-            {bytes(w): k for k, w in enumerate(head["word"])},
-            np.log10(head["c"].to_numpy(float) + 0.5) - below,
-            head["score"].to_numpy(float),
-            head["c"].to_numpy() > 0,
-        )
-    )
-    del head
+    head = head_of(scored)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, head.schema) as stream:
+        stream.write_table(head)
+    held = spark.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes()))
+    del head, sink
 
     def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        index, base, score, known = held.value
+        index, base, score, known = unpacked_head(held.value, below)
+        # Place -1 is for words outside the head.
+        base, score, known = np.append(base, 0.0), np.append(score, 0.0), np.append(known, False)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids, tails = [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                found = words_of(text)
-                n_bytes = sum(map(len, found)) + len(found) + 1
-                found.append(b"")
-                at = [index.get(w, -1) for w in found]
-                near = np.array([k for k in at if k >= 0], np.int64)
-                at = np.array(at)
-                asked, hit, p = repeats(found)
-                alone = np.where(at >= 0, score[at], 0.0)
-                own = np.where(asked, np.log10(np.maximum(1 - p, 1e-12)), 0.0) + alone
-                # A hit is also coded by its own probability, which is nothing outside the head.
-                own[hit] = np.log10(p[hit] + (1 - p[hit]) * np.where(at[hit] >= 0, 10.0 ** alone[hit], 0.0))
-                ids.append((row, doc_id, len(found), int(known[near].sum()), base[near].sum(), own.sum(), n_bytes, None))
-                if len(near) < len(found):
-                    every, coded = Counter(), Counter()
-                    for k in np.flatnonzero(at < 0):
-                        every[found[k]] += 1
-                        coded[found[k]] += not hit[k]
-                    tails += [(row, None, c, coded[w], 0.0, 0.0, 0, w) for w, c in every.items()]
-                row += 1
-            columns = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "n_bytes", "word"]
-            yield pd.DataFrame(ids + tails, columns=columns).astype({"doc_id": "Int64"})
+        for doc_ids, texts in _groups(batches):
+            found = [w for words in texts for w in words]
+            n_tokens = np.array([len(words) for words in texts])
+            starts = np.cumsum(n_tokens) - n_tokens
+            text_of = np.repeat(np.arange(len(texts)), n_tokens)
+            at = np.array([index.get(w, -1) for w in found], np.int64)
+            ids = first_places(texts)
+            asked, hit, p = repeats_of(ids, text_of)
+            alone = score[at]
+            own = np.where(asked, np.log10(np.maximum(1 - p, 1e-12)), 0.0) + alone
+            # A hit is also coded by its own probability, which is nothing outside the head.
+            own[hit] = np.log10(p[hit] + (1 - p[hit]) * np.where(at[hit] >= 0, 10.0 ** alone[hit], 0.0))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            documents = {
+                "row": row + np.arange(len(texts)),
+                "doc_id": doc_ids.astype("Int64").array,
+                "n_tokens": n_tokens,
+                "n_known": np.add.reduceat(known[at].astype(np.int64), starts),
+                "base": np.add.reduceat(base[at], starts),
+                "score": np.add.reduceat(own, starts),
+                "n_bytes": np.add.reduceat(sizes + 1, starts),
+                "word": None,
+            }
+            yield pd.DataFrame(documents)
+            # Words outside the head: one row per document and word, with times found and times not hit.
+            far = np.flatnonzero(at < 0)
+            if len(far):
+                word, times = np.unique(ids[far], return_counts=True)
+                tails = {
+                    "row": row + text_of[word],
+                    "doc_id": pd.array([None] * len(word), "Int64"),
+                    "n_tokens": times,
+                    "n_known": np.bincount(ids[far], ~hit[far], len(found))[word].astype(np.int64),
+                    "base": 0.0,
+                    "score": 0.0,
+                    "n_bytes": 0,
+                    "word": [found[k] for k in word.tolist()],
+                }
+                yield pd.DataFrame(tails)
+            row += len(texts)
 
     parts = staged(
         rows.select("doc_id", "text").mapInPandas(

@@ -219,6 +219,47 @@ def test_lm_repeats():
     assert hit.tolist() == [False, False, False, False, True, True, True, False]
 
 
+def test_lm_repeats_of_several_texts():
+    rng = np.random.default_rng(3)
+    texts = [[b"%d" % x for x in rng.integers(0, 6, n)] + [b""] for n in (0, 40, 1, 200, 0, 90)]
+    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    together = lm_scoring.repeats_of(lm_scoring.first_places(texts), text_of)
+    for got, *alone in zip(together, *map(lm_scoring.repeats, texts)):
+        assert got.tolist() == np.concatenate(alone).tolist()
+
+
+def test_lm_head_does_not_reach_the_driver_from_every_task(spark, monkeypatch):
+    words = [(b"%d" % k, k % 7, 1 + 200 // (k + 1), -float(k)) for k in range(400)]
+    scored = spark.createDataFrame(words, "word binary, c long, total long, score double").repartition(13, "word")
+    for size in (30, 220, 1000):
+        monkeypatch.setattr(lm_scoring, "HEAD_WORDS", size)
+        wanted = sorted(words, key=lambda w: (-w[2], w[0]))[:size]
+        group = f"head-{size}"
+        spark.sparkContext.setJobGroup(group, "the head")
+        head = lm_scoring.head_of(scored)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert head.column("word").to_pylist() == [w[0] for w in wanted]
+        assert head.column("score").to_pylist() == [w[3] for w in wanted]
+        # The rows come from one task; collected as rows, every partition sends a head of its own.
+        tracker = spark.sparkContext.statusTracker()
+        last = tracker.getJobInfo(max(tracker.getJobIdsForGroup(group)))
+        assert tracker.getStageInfo(max(last.stageIds)).numTasks == 1
+    assert lm_scoring.head_of(scored.limit(0)).num_rows == 0
+
+
+def test_lm_tables_pass_the_driver_in_pieces(spark):
+    words = spark.createDataFrame([(b"%d" % (k * k), 1 + k % 3) for k in range(3000)], "word binary, c long")
+    counts = lm_scoring.gather_counts(words)
+    name, pieces = lm_scoring.send(counts)
+    chunks = {(r["k"], r["chunk"]) for r in counts.collect()}
+    # Before, all chunks were one list in the driver and one broadcast.
+    assert len(chunks) > lm_scoring.PIECE and max(len(p.value) for p in pieces) <= lm_scoring.PIECE
+    assert {(k, chunk) for p in pieces for k, chunk, _ in p.value} == chunks
+    tables = lm_scoring.unpacked((name, pieces))
+    bytes_in_all = sum((len(r["word"]) + 1) * r["c"] for r in words.collect())
+    assert all(t.sum() == 8 * bytes_in_all for t in tables)
+
+
 def test_models_without_labels(odd, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     weights = quality_model.fit(odd, labels)
