@@ -236,8 +236,13 @@ def test_lm_head_does_not_reach_the_driver_from_every_task(spark, monkeypatch):
         wanted = sorted(words, key=lambda w: (-w[2], w[0]))[:size]
         group = f"head-{size}"
         spark.sparkContext.setJobGroup(group, "the head")
-        head = lm_scoring.head_of(scored)
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        # Off by default in Spark; local sessions of this library set it.
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+        try:
+            head = lm_scoring.head_of(scored)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         assert head.column("word").to_pylist() == [w[0] for w in wanted]
         assert head.column("score").to_pylist() == [w[3] for w in wanted]
         # The rows come from one task; collected as rows, every partition sends a head of its own.
