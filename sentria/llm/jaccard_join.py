@@ -1,13 +1,15 @@
 """N-gram Jaccard join by vertical partitioning: documents linked by shared word 5-grams.
 
 1. Equal sets fall into one class; only one document of a class goes on.
-2. A global order of the n-grams puts those of one set alone first and frequent ones
-   last. Two sets of the wanted similarity share one of their first n-grams (prefix
-   filter), so classes that may link are connected through such n-grams. Each n-gram
-   ties its classes to one of them, never pair by pair; the connected groups are the
-   families. Which n-grams may be in several sets is kept in a bit set of fixed size:
-   a clear bit is certain, and such n-grams never leave their task.
-3. In a family the order is cut into fragments. The overlaps of all its classes are
+2. A global order of the n-grams puts frequent ones last, the others by hash. Two sets
+   of the wanted similarity share one of their first n-grams (prefix filter). The
+   prefixes are dealt to fragments of the hash range, as many as the corpus needs, in
+   packed form: a few bytes for an n-gram and its class.
+3. A fragment lists the classes of each n-gram. Classes of a list may link only if their
+   parity sketches (a bit per n-gram or more) differ no more than sets of that similarity
+   can; the classes that still may link are connected, and the groups are the families.
+   Lists that outgrow a task tie their classes to one of them unseen, never pair by pair.
+4. In a family the order is cut into fragments. The overlaps of all its classes are
    counted per fragment and summed, as products of small incidence matrices, and
    compared with the exact threshold. Large families are cut into blocks that meet
    two by two. A task hands on no pairs, only which classes became connected.
@@ -23,16 +25,20 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentria.llm.common import staged
+from sentria.llm.common import staged, tasks
 from sentria.llm.components import components
 
 SHINGLE = 5
-#: The bit set has two to this power bits. Sharing bits costs time only: the order stays valid.
-BITS = 28
-CHUNK_BITS = 22
+#: Leading bits of a hash that name an n-gram in a list. n-grams that agree in them cost time only.
+PLACE_BITS = 40
+#: n-grams of prefixes in a fragment, about.
+FRAGMENT_ROWS = 2_000_000
+#: Classes in a list whose pairs are handed on one by one; longer lists are compared in one piece.
+SHORT = 8
 #: Frequent n-grams that get a rank of their own. The order stays valid, and the result
 #: the same, whichever they are; more of them only keep families small.
 MAX_FREQUENT = 1 << 16
@@ -41,8 +47,9 @@ MIN_SIGHTINGS = 8
 #: Classes in a block, n-grams in a fragment.
 BLOCK = 512
 FRAGMENT = 2048
-#: n-grams that a task holds before it hands on.
+#: n-grams, and classes, that a task holds before it hands on.
 FLUSH = 2_000_000
+OWNERS = 1 << 20
 CACHE_WORDS = 300_000
 
 
@@ -89,25 +96,13 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-PROFILE = "kind int, doc_id long, n long, k1 long, k2 long, places binary"
-
-
-def _deltas(places: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(places, prepend=0).astype(np.uint32).tobytes())
-
-
-def _by_chunk(kind: int, places: np.ndarray) -> list[tuple]:
-    """Rows for sorted bit places: one per chunk of the bit set, with its number in n."""
-    chunks, first = np.unique(places >> CHUNK_BITS, return_index=True)
-    low = (1 << CHUNK_BITS) - 1
-    return [(kind, None, int(c), 0, 0, _deltas(part & low)) for c, part in zip(chunks, np.split(places, first[1:]))]
+PROFILE = "kind int, doc_id long, n long, k1 long, k2 long"
 
 
 def profiles(docs: DataFrame) -> DataFrame:
     """One row per document (kind 0: doc_id, n, k1, k2), and what tasks saw of n-grams.
 
-    Kind 1 (n, k1): an n-gram that n different sets of the task have. Kinds 2 and 3
-    (n, places): bits of the n-grams in one set or more, and in two or more.
+    Kind 1 (n, k1): an n-gram that n different sets of the task have.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,11 +111,8 @@ def profiles(docs: DataFrame) -> DataFrame:
 
         def summary() -> pd.DataFrame:
             h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            place = (h >> np.uint64(64 - BITS)).astype(np.int64)
-            # Equal sets of one task count once; different n-grams on one bit count as a repeat.
-            twice = np.unique(np.concatenate([place[n > 1], place[1:][place[1:] == place[:-1]]]))
-            rows = [(1, None, int(c), int(x), 0, None) for x, c in zip(_signed(h[n > 1]), n[n > 1]) if c > 2]
-            rows += _by_chunk(2, np.unique(place)) + _by_chunk(3, twice)
+            # Equal sets of one task count once.
+            rows = [(1, None, int(c), int(x), 0) for x, c in zip(_signed(h[n > 2]), n[n > 2])]
             return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
         for batch in batches:
@@ -128,7 +120,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(text)
                 key = set_key(s)
-                rows.append((0, doc_id, len(s), *key, None))
+                rows.append((0, doc_id, len(s), *key))
                 if key not in seen:
                     seen.add(key)
                     held.append(s)
@@ -143,120 +135,253 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(read, PROFILE)
 
 
-def shared_bits(rows: DataFrame) -> np.ndarray:
-    """Packed bits of the n-grams that may be in two sets or more. A clear bit: in one at most."""
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        one, two = np.zeros(1 << CHUNK_BITS, bool), np.zeros(1 << CHUNK_BITS, bool)
-        for kind, packed in zip(frame["kind"], frame["places"]):
-            raw = zstandard.ZstdDecompressor().decompress(packed)
-            at = np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
-            if kind == 2:
-                two[at[one[at]]] = True
-                one[at] = True
-            else:
-                two[at] = True
-        packed = zstandard.ZstdCompressor(level=1).compress(np.packbits(two).tobytes())
-        return pd.DataFrame({"chunk": [frame["n"].iloc[0]], "bits": [packed]})
-
-    out = np.zeros((1 << BITS) // 8, np.uint8)
-    width = (1 << CHUNK_BITS) // 8
-    merged = rows.where("kind >= 2").select("kind", "n", "places").groupBy("n").applyInPandas(merge, "chunk long, bits binary")
-    # A fixed number of chunks, whatever the corpus.
-    for row in merged.toLocalIterator():
-        raw = zstandard.ZstdDecompressor().decompress(bytes(row["bits"]))
-        out[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(raw, np.uint8)
-    return out
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, so that leading zeros take no room."""
+    planes = x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def prefix(s: np.ndarray, ordered: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The first n-grams of a set in the global order. ``ordered``: the frequent n-grams by hash; ``rank``: their places, at the end."""
+    length = len(s) - -(-percent * len(s) // 100) + 1
+    if not len(ordered):
+        return s[:length]
+    at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
+    late = ordered[at] == s
+    rare = s[~late][:length]
+    last = np.argsort(rank[at[late]])[: length - len(rare)]
+    return np.concatenate([rare, s[late][last]])
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Packed parities of the n-grams per bucket. Two sets differ in as many n-grams as their sketches in bits, or more."""
+    width = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1)
 
 
-def _prefix_rows(docs: DataFrame, shared: np.ndarray, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(h, k1, k2, l1, l2): a class under an n-gram of its prefix; l, where given, is another class with it.
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches (rows) at half their width."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
 
-    N-grams of one set alone are left out. Classes that meet in a task are tied there,
-    so that an n-gram leaves a task with one class.
+
+POSTINGS = "kind int, node long, k1 long, k2 long, n long, bits binary, part long, places binary, owners binary"
+
+
+def postings(docs: DataFrame, frequent: np.ndarray, percent: int, fragments: int) -> DataFrame:
+    """The sets of each task under numbers of their own, and the n-grams of their prefixes.
+
+    Kind 0 (node, k1, k2, n, bits): a set and its sketch. Kind 1 (part, places, owners,
+    node): n-grams of a fragment and the sets with them, which count from ``node``.
+    Numbers follow the tasks, so the rows are to be written once and read from there.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((shared, frequent))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, late = sent.value  # late: frequent n-grams, the least frequent first
-        by_hash = np.argsort(late)
-        ordered = late[by_hash]
-        held, keys, seen = [], [], set()
-
-        def flush() -> pd.DataFrame:
-            h = np.concatenate([np.zeros(0, np.uint64), *held])
+        late = sent.value  # the least frequent first
+        columns = [c.split()[0] for c in POSTINGS.split(", ")]
+        whole = {c: "Int64" for c in ("node", "k1", "k2", "n", "part")}
+        base = TaskContext.get().partitionId() << 38  # 18 bits for the flushes, 20 for their sets
+        rank = np.argsort(late)
+        ordered = late[rank]
+        held, sets, seen, size = [], [], set(), 0
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=columns).astype(whole)
+
+        def flush() -> Iterator[pd.DataFrame]:
+            place = np.concatenate(held)
             owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-            k = np.array(keys, np.int64).reshape(-1, 2)
-            order = np.lexsort((k[owner, 1], k[owner, 0], h))
-            h, owner = h[order], owner[order]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            lead = owner[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-            # A tied class has done its work: any key of its own will do.
-            h = np.where(first, h, _mix(k[owner, 0].view(np.uint64) + h, 0xFF51AFD7ED558CCD))
-            tied = ~first
-            l1 = pd.array(np.where(tied, k[lead, 0], 0), "Int64")
-            l2 = pd.array(np.where(tied, k[lead, 1], 0), "Int64")
-            l1[first], l2[first] = pd.NA, pd.NA
-            return pd.DataFrame({"h": _signed(h), "k1": k[owner, 0], "k2": k[owner, 1], "l1": l1, "l2": l2})
-
-        size = 0
+            order = np.argsort(place, kind="stable")
+            place, owner = place[order], owner[order]
+            parts, first = np.unique((place * np.uint64(fragments)) >> np.uint64(PLACE_BITS), return_index=True)
+            yield frame([(0, base + k, *x, None, None, None) for k, x in enumerate(sets)])
+            rows = []
+            for part, p, o in zip(parts, np.split(place, first[1:]), np.split(owner, first[1:])):
+                steps = np.diff(p, prepend=np.uint64(0))
+                rows.append((1, base, None, None, None, None, int(part), _pack(steps), _pack(o)))
+            yield frame(rows)
+
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(text)
                 if not len(s) or pd.isna(doc_id) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                place = (s >> np.uint64(64 - BITS)).astype(np.int64)
-                common = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
-                rank = np.where(common, -1, -2)
-                if len(late):
-                    at = np.minimum(np.searchsorted(ordered, s), len(late) - 1)
-                    hit = ordered[at] == s
-                    rank[hit] = by_hash[at[hit]]
-                length = len(s) - -(-percent * len(s) // 100) + 1
-                first = np.lexsort((s, rank))[:length]
-                first = first[rank[first] > -2]
-                if len(first):
-                    held.append(s[first])
-                    keys.append(key)
-                    size += len(first)
-            if size > FLUSH:
-                yield flush()
-                held, keys, seen, size = [], [], set(), 0
+                held.append(prefix(s, ordered, rank, percent) >> np.uint64(64 - PLACE_BITS))
+                sets.append((*key, len(s), sketch(s).tobytes()))
+                size += len(held[-1])
+                if size > FLUSH or len(sets) == OWNERS:
+                    yield from flush()
+                    held, sets, seen, size = [], [], set(), 0
+                    base += OWNERS
         if held:
-            yield flush()
+            yield from flush()
 
-    return docs.select("doc_id", "text").mapInPandas(emit, "h long, k1 long, k2 long, l1 long, l2 long")
+    return docs.select("doc_id", "text").mapInPandas(emit, POSTINGS)
 
 
-def candidate_edges(docs: DataFrame, shared: np.ndarray, frequent: np.ndarray, percent: int) -> DataFrame:
-    """Pairs of class keys (x1, x2, y1, y2) that connect all classes with a prefix n-gram in common."""
-    rows = _prefix_rows(docs, shared, frequent, percent)
-    # One row per n-gram and task, so a window holds no more rows than there are tasks.
-    led = rows.withColumn("lead", F.min(F.struct("k1", "k2")).over(Window.partitionBy("h")))
-    other = F.when(F.col("l1").isNotNull(), F.struct(F.col("l1").alias("k1"), F.col("l2").alias("k2"))).otherwise(
-        F.col("lead")
+def _lists(frame: pd.DataFrame, longest: int) -> pd.DataFrame:
+    """What the n-grams of a fragment list: pairs (a, b) of short lists, members (g, a) of long ones.
+
+    Equal lists are one, g is a hash of the members. A list over ``longest`` gives (g null,
+    a, b null, lead): each member and the one that it is tied to.
+    """
+    place = [np.cumsum(_unpack(x), dtype=np.uint64) for x in frame["places"]]
+    node = [_unpack(x).astype(np.int64) + base for x, base in zip(frame["owners"], frame["node"])]
+    place, node = np.concatenate(place), np.concatenate(node)
+    order = np.argsort(place, kind="stable")
+    place, node = place[order], node[order]
+    same = place[1:] == place[:-1]
+    shared = np.zeros(len(place), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    place, node = place[shared], node[shared]
+    order = np.lexsort((node, place))
+    place, node = place[order], node[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (node[1:] != node[:-1])
+    place, node = place[new], node[new]
+    _, first, size = np.unique(place, return_index=True, return_counts=True)
+    if len(first):
+        g = np.add.reduceat(_mix(node.view(np.uint64), 0x87C37B91114253D5), first)
+        _, kept = np.unique(g, return_index=True)
+        kept = kept[size[kept] > 1]
+    else:
+        g, kept = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = []
+    for n in range(2, SHORT + 1):
+        rows = node[first[kept[size[kept] == n]][:, None] + np.arange(n)]
+        i, j = np.triu_indices(n, 1)
+        out.append(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    frames = [pd.DataFrame({"g": pd.NA, "a": pairs[:, 0], "b": pairs[:, 1], "lead": pd.NA})]
+    for k in kept[size[kept] > SHORT]:
+        a = node[first[k] : first[k] + size[k]]
+        if size[k] <= longest:
+            frames.append(pd.DataFrame({"g": g[k : k + 1].view(np.int64)[0], "a": a, "b": pd.NA, "lead": pd.NA}))
+        else:
+            frames.append(pd.DataFrame({"g": pd.NA, "a": a[1:], "b": pd.NA, "lead": a[0]}))
+    return pd.concat([f.astype("Int64") for f in frames])
+
+
+def _may_link(left: list[bytes], n_left: np.ndarray, right: list[bytes], n_right: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets (rows, columns) their sizes and sketches leave in question."""
+    out = np.zeros((len(left), len(right)), bool)
+
+    def by_width(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        width = np.array([len(x) for x in sketches])
+        at = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+        return {w: (i, np.frombuffer(b"".join(sketches[k] for k in i), np.uint8).reshape(-1, w)) for w, i in at.items()}
+
+    a, b = by_width(left), by_width(right)
+    for w in a:
+        for v in b:
+            # Sets of the wanted similarity differ in width by one step at most.
+            if max(w, v) > 2 * min(w, v):
+                continue
+            (i, x), (j, y) = a[w], b[v]
+            x = np.ascontiguousarray(folded(x) if w > v else x).view(np.uint64)
+            y = np.ascontiguousarray(folded(y) if v > w else y).view(np.uint64)
+            for low in range(0, len(i), 256):
+                at = i[low : low + 256]
+                apart = np.zeros((len(at), len(j)), np.int64)
+                for k in range(x.shape[1]):
+                    apart += np.bitwise_count(x[low : low + 256, k][:, None] ^ y[:, k][None, :])
+                m, n = n_left[at][:, None], n_right[j][None, :]
+                fits = (100 + percent) * apart <= (100 - percent) * (m + n)
+                out[np.ix_(at, j)] = fits & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+    return out
+
+
+def _compare(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): each class of a list that may link with another of it, and the first class that it reaches."""
+    frame = frame.drop_duplicates("class_id").sort_values("class_id")
+    n, bits = frame["n"].to_numpy(np.int64), list(frame["bits"])
+    return _ties(_may_link(bits, n, bits, n, percent), frame["class_id"].to_numpy(), 0)
+
+
+def candidate_edges(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes (a, b) that connect all classes that share a prefix n-gram and may link.
+
+    ``rows``: the stored ``postings``.
+    """
+    longest = 4 * BLOCK
+    lists = staged(
+        rows.where("kind = 1").select("part", "node", "places", "owners").groupBy("part").applyInPandas(
+            lambda frame: _lists(frame, longest), "g long, a long, b long, lead long"
+        ),
+        "lists",
+    )
+    nodes = staged(
+        rows.where("kind = 0").select("node", "k1", "k2", "n", "bits")
+        .join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).select("node", "class_id", "n", "bits"),
+        "nodes",
+    )
+
+    @F.pandas_udf("boolean")
+    def may_link(n1: pd.Series, s1: pd.Series, n2: pd.Series, s2: pd.Series) -> pd.Series:
+        def one(m: int, x: bytes, n: int, y: bytes) -> bool:
+            while len(x) > len(y):
+                x = folded(np.frombuffer(x, np.uint8)).tobytes()
+            while len(y) > len(x):
+                y = folded(np.frombuffer(y, np.uint8)).tobytes()
+            apart = (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
+            return (100 + percent) * apart <= (100 - percent) * (m + n)
+
+        return pd.Series([one(*x) for x in zip(n1, s1, n2, s2)], dtype=bool)
+
+    side = lambda key, p: nodes.select(F.col("node").alias(key), F.col("class_id").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
+    pairs = lists.where("b is not null").select("a", "b").distinct()
+    met = pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").where(
+        f"x <> y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    )
+    near = met.where(may_link("n_x", "bits_x", "n_y", "bits_y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    members = lists.where("g is not null").select("g", F.col("a").alias("node")).distinct()
+    compared = members.join(nodes.hint("merge"), "node").select("g", "class_id", "n", "bits").groupBy("g").applyInPandas(
+        lambda frame: _compare(frame, percent), "a long, b long"
     )
-    out = led.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), other.alias("o"))
-    return out.select("x1", "x2", F.col("o.k1").alias("y1"), F.col("o.k2").alias("y2")).where(
-        "x1 <> y1 or x2 <> y2"
-    ).distinct()
+    ties = lists.where("lead is not null").select("a", F.col("lead").alias("b")).distinct()
+    name = lambda key, p: nodes.select(F.col("node").alias(key), F.col("class_id").alias(p))
+    tied = ties.join(name("a", "x"), "a").join(name("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return near.unionByName(compared).unionByName(tied).where("a <> b").distinct()
+
+
+def _banded(members: DataFrame, percent: int) -> DataFrame:
+    """With band: sets whose bands are not the same or neighbours never reach the similarity."""
+    step = np.log(100 / percent)
+    return members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int"))
 
 
-def _with_ids(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    side = lambda p, name: classes.select(F.col("k1").alias(f"{p}1"), F.col("k2").alias(f"{p}2"), F.col("class_id").alias(name))
-    return edges.join(side("x", "a"), ["x1", "x2"]).join(side("y", "b"), ["y1", "y2"]).select("a", "b")
+def _block(band: Column, kind: Column, k: Column) -> Column:
+    return F.struct(band.alias("band"), kind.alias("kind"), k.alias("k"))
+
+
+def _meetings(mine: Column, others: Column) -> Column:
+    """The cells of a set in the block ``mine`` that meets the blocks ``others``."""
+    return F.transform(
+        others,
+        lambda o: F.struct(
+            F.least(mine, o).alias("one"),
+            F.greatest(mine, o).alias("two"),
+            (mine > o).cast("int").alias("side"),
+        ),
+    )
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
-    """``members`` (class_id, rep, label, n) with cells: the meetings of blocks in which the set takes part.
+    """``members`` (class_id, rep, label, n) with cells: the first meetings of blocks in which the set takes part.
 
-    Blocks have about ``BLOCK`` sets of similar size; sizes apart by more than the
-    threshold allows never meet. A family within one block is one cell.
+    A family within one block is one cell. Others have blocks of about ``BLOCK`` sets of
+    similar size, which meet themselves and the first block of their own and the next
+    bands; what may link beyond that is left to ``_late_cells``.
     """
-    step = np.log(100 / percent)
-    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int"))
+    banded = _banded(members, percent)
     bands = banded.groupBy("label", "band").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     per_family = staged(
         bands.groupBy("label").agg(
@@ -266,31 +391,57 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     )
     own = F.pmod(F.xxhash64("class_id"), F.try_element_at("blocks", F.col("band"))).cast("int")
     put = banded.join(per_family, "label").withColumn("own", own)
-    block = lambda band, k: F.struct(band.alias("band"), k.alias("k"))
-    mine = block(F.col("band"), F.col("own"))
+    kind = F.lit(-1).cast("long")
+    mine = _block(F.col("band"), kind, F.col("own"))
 
-    def others(shift: int):
+    def first(shift: int):
         band = F.col("band") + shift
         n = F.coalesce(F.try_element_at("blocks", band), F.lit(0))
-        ks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(ks, lambda k: block(band, k))
+        # The first block meets all, so that either side names the cell.
+        last = F.when(F.col("own") == 0, n - 1).otherwise(F.lit(0))
+        ks = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(ks, lambda k: _block(band, kind, k))
 
-    meet = F.flatten(F.array(others(-1), others(0), others(1)))
-    cells = F.transform(
-        meet,
-        lambda o: F.struct(
-            F.least(mine, o).alias("one"),
-            F.greatest(mine, o).alias("two"),
-            (mine > o).cast("int").alias("side"),
-        ),
-    )
-    nowhere = block(F.lit(0), F.lit(0))
+    meet = F.array_distinct(F.flatten(F.array(F.array(mine), first(-1), first(0), first(1))))
+    nowhere = _block(F.lit(0), kind, F.lit(0))
     alone = F.array(F.struct(nowhere.alias("one"), nowhere.alias("two"), F.lit(0).alias("side")))
-    return put.select("class_id", "rep", "label", "k1", "k2", F.when(F.col("size") <= BLOCK, alone).otherwise(cells).alias("cells"))
+    large = F.col("size") > BLOCK
+    cells = F.when(large, _meetings(mine, meet)).otherwise(alone)
+    return put.select("class_id", "rep", "label", "k1", "k2", "n", large.alias("large"), cells.alias("cells"))
+
+
+def _late_cells(members: DataFrame, percent: int) -> DataFrame:
+    """(class_id, cells): the meetings of blocks of large families that are still in question.
+
+    ``members`` (class_id, label, n, found): found is the component that the first
+    meetings gave. A component of more than ``BLOCK`` sets of a band has blocks of its
+    own, and those never meet one another, so a group of near copies that has been
+    found whole is not compared again.
+    """
+    banded = _banded(members, percent)
+    own = banded.groupBy("label", "band", "found").agg(F.when(F.count("*") > BLOCK, F.col("found")).otherwise(-1).alias("kind"))
+    kinded = banded.join(own, ["label", "band", "found"])
+    sizes = staged(
+        kinded.groupBy("label", "band", "kind").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "block-counts"
+    )
+    per_family = sizes.groupBy("label").agg(F.collect_list(F.struct("band", "kind", "blocks")).alias("all"))
+    put = kinded.join(sizes, ["label", "band", "kind"]).join(per_family, "label")
+    mine = _block(F.col("band"), F.col("kind"), F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    asked = F.filter(
+        "all",
+        lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & ((x["kind"] == -1) | (x["kind"] != F.col("kind"))),
+    )
+    meet = F.flatten(
+        F.transform(
+            asked,
+            lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: _block(x["band"], x["kind"], k)),
+        )
+    )
+    return put.select("class_id", _meetings(mine, meet).alias("cells")).where(F.size("cells") > 0)
 
 
 def _sets_of(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """(label, one, two, side, class_id, hashes): the members' sets in every cell they take part in."""
+    """(class_id, label, large, cells, hashes): the members' sets."""
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.Series:
@@ -300,10 +451,13 @@ def _sets_of(docs: DataFrame, placed: DataFrame) -> DataFrame:
 
     # Always by shuffle: members grow with the corpus, so a broadcast would only suit small ones.
     texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("rep"))
-    sets = texts.select("class_id", "label", "cells", hashes("text", "k1", "k2").alias("hashes"))
-    none = F.array().cast(sets.schema["cells"].dataType)
-    met = F.explode(F.when(F.col("hashes").isNotNull(), F.col("cells")).otherwise(none)).alias("c")
-    return sets.select("label", met, "class_id", "hashes").select("label", "c.*", "class_id", "hashes")
+    return texts.select("class_id", "label", "large", "cells", hashes("text", "k1", "k2").alias("hashes")).where("hashes is not null")
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what links inside the cells of ``sets`` connect."""
+    met = sets.select("label", F.explode("cells").alias("c"), "class_id", "hashes").select("label", "c.*", "class_id", "hashes")
+    return met.groupBy("label", "one", "two").applyInPandas(lambda frame: _connect(frame, percent), "a long, b long")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -339,6 +493,24 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _ties(linked: np.ndarray, ids: np.ndarray, shift: int) -> pd.DataFrame:
+    """(a, b): each of ``ids`` that links connect with another, and the first it reaches; columns are the ids from ``shift``."""
+    rows_n, cols_n = linked.shape
+    label = np.arange(len(ids))
+    while True:
+        rows, cols = label[:rows_n], label[shift : shift + cols_n]
+        new = label.copy()
+        low = np.where(linked, cols[None, :], len(ids)).min(axis=1)
+        new[:rows_n] = np.minimum(rows, low)
+        back = np.where(linked, new[:rows_n][:, None], len(ids)).min(axis=0)
+        new[shift : shift + cols_n] = np.minimum(new[shift : shift + cols_n], back)
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(ids))
+    return pd.DataFrame({"a": ids[moved].astype(np.int64), "b": ids[label[moved]].astype(np.int64)})
+
+
 def _connect(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """(a, b): each set that a link inside the cell connects with another, and the first set it reaches."""
     frame = frame.drop_duplicates(["class_id", "side"]).sort_values("class_id")
@@ -353,20 +525,7 @@ def _connect(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     common = overlaps(left, right).astype(np.int64)
     size = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
     linked = 100 * common >= percent * (size - common)
-    shift = 0 if diagonal else len(left)
-    label = np.arange(len(ids))
-    while True:
-        rows, cols = label[: len(left)], label[shift : shift + len(right)]
-        new = label.copy()
-        low = np.where(linked, cols[None, :], len(ids)).min(axis=1)
-        new[: len(left)] = np.minimum(rows, low)
-        back = np.where(linked, new[: len(left)][:, None], len(ids)).min(axis=0)
-        new[shift : shift + len(right)] = np.minimum(new[shift : shift + len(right)], back)
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(ids))
-    return pd.DataFrame({"a": ids[moved].astype(np.int64), "b": ids[label[moved]].astype(np.int64)})
+    return _ties(linked, ids, 0 if diagonal else len(left))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -393,14 +552,24 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .orderBy(F.col("c").desc(), "k1").limit(MAX_FREQUENT).select("k1").toPandas()
     )
     frequent = often["k1"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
-    edges = staged(candidate_edges(docs, shared_bits(rows), frequent, percent), "candidates")
-    families = staged(components(_with_ids(edges, classes)), "families")
+    prefixed = own.agg(F.sum("n")).first()[0] or 0
+    fragments = max(tasks(spark), -(-prefixed * (100 - percent) // (100 * FRAGMENT_ROWS)))
+    listed = staged(postings(docs, frequent, percent, fragments), "postings")
+    edges = staged(candidate_edges(listed, classes, percent), "candidates")
+    families = staged(components(edges), "families")
     members = families.join(classes, F.col("node") == F.col("class_id")).select("class_id", "rep", "k1", "k2", "n", "label")
     placed = staged(_cells(members, percent), "placed")
-    links = _sets_of(docs, placed).groupBy("label", "one", "two").applyInPandas(
-        lambda frame: _connect(frame, percent), "a long, b long"
-    )
-    labels = components(links)
+    sets = staged(_sets_of(docs, placed), "sets")
+    links = staged(_links(sets, percent), "links")
+    labels = staged(components(links), "labels")
+    large = placed.where("large")
+    if not large.isEmpty():
+        found = large.join(labels, F.col("class_id") == F.col("node"), "left").select(
+            "class_id", large["label"], "n", F.coalesce(labels["label"], "class_id").alias("found")
+        )
+        late = staged(_late_cells(found, percent), "late-cells")
+        again = sets.where("large").select("class_id", "label", "hashes").join(late.hint("merge"), "class_id")
+        labels = staged(components(links.union(_links(again, percent))), "labels")
     tied = staged(
         classes.join(labels, F.col("class_id") == F.col("node"), "left").select(
             "k1", "k2", "rep", F.coalesce("label", "class_id").alias("label")

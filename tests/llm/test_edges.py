@@ -405,6 +405,26 @@ def test_jaccard_families_of_many_blocks(spark, monkeypatch):
     assert got == {k: find(k) for k in range(len(sets))}
 
 
+def test_jaccard_families_only_of_sets_that_may_link(spark, monkeypatch):
+    """A chain of documents with half their n-grams in common: none near its neighbour, so none goes on to the blocks."""
+    from sentria.llm import jaccard_join
+
+    counted = {}
+
+    def staged(df, name, write=jaccard_join.staged):
+        out = write(df, name)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", staged)
+    passages = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(31)]
+    texts = [f"{passages[k]} {passages[k + 1]}" for k in range(30)] + [passages[3] + " " + passages[4] + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    assert got == {k: k for k in range(30)} | {30: 3}
+    assert counted["families"] == 2
+
+
 def test_quality_rules(odd, none):
     rows = quality_rules.ledger(odd).collect()
     assert len(rows) == odd.count()
