@@ -44,6 +44,8 @@ SHORT = 8
 MAX_FREQUENT = 1 << 16
 #: Sightings (repeats inside tasks) from which an n-gram counts as frequent.
 MIN_SIGHTINGS = 8
+#: Sets of more n-grams go to a list with a sketch folded to so many bits, and are compared once more in their group.
+WIDE = 1024
 #: Classes in a block, n-grams in a fragment.
 BLOCK = 512
 FRAGMENT = 2048
@@ -300,10 +302,43 @@ def _may_link(left: list[bytes], n_left: np.ndarray, right: list[bytes], n_right
 
 
 def _compare(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """(a, b): each class of a list that may link with another of it, and the first class that it reaches."""
+    """(a, b, wide): each class of a list that may link with another of it, and the first class that it reaches.
+
+    Large sets, whose sketches are folded, are tied to one another apart (wide).
+    """
     frame = frame.drop_duplicates("class_id").sort_values("class_id")
-    n, bits = frame["n"].to_numpy(np.int64), list(frame["bits"])
-    return _ties(_may_link(bits, n, bits, n, percent), frame["class_id"].to_numpy(), 0)
+    n, bits, ids = frame["n"].to_numpy(np.int64), list(frame["bits"]), frame["class_id"].to_numpy()
+    linked = _may_link(bits, n, bits, n, percent)
+    wide = (n > WIDE)[:, None] & (n > WIDE)[None, :]
+    return pd.concat([_ties(linked & ~wide, ids, 0).assign(wide=False), _ties(linked & wide, ids, 0).assign(wide=True)])
+
+
+def _compare_blocks(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``_compare`` for the large sets of two blocks, or of one, by their whole sketches."""
+    frame = frame.drop_duplicates(["class_id", "side"]).sort_values("class_id")
+    one, two = frame[frame["side"] == 0], frame[frame["side"] == 1]
+    diagonal = frame["one"].iloc[0] == frame["two"].iloc[0]
+    other = one if diagonal else two
+    if not len(one) or not len(other):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    sizes = lambda f: f["n"].to_numpy(np.int64)
+    linked = _may_link(list(one["bits"]), sizes(one), list(other["bits"]), sizes(other), percent)
+    ids = one["class_id"].to_numpy() if diagonal else np.concatenate([one["class_id"], two["class_id"]])
+    return _ties(linked, ids, 0 if diagonal else len(one))
+
+
+def _wide_edges(rough: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what whole sketches leave of the groups of large sets that ``rough`` (a, b) connects.
+
+    ``known``: class_id, n, bits of all classes. Each sketch goes to its group once, not to every list.
+    """
+    groups = components(rough).select(F.col("node").alias("class_id"), "label")
+    sets = staged(groups.join(known.where(F.col("n") > WIDE), "class_id").dropDuplicates(["class_id"]), "wide-groups")
+    cells = _late_cells(sets.select("class_id", "label", "n", F.col("class_id").alias("found")), percent, 4 * BLOCK)
+    met = sets.join(cells, "class_id").select("label", F.explode("cells").alias("c"), "class_id", "n", "bits")
+    return met.select("label", "c.*", "class_id", "n", "bits").groupBy("label", "one", "two").applyInPandas(
+        lambda frame: _compare_blocks(frame, percent), "a long, b long"
+    )
 
 
 def candidate_edges(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -336,6 +371,15 @@ def candidate_edges(rows: DataFrame, classes: DataFrame, percent: int) -> DataFr
 
         return pd.Series([one(*x) for x in zip(n1, s1, n2, s2)], dtype=bool)
 
+    @F.pandas_udf("binary")
+    def short(bits: pd.Series) -> pd.Series:
+        def one(x: np.ndarray) -> bytes:
+            while 8 * len(x) > WIDE:
+                x = folded(x)
+            return x.tobytes()
+
+        return pd.Series([one(np.frombuffer(x, np.uint8)) for x in bits], dtype=object)
+
     side = lambda key, p: nodes.select(F.col("node").alias(key), F.col("class_id").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
     pairs = lists.where("b is not null").select("a", "b").distinct()
     met = pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").where(
@@ -343,13 +387,20 @@ def candidate_edges(rows: DataFrame, classes: DataFrame, percent: int) -> DataFr
     )
     near = met.where(may_link("n_x", "bits_x", "n_y", "bits_y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     members = lists.where("g is not null").select("g", F.col("a").alias("node")).distinct()
-    compared = members.join(nodes.hint("merge"), "node").select("g", "class_id", "n", "bits").groupBy("g").applyInPandas(
-        lambda frame: _compare(frame, percent), "a long, b long"
+    brief = nodes.select("node", "class_id", "n", short("bits").alias("bits"))
+    compared = staged(
+        members.join(brief.hint("merge"), "node").select("g", "class_id", "n", "bits").groupBy("g").applyInPandas(
+            lambda frame: _compare(frame, percent), "a long, b long, wide boolean"
+        ).distinct(),
+        "compared",
     )
+    small, rough = (compared.where(c).select("a", "b") for c in ("not wide", "wide"))
+    if not rough.isEmpty():
+        small = small.unionByName(_wide_edges(rough, nodes.select("class_id", "n", "bits"), percent))
     ties = lists.where("lead is not null").select("a", F.col("lead").alias("b")).distinct()
     name = lambda key, p: nodes.select(F.col("node").alias(key), F.col("class_id").alias(p))
     tied = ties.join(name("a", "x"), "a").join(name("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return near.unionByName(compared).unionByName(tied).where("a <> b").distinct()
+    return near.unionByName(small).unionByName(tied).where("a <> b").distinct()
 
 
 def _banded(members: DataFrame, percent: int) -> DataFrame:
@@ -410,19 +461,19 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     return put.select("class_id", "rep", "label", "k1", "k2", "n", large.alias("large"), cells.alias("cells"))
 
 
-def _late_cells(members: DataFrame, percent: int) -> DataFrame:
-    """(class_id, cells): the meetings of blocks of large families that are still in question.
+def _late_cells(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(class_id, cells): the meetings of blocks of families that are still in question.
 
     ``members`` (class_id, label, n, found): found is the component that the first
-    meetings gave. A component of more than ``BLOCK`` sets of a band has blocks of its
+    meetings gave. A component of more than ``block`` sets of a band has blocks of its
     own, and those never meet one another, so a group of near copies that has been
     found whole is not compared again.
     """
     banded = _banded(members, percent)
-    own = banded.groupBy("label", "band", "found").agg(F.when(F.count("*") > BLOCK, F.col("found")).otherwise(-1).alias("kind"))
+    own = banded.groupBy("label", "band", "found").agg(F.when(F.count("*") > block, F.col("found")).otherwise(-1).alias("kind"))
     kinded = banded.join(own, ["label", "band", "found"])
     sizes = staged(
-        kinded.groupBy("label", "band", "kind").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "block-counts"
+        kinded.groupBy("label", "band", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "block-counts"
     )
     per_family = sizes.groupBy("label").agg(F.collect_list(F.struct("band", "kind", "blocks")).alias("all"))
     put = kinded.join(sizes, ["label", "band", "kind"]).join(per_family, "label")
@@ -567,7 +618,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         found = large.join(labels, F.col("class_id") == F.col("node"), "left").select(
             "class_id", large["label"], "n", F.coalesce(labels["label"], "class_id").alias("found")
         )
-        late = staged(_late_cells(found, percent), "late-cells")
+        late = staged(_late_cells(found, percent, BLOCK), "late-cells")
         again = sets.where("large").select("class_id", "label", "hashes").join(late.hint("merge"), "class_id")
         labels = staged(components(links.union(_links(again, percent))), "labels")
     tied = staged(
